@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +35,9 @@ def sized(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def kept_in_worker(key: str, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker process makes once and keeps for its later tasks."""
+    kept = sys.modules.setdefault("_talkframe_worker", types.ModuleType("_talkframe_worker")).__dict__
+    return kept[key] if key in kept else kept.setdefault(key, make())
