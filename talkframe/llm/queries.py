@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import exact_dedup, language_id, mixing, sharding, token_counts
+from talkframe.llm import exact_dedup, html_text, language_id, mixing, quality, sharding, token_counts
 from talkframe.llm.tables import documents
 
 SHARDS = 40
@@ -36,7 +36,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_language_id, op4_sharding, op5_mixing)}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = language_id.fold(5) == 0
+    found = quality.score(docs, quality.fit(docs, labels, ~held_out), threshold=0.3)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_language_id, op4_sharding, op5_mixing, op9_html_extraction, op10_quality)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
