@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import exact_dedup, html_text, language_id, mixing, quality, sharding, token_counts
+from talkframe.llm import decontamination, exact_dedup, html_text, language_id, mixing, quality, sharding, token_counts
 from talkframe.llm.tables import documents
 
 SHARDS = 40
@@ -36,6 +36,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -47,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_language_id, op4_sharding, op5_mixing, op9_html_extraction, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_language_id, op4_sharding, op5_mixing, op7_decontamination, op9_html_extraction, op10_quality)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -77,4 +82,21 @@ ORACLES = {
                 ('0x' || substr(md5('mix' || coalesce('=' || r.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
             FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, CAST((floor(k * rate + u) - floor((k - 1) * rate + u)) * size AS BIGINT) AS taken FROM u""",
+    "op7_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        v AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS phrase
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        p AS (
+            SELECT doc_id, n, unnest([{'i': i, 'phrase': array_to_string(w[i : i + n - 1], ' ')} for i in range(1, len(w) - n + 2)]) AS x
+            FROM d, (SELECT DISTINCT n FROM v) AS s),
+        m AS (SELECT p.doc_id, x.i AS i, v.n, v.item_id FROM p JOIN v ON v.n = p.n AND x.phrase = v.phrase),
+        h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM m) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
