@@ -108,8 +108,8 @@ def per_document(matches: DataFrame, tests: DataFrame) -> DataFrame:
     return both.select("a.id", "a.h", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.array_join("items", ",").alias("items"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every document's id with n_words, n_hit, n_items, items (ids, sorted as strings, comma-joined), contaminated, and `keep`.
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document's id with n_words, n_hit, n_items, items (ids, sorted as strings, comma-joined) and contaminated.
 
     A window is `size` consecutive words of an item, or a shorter item as a whole. A word of a document is hit when it lies
     inside an occurrence of a window. Null texts have no words, empty items no windows; rows that repeat id and text
@@ -119,11 +119,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: s
     chosen = written(anchors(tests, docs, text_col=text_col), "decon-anchors")
     index = postings(docs, written(chosen.select("term").distinct(), "decon-index-terms"), size - 1, id_col, text_col)
     found = per_document(written(phrase_matches(index, chosen), "decon-matches"), tests)
-    cols = [c for c in dict.fromkeys(keep) if c != id_col]
-    rows = docs.select(*key_of(id_col, text_col), n_words(text_col).alias("n_words"), *(F.col(c).alias(f"_keep_{c}") for c in cols))
+    rows = docs.select(*key_of(id_col, text_col), n_words(text_col).alias("n_words"))
     joined = rows.alias("d").join(found.hint("merge").alias("f"), F.col("d.id").eqNullSafe(F.col("f.id")) & F.col("d.h").eqNullSafe(F.col("f.h")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return joined.select(
         F.col("d.id").alias(id_col), "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", F.lit("")).alias("items"),
-        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), *(F.col(f"_keep_{c}").alias(c) for c in cols),
+        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )

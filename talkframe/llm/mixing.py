@@ -51,8 +51,9 @@ def offset(seed: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", salts: int = 16, keep: tuple[str, ...] = ()) -> DataFrame:
-    """How often the mix takes every row: id, size (words), source_size, target, copies, taken, source, `keep`.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", salts: int = 16, carry: bool = False) -> DataFrame:
+    """How often the mix takes every row: id, size (words), source_size, target, copies, taken, and, with
+    `carry`, row (all columns of `docs`).
 
     Every document of a source expects target / source_size copies. Expected copies are summed up along the source, a
     random offset is added once, and a row is taken once for each integer boundary its step crosses: so copies differ from the
@@ -63,15 +64,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null text has size 0, null source is a source of its own, after all others; sources without words get
     target 0; repeated rows count each; an empty table gives an empty result.
     """
-    payload = [c for c in dict.fromkeys(keep) if c not in (id_col, source_col)]
     size = F.col("size")
     bits = F.length(F.bin(size))
     top = F.when(bits > 3, F.expr("bigint(shiftright(size, length(bin(size)) - 3))")).otherwise(size)
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
-        *(F.col(c).alias(f"_keep_{c}") for c in payload),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []),
     )
-    if not payload:
+    if not carry:
         rows = written(rows, "mix-sizes")
     plan = sized(written(targets(rows.select("source", "size"), weights, share, most), "mix-targets"))
     rows = rows.withColumns({"_band": (-(bits * 8 + top)).cast("int"), "_salt": F.coalesce(F.pmod(F.col("_id"), F.lit(salts)), F.lit(0)).cast("int")})
@@ -84,10 +84,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     joined = joined.withColumn("copies", step(F.col("rank") + 1) - step(F.col("rank")))
     return joined.select(
         F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * size).alias("taken"),
-        "source", *(F.col(f"_keep_{c}").alias(c) for c in payload),
+        *(["row"] if carry else []),
     )
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
-    """One row per copy that the mix takes."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("_copy")
+    """The rows of a carried mix, one per copy that the mix takes."""
+    return mixed.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")

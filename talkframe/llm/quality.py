@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Bytes of a passage, the instance of the bag that a document is.
 PASSAGE = 512
@@ -157,8 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most_docs: int = 600
     return train(bags, np.array([y for _, y, _ in rows]))
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's id with score (0 to 1, higher: the good label is likelier), predicted (1 if score >= `threshold`) and `keep`.
+def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Every row's id with score (0 to 1, higher: the good label is likelier), predicted (1 if score >= `threshold`) and, with `carry`, row (all its columns).
 
     Every passage of the whole text is encoded and weighted; null counts as empty, an empty text is one empty passage.
     Without a model every score is 1. Repeated rows are scored each; an empty table gives an empty result. Scan only:
@@ -166,18 +167,15 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    cols = [id_col, *(c for c in keep if c != id_col)]
-    names = [f"k{i}" for i in range(len(cols))]
-    text = names[cols.index(text_col)] if text_col in cols else "t"  # the text goes to Python once
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = shared.value
-            found = [m.score(t.as_py() or "") if m else 1.0 for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.float64())], names=[*names, "score"])
-
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(cols, names, strict=True)), *([F.col(text_col).alias("t")] if text == "t" else []))
-    kinds = dict(docs.dtypes)
-    shape = ", ".join(f"{n} {kinds[c]}" for c, n in zip(cols, names, strict=True))
-    done = rows.mapInArrow(run, f"{shape}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return done.select(*(F.col(n).alias(c) for c, n in zip(cols, names, strict=True)), "score", "predicted")
+            texts = batch.column("row").field(text_col) if carry else batch.column("text")
+            found = pa.array([m.score(t.as_py() or "") if m else 1.0 for t in texts], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), found, *([batch.column("row")] if carry else [])], names=["id", "score", *(["row"] if carry else [])])
+
+    more = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if carry else F.col(text_col).alias("text")
+    rows = docs.select(F.col(id_col).alias("id"), more)
+    shape = StructType([rows.schema["id"], StructField("score", DoubleType()), *([rows.schema["row"]] if carry else [])])
+    done = rows.mapInArrow(run, shape)
+    return done.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["row"] if carry else []))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import decontamination, exact_dedup, html_text, language_id, mixing, near_dedup, quality, sharding, token_counts
+from talkframe.llm import decontamination, exact_dedup, html_text, language_id, mixing, near_dedup, quality, sharding, suffix_dedup, token_counts
 from talkframe.llm.tables import documents
 
 SHARDS = 40
@@ -45,6 +45,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -56,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_language_id, op4_sharding, op5_mixing, op6_near_dedup, op7_decontamination, op9_html_extraction, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_language_id, op4_sharding, op5_mixing, op6_near_dedup, op7_decontamination, op8_suffix_dedup, op9_html_extraction, op10_quality)}
 
 ORACLES = {
     "op2_exact_dedup": r"""

@@ -58,8 +58,9 @@ def metadata(docs: DataFrame, text_col: str = "text") -> list[Column]:
     return [(F.octet_length(text).cast("bigint") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")]
 
 
-def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("source", "lang"), keep: tuple[str, ...] = (), runs: int = 32, salts: int = 16) -> DataFrame:
-    """Every row with shard (0 to n_shards - 1) and slot (gapless from 0 within its shard): id, size, text_crc32, shard, slot, curve, `keep`.
+def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("source", "lang"), carry: bool = False, runs: int = 32, salts: int = 16) -> DataFrame:
+    """Every row with shard (0 to n_shards - 1) and slot (gapless from 0 within its shard): id, size, text_crc32, shard, slot, curve, and,
+    with `carry`, row (all columns of `docs`).
 
     Three dimensions - two strings and the size - are each quantised into 16 bins at their quantiles; the bins give a cell,
     the cell its place on a Hilbert curve. Rows sorted along the curve are cut into runs of equal counts (at most one
@@ -68,14 +69,13 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
 
     No task sees a whole cell: it is cut by checksum into `runs`, and these by id into `salts`. Null metadata sorts
     first, null text counts as empty, repeated rows take neighbouring slots, an empty table gives an empty result.
-    Columns named in `keep` travel along; all others are left out.
+    Without `carry` only a narrow table is shuffled.
     """
-    payload = [c for c in dict.fromkeys(keep) if c != id_col]
     meta = docs.select(
         F.col(id_col).alias("_id"), *metadata(docs, text_col), leading_number(by[0]).alias("_a"), leading_number(by[1]).alias("_b"),
-        *(F.col(c).alias(f"_keep_{c}") for c in payload),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []),
     )
-    if not payload:
+    if not carry:
         meta = written(meta, "shard-meta")
     steps = [i / (1 << BITS) for i in range(1, 1 << BITS)]
     dims = ("_a", "_b", "size")
@@ -95,7 +95,7 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     return rows.select(
         F.col("_id").alias(id_col), "size", "text_crc32", "shard",
         (F.col("rank") - F.expr(f"(shard * {total}L + {n_shards - 1}) div {n_shards}")).alias("slot"),
-        "curve", *(F.col(f"_keep_{c}").alias(c) for c in payload),
+        "curve", *(["row"] if carry else []),
     )
 
 
