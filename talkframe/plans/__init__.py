@@ -1,4 +1,7 @@
 """Registered queries: each reads the given tables and applies one operator or a chain of them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from talkframe.plans import speech
+
+MODULES = (speech,)
+QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
