@@ -13,7 +13,7 @@ from talkframe.llm.tables import sized, written
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIZE = 10
-LISTS = 3
+LISTS = 2
 
 
 def words_of(text_col: str) -> Column:
@@ -70,24 +70,25 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int = SIZE - 1, id_col: s
     return written(found, "decon-postings")
 
 
-def aligned(index: DataFrame, tests: DataFrame) -> DataFrame:
-    """Every posting as the start of each window that has its term as an anchor: the offset-adjusted lists."""
-    tests = sized(tests)
-    rows = index.join(tests, "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-    same = F.slice("near", F.col("back") - F.col("offset") + 1, F.size("phrase")) == F.col("phrase")
-    return rows.select("window_id", "id", "h", "start", "k", "n", F.size("phrase").alias("size"), ((F.col("k") == 1) & (F.col("back") >= F.col("offset")) & same).alias("exact"))
+def aligned(index: DataFrame, tests: DataFrame, exact: bool = True) -> DataFrame:
+    """Every posting as the start of each window that has its term as an anchor: the offset-adjusted lists. With `exact`, a posting whose
+    neighbouring words do not spell the window is dropped on the spot, so the lists that meet in a shuffle hold matches only."""
+    rows = index.join(sized(tests), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    if exact:
+        same = F.slice("near", F.col("back") - F.col("offset") + 1, F.size("phrase")) == F.col("phrase")
+        rows = rows.where((F.col("back") >= F.col("offset")) & same)
+    return rows.select("window_id", "id", "h", "start", "k", "n", F.size("phrase").alias("size"))
 
 
 def phrase_matches(index: DataFrame, tests: DataFrame) -> DataFrame:
-    """Where windows occur word for word: window_id, id, h, start, size. The lists of a window's rarest terms are intersected at
-    equal starts; what is left is compared with the neighbouring words that the rarest term's posting holds."""
-    met = aligned(index, tests).groupBy("window_id", "id", "h", "start", "size", "n").agg(F.count(F.lit(1)).alias("met"), F.max("exact").alias("exact"))
-    return met.where("met >= n AND exact").select("window_id", "id", "h", "start", "size")
+    """Where windows occur word for word: window_id, id, h, start, size: the intersection, at equal starts, of the lists of a window's rarest terms."""
+    met = aligned(index, tests).groupBy("window_id", "id", "h", "start", "size", "n").agg(F.count(F.lit(1)).alias("met"))
+    return met.where("met >= n").select("window_id", "id", "h", "start", "size")
 
 
 def proximity_matches(index: DataFrame, tests: DataFrame, slop: int = 3) -> DataFrame:
     """Where all anchors of a window stand within `slop` words of their places, in any order: window_id, id, h, near (a start)."""
-    rows = aligned(index, tests)
+    rows = aligned(index, tests, exact=False)
     cell = F.floor(F.col("start") / (slop + 1))
     rows = rows.withColumn("cell", F.explode(F.array(cell, cell + 1)))
     groups = rows.groupBy("window_id", "id", "h", "cell", "n").agg(F.count_distinct("k").alias("met"), F.min("start").alias("near"), F.max("start").alias("far"))
