@@ -129,6 +129,16 @@ def suffixes(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, shape)
 
 
+def without_twins(batch: pa.RecordBatch, before: tuple | None) -> tuple[pa.RecordBatch, tuple]:
+    """A sorted batch without rows that repeat the row before (`before`: of the last batch) in lead, tail, key, h and p1: a document that
+    is in the table twice is no repeat of itself."""
+    cols = [batch.column(n).to_numpy() for n in ("lead", "tail", "key", "h", "p1")]
+    twin = np.zeros(batch.num_rows, bool)
+    twin[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
+    twin[0] = tuple(c[0] for c in cols) == before
+    return batch.filter(pa.array(~twin)) if twin.any() else batch, tuple(c[-1] for c in cols)
+
+
 def whole_repeats(sorted_rows: DataFrame) -> DataFrame:
     """Over rows sorted by lead, tail, context and document: kind 0, a run whose whole context stands earlier; kind 1, the first of
     each context where a lead has several, which may share a part. One pass with one remembered row; other rows are done."""
@@ -136,7 +146,10 @@ def whole_repeats(sorted_rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # lead, tail, context of the row before
         first: pa.RecordBatch | None = None  # the first row of the open lead, until it is known whether another context follows
+        before = None
         for batch in batches:
+            if batch.num_rows:
+                batch, before = without_twins(batch, before)
             if not batch.num_rows:
                 continue
             lead, tail, context = (batch.column(i).to_numpy() for i in range(3))
@@ -198,8 +211,10 @@ def partial_repeats(sorted_rows: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_lead, seen = None, np.zeros(0, U)
+        open_lead, seen, before = None, np.zeros(0, U), None
         for whole in batches:
+            if whole.num_rows:
+                whole, before = without_twins(whole, before)
             for at in range(0, whole.num_rows, 20_000):
                 batch = whole.slice(at, 20_000)
                 lead, tail, key, h, a, p1, p2 = (batch.column(i).to_numpy() for i in range(7))
