@@ -28,8 +28,9 @@ def n_words(text_col: str) -> Column:
 
 
 def windows(items: DataFrame, size: int = SIZE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The distinct windows of the items: window_id, phrase (its words), items (ids as strings). An item of fewer words is one window; of none, no window."""
-    rows = items.select(F.col(id_col).cast("string").alias("item"), words_of(text_col).alias("w")).where(F.size("w") > 0)
+    """The distinct windows of the items: window_id, phrase (its words), items (ids as strings). An item of fewer words is one window; of none, no window; a null id
+    is the empty string."""
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words_of(text_col).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     rows = rows.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), size).alias("phrase"))
     return rows.groupBy("phrase").agg(F.collect_set("item").alias("items")).withColumn("window_id", F.sha2(F.array_join("phrase", " "), 256))
