@@ -1,7 +1,7 @@
 """Registered queries: each reads the given tables and applies one operator or a chain of them."""
 
-from talkframe.plans import folded, measures, speech, wording
+from talkframe.plans import folded, measures, mixed, speech, wording
 
-MODULES = (speech, measures, wording, folded)
+MODULES = (speech, measures, wording, folded, mixed)
 QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
