@@ -44,16 +44,11 @@ def nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
 
 
-def composed(text: Column) -> Column:
-    """NFC; plain ASCII, which it leaves alone, never goes to Python on its own account but rows of other scripts do."""
-    return nfc(text)
-
-
 def normalize_text(text: Column | str, unicode: bool = True) -> Column:
     """lower case, NFC, everything but letters, digits, _, - and ' becomes a space; spaces collapse, ends are trimmed. `unicode`
     False leaves NFC out and stays in the JVM: right for texts that are composed already."""
     low = F.lower(col(text))
-    low = composed(low) if unicode else low
+    low = nfc(low) if unicode else low
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"(?U)[^\p{L}\p{N}_\s\-']", " "), r"(?U)\s+", " "))
 
 

@@ -12,7 +12,7 @@ def half_even(x: Column, scale: int = 0) -> Column:
 
 def format_time(cs: Column) -> Column:
     """H:MM:SS.cc of whole centiseconds."""
-    return F.format_string("%d:%02d:%02d.%02d", F.expr("0L") + F.floor(cs / 360000), F.floor(cs / 6000) % 60, F.floor(cs / 100) % 60, cs % 100)
+    return F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360000), F.floor(cs / 6000) % 60, F.floor(cs / 100) % 60, cs % 100)
 
 
 def parse_time(text: Column) -> Column:

@@ -137,4 +137,4 @@ def lookup(df: DataFrame, mapping: DataFrame, on: str, value: str, default: str
 def compatible(runs: DataFrame, languages: DataFrame) -> DataFrame:
     """Runs whose (backend, language) pair is listed; a backend listed with a null language takes all."""
     ok = (runs["backend"] == languages["backend"]) & (languages["language"].isNull() | (runs["language"] == languages["language"]))
-    return runs.join(languages, ok, "left_semi")
+    return runs.join(languages.hint("merge"), ok, "left_semi")
