@@ -118,11 +118,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     `und` with score 0 where the text is null or has no letter, or where nothing was learned. Repeated rows are scored
     each, an empty table gives an empty result, other columns are ignored. The model is a Spark broadcast of bounded size.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.classes, model.log_probs, model.priors) if model else None)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*shared.value) if shared.value else None
         for batch in batches:
-            m, n = shared.value, batch.num_rows
+            n = batch.num_rows
             names, probs = ["und"] * n, [0.0] * n
             texts = [(i, t) for i in range(n) if (t := batch.column(1)[i].as_py()) and any(map(str.isalpha, t))] if m else []
             if texts:

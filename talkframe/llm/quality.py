@@ -165,11 +165,11 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col:
     Without a model every score is 1. Repeated rows are scored each; an empty table gives an empty result. Scan only:
     no shuffle; the model is a broadcast of some thousand numbers.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.weights) if model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*shared.value) if shared.value else None
         for batch in batches:
-            m = shared.value
             texts = batch.column("row").field(text_col) if carry else batch.column("text")
             found = pa.array([m.score(t.as_py() or "") if m else 1.0 for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), found, *([batch.column("row")] if carry else [])], names=["id", "score", *(["row"] if carry else [])])
