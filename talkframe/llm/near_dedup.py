@@ -158,7 +158,7 @@ def first_equal(a: str, b: str) -> Column:
 
 
 def row(alias: str) -> dict[str, Column]:
-    return {c: F.col(f"{alias}.{c}") for c in ("d_low", "d_high")}
+    return {"d_low": F.col(f"{alias}.d_low")}
 
 
 def undecided(buckets: DataFrame, label: DataFrame) -> DataFrame:
@@ -177,9 +177,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int =
 
     1. Equal sets are one node, found by digest with map-side combining; only nodes go on.
     2. Table keys held by one node are dropped after a pre-aggregated count.
-    3. In every bucket each node is compared with the bucket's least and greatest node (stars, not all pairs), links are
-       joined to components, and buckets that lie in one component are done. In the others the node that
-       is nearest to its centres on the whole is the third centre.
+    3. In every bucket each node is compared with the bucket's least node (a star, not all pairs), links are joined to
+       components, and buckets that lie in one component are done. In the others the node that is nearest to its centres on
+       the whole is the second centre.
     4. In buckets still open, every pair of nodes from different components is compared, unless the distances to a common centre
        prove it too far apart (the triangle inequality of the Jaccard distance, which is exact), or sketches of SKETCH bits say so.
 
@@ -195,10 +195,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int =
 
     table = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i * halves + j, x, y))))
     keys = one.select("node", F.posexplode(table).alias("tab", "key"))
-    crowd = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    crowd = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("high")
     buckets = written(keys.join(crowd.hint("merge"), "key").distinct(), "near-buckets")
 
-    stars = buckets.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
+    stars = buckets.select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b")
     stars = written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(wanted.join(nodes.hint("merge"), "node").select("id").distinct(), "near-wanted")
@@ -207,21 +207,20 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int =
     links = first.where("linked").select("a", "b")
     label = written(components(links), "near-labels")
 
-    near = lambda p, q: F.coalesce((F.abs(p["d_low"] - q["d_low"]) <= most) & (F.abs(p["d_high"] - q["d_high"]) <= most), F.lit(True))
+    near = lambda p, q: F.coalesce(F.abs(p["d_low"] - q["d_low"]) <= most, F.lit(True))
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     most = 1 - percent / 100 + 1e-9
     left = undecided(buckets, label)
-    for centre, name in (("low", "d_low"), ("high", "d_high")):  # distances to the bucket's two centres; 0 to itself
-        far = first.select("a", "b", F.col("far").alias(name))
-        left = left.withColumns({"a": pair("node", centre)[0], "b": pair("node", centre)[1]}).join(far.hint("merge"), ["a", "b"], "left").drop("a", "b")
-        left = left.withColumn(name, F.when(F.col("node") == F.col(centre), 0.0).otherwise(F.col(name)))
+    far = first.select("a", "b", F.col("far").alias("d_low"))  # distance to the bucket's centre; 0 to itself
+    left = left.withColumns(dict(zip(("a", "b"), pair("node", "low"), strict=True))).join(far.hint("merge"), ["a", "b"], "left").drop("a", "b")
+    left = left.withColumn("d_low", F.when(F.col("node") == F.col("low"), 0.0).otherwise(F.col("d_low")))
     left = written(left, "near-open")
 
     # the same order of centres in every bucket, the most central first, so that few pairs come up
     ends = first.select(F.col("a").alias("node"), "far").unionByName(first.select(F.col("b").alias("node"), "far"))
     central = ends.groupBy("node").agg(F.avg("far").alias("q"))
-    inner = left.where("node <> low AND node <> high").join(central.hint("merge"), "node")
-    middle = inner.groupBy("key").agg(F.min_by(F.struct("node", "label", "d_low", "d_high"), F.struct("q", "node")).alias("c"))
+    inner = left.where("node <> low").join(central.hint("merge"), "node")
+    middle = inner.groupBy("key").agg(F.min_by(F.struct("node", "label", "d_low"), F.struct("q", "node")).alias("c"))
     spokes = inner.join(middle.hint("merge"), "key").where((F.col("label") != F.col("c.label")) & near(inner, F.col("c")))
     spokes = written(spokes.select(*pair(F.col("node"), F.col("c.node"))).distinct().join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "near-spokes")
     second = written(verified(spokes, sets, percent), "near-spokes-verified")
@@ -230,8 +229,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int =
 
     left = written(undecided(left.drop("label"), label), "near-open")
     main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    left = left.where("node <> low AND node <> high").join(main.hint("merge"), "key").withColumn("is_main", F.col("label") == F.col("main"))
-    left = written(left.select("key", "tab", "node", "label", "d_low", "d_high", "is_main"), "near-open")
+    left = left.where("node <> low").join(main.hint("merge"), "key").withColumn("is_main", F.col("label") == F.col("main"))
+    left = written(left.select("key", "tab", "node", "label", "d_low", "is_main"), "near-open")
     short = lambda c: F.transform(c, lambda v: F.hash(v)).alias(c)
     fine = sketches(left.select("node").distinct(), sets).join(one.hint("merge"), "node").select("node", "sketch", short("a"), short("b"))
     fine = written(fine, "near-sketches")
