@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.llm.near_dedup import mixed
@@ -106,8 +106,10 @@ def pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
         yield at, text[at : at + step + length - 1]
 
 
-def suffixes(rows: DataFrame, length: int) -> DataFrame:
-    """(key, h, text) as anchored suffixes: lead (ordered number of the first 8 bytes), tail, context, key, h, a, p1, p2."""
+def suffixes(rows: DataFrame, length: int, cuts: list[int] | None = None) -> DataFrame:
+    """(key, h, text) as anchored suffixes: lead (ordered number of the first 8 bytes), tail, context, key, h, a, p1, p2, and part, the
+    number of the range between `cuts` that the lead falls into."""
+    splits = np.array(cuts or [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,10 +124,10 @@ def suffixes(rows: DataFrame, length: int) -> DataFrame:
                 shift = offs[first + doc] - starts[doc]
                 doc = of[first + doc]
                 signed = (lead.astype(U) ^ U(1 << 63)).view(np.int64)
-                cols = [signed, tail.view(np.int64), context.view(np.int64), keys[doc], hs[doc], a + shift, p1 + shift, p2 + shift]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["lead", "tail", "context", "key", "h", "a", "p1", "p2"])
+                cols = [signed, tail.view(np.int64), context.view(np.int64), keys[doc], hs[doc], a + shift, p1 + shift, p2 + shift, np.searchsorted(splits, signed, "right")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["lead", "tail", "context", "key", "h", "a", "p1", "p2", "part"])
 
-    shape = "lead bigint, tail bigint, context bigint, key bigint, h bigint, a bigint, p1 bigint, p2 bigint"
+    shape = "lead bigint, tail bigint, context bigint, key bigint, h bigint, a bigint, p1 bigint, p2 bigint, part bigint"
     return rows.mapInArrow(run, shape)
 
 
@@ -197,10 +199,10 @@ def contexts(rows: DataFrame, length: int) -> DataFrame:
                 if d not in texts:
                     texts = {d: batch.column(2)[d].as_py().encode("utf-8", "surrogatepass")}
                 parts.append(texts[d][x : y + length])
-            cols = [flat.field("lead"), flat.field("tail"), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), flat.field("a"), flat.field("p1"), flat.field("p2"), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["lead", "tail", "key", "h", "a", "p1", "p2", "bytes"])
+            cols = [flat.field("lead"), flat.field("tail"), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), flat.field("a"), flat.field("p1"), flat.field("p2"), pa.array(parts, pa.binary()), flat.field("part")]
+            yield pa.RecordBatch.from_arrays(cols, names=["lead", "tail", "key", "h", "a", "p1", "p2", "bytes", "part"])
 
-    return rows.mapInArrow(run, "lead bigint, tail bigint, key bigint, h bigint, a bigint, p1 bigint, p2 bigint, bytes binary")
+    return rows.mapInArrow(run, "lead bigint, tail bigint, key bigint, h bigint, a bigint, p1 bigint, p2 bigint, bytes binary, part bigint")
 
 
 def partial_repeats(sorted_rows: DataFrame, length: int) -> DataFrame:
@@ -287,11 +289,6 @@ def splitters(docs: DataFrame, length: int, parts: int, share: float, seed: int
     return sorted(set(found or []))
 
 
-def bucket(cuts: list[int]) -> Column:
-    """The number of the range that a lead falls into."""
-    return F.array_size(F.filter(F.lit(cuts), lambda c: c <= F.col("lead"))) if cuts else F.lit(0)
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", sample: float = 0.01, keep_text: bool = False) -> DataFrame:
     """Every document's id with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and `kept` (binary) where asked for.
 
@@ -310,12 +307,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = splitters(rows, length, min(16 * tasks, 4096), sample)
     order = ["lead", "tail", "context", "key", "h", "p1"]
-    dealt = suffixes(rows, length).repartition(tasks, bucket(cuts)).sortWithinPartitions(*order)
+    dealt = suffixes(rows, length, cuts).repartition(tasks, "part").sortWithinPartitions(*order)
     found = written(whole_repeats(dealt).drop("context"), "suffix-repeats")
-    heads = found.where("kind = 1").groupBy("key", "h").agg(F.collect_list(F.struct("lead", "tail", "a", "p1", "p2")).alias("runs"))
+    heads = found.where("kind = 1").groupBy("key", "h").agg(F.collect_list(F.struct("lead", "tail", "a", "p1", "p2", "part")).alias("runs"))
     on = ["key", "h"]
     around = contexts(rows.join(heads.hint("merge"), on).select("key", "h", "text", "runs"), length)
-    around = around.repartition(tasks, bucket(cuts)).sortWithinPartitions("lead", "tail", "key", "h", "p1")
+    around = around.repartition(tasks, "part").sortWithinPartitions("lead", "tail", "key", "h", "p1")
     runs = found.where("kind = 0").select("key", "h", "p1", "p2").unionByName(partial_repeats(around, length))
     runs = runs.distinct().groupBy("key", "h").agg(F.collect_list(F.struct("p1", "p2")).alias("runs"))
     done = cleaned(rows.join(runs.hint("merge"), on, "left").select("key", "h", "text", "runs"), length, keep_text)
