@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +54,76 @@ def edit_distance(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(code(ref), code(hyp))
 
 
+def error_counts(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
+    """Substitutions, insertions and deletions (rows of three) of pairs of word codes (0 and more), by the rules of `word_errors`: all pairs
+    advance together, one reference word at a time, in memory that grows with the hypotheses only."""
+    n, m = np.array([len(r) for r in refs]), np.array([len(h) for h in hyps])
+    ref, hyp = np.full((len(n), max(n.max(), 1)), -1), np.full((len(n), m.max()), -2)
+    for k, (r, h) in enumerate(zip(refs, hyps, strict=True)):
+        ref[k, : len(r)], hyp[k, : len(h)] = r, h
+    at = np.arange(hyp.shape[1] + 1)
+    dist, subs, ins = np.tile(at, (len(n), 1)), np.zeros((len(n), len(at)), np.int64), np.tile(at, (len(n), 1))
+    out = np.zeros((len(n), 3), np.int64)
+
+    def done(i: int) -> None:
+        k = np.flatnonzero(n == i)
+        s, a = subs[k, m[k]], ins[k, m[k]]
+        out[k] = np.stack([s, a, dist[k, m[k]] - s - a], 1)
+
+    done(0)
+    for i in range(n.max()):
+        same = hyp == ref[:, i : i + 1]
+        up = dist + 1
+        best = up.copy()
+        np.minimum(best[:, 1:], dist[:, :-1] + ~same, out=best[:, 1:])
+        row = np.minimum.accumulate(best - at, axis=1) + at
+        # A match comes first, then a substitution, a deletion, an insertion; an insertion carries on from the last cell that is none.
+        diag = np.zeros(row.shape, bool)
+        least = np.minimum(dist[:, 1:], row[:, :-1])
+        diag[:, 1:] = same | (dist[:, :-1] <= least)
+        down = ~diag
+        down[:, 1:] &= dist[:, 1:] <= row[:, :-1]
+        row[:, 1:] = np.where(same, dist[:, :-1], row[:, 1:])
+        origin = np.maximum.accumulate(np.where(diag | down, at, 0), axis=1)
+        s, a = subs.copy(), ins.copy()
+        s[:, 1:] = np.where(diag[:, 1:], subs[:, :-1] + ~same, subs[:, 1:])
+        a[:, 1:] = np.where(diag[:, 1:], ins[:, :-1], ins[:, 1:])
+        dist, subs, ins = row, np.take_along_axis(s, origin, 1), np.take_along_axis(a, origin, 1) + at - origin
+        done(i + 1)
+    return out
+
+
+def batch_errors(ref: pa.Array, hyp: pa.Array, cells: int = 1 << 15) -> np.ndarray:
+    """`error_counts` of two columns of word arrays, pairs of like lengths together."""
+    both = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+    cut = lambda col, codes: np.split(codes, np.cumsum(np.diff(col.offsets.to_numpy()))[:-1])
+    refs, hyps = cut(ref, both[: len(ref.flatten())]), cut(hyp, both[len(ref.flatten()) :])
+    out = np.zeros((len(refs), 3), np.int64)
+    order = sorted(range(len(refs)), key=lambda k: (len(hyps[k]), len(refs[k])))
+    while order:
+        some = order[-max(1, cells // (len(hyps[order[-1]]) + 1)) :]
+        del order[-len(some) :]
+        out[some] = error_counts([refs[k] for k in some], [hyps[k] for k in some])
+    return out
+
+
 def wer_rows(pairs: DataFrame) -> DataFrame:
-    """Id, s, i, d, ref_words, hyp_words, wer (the number of insertions where the reference is empty) of (id, ref, hyp) word arrays."""
-    rows = pairs.withColumn("_e", word_errors(F.col("ref"), F.col("hyp")))
-    n = F.size("ref")
-    wer = F.when(n == 0, F.size("hyp").cast("double")).otherwise(F.col("_e.d") / n)
-    return rows.select(*(c for c in pairs.columns if c not in ("ref", "hyp")), F.col("_e.s").alias("s"), F.col("_e.i").alias("i"), F.col("_e.e").alias("d"), n.alias("ref_words"), F.size("hyp").alias("hyp_words"), wer.alias("wer"))
+    """Id, s, i, d, ref_words, hyp_words, wer (the number of insertions where the reference is empty) of (id, ref, hyp) word arrays,
+    of any length: the alignment is that of `word_errors`, taken for many rows at a time."""
+    ids = [c for c in pairs.columns if c not in ("ref", "hyp")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                counts = batch_errors(batch.column("ref"), batch.column("hyp"))
+                sizes = [pa.array(np.diff(batch.column(c).offsets.to_numpy()), pa.int32()) for c in ("ref", "hyp")]
+                cols = [*(batch.column(c) for c in ids), *(pa.array(c, pa.int32()) for c in counts.T), *sizes]
+                yield pa.RecordBatch.from_arrays(cols, names=[*ids, "s", "i", "d", "ref_words", "hyp_words"])
+
+    shape = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in ids)
+    rows = pairs.mapInArrow(run, f"{shape}, s int, i int, d int, ref_words int, hyp_words int")
+    errors = F.col("s") + F.col("i") + F.col("d")
+    return rows.withColumn("wer", F.when(F.col("ref_words") == 0, F.col("hyp_words").cast("double")).otherwise(errors / F.col("ref_words")))
 
 
 def micro_wer() -> Column:

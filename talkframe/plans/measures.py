@@ -34,9 +34,13 @@ def session_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.session_calls(adapters.calls(spark, sf_dir))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The words of a turn that the SQL twins read ([1:40] in PAIRS). Queries with such a twin follow it; their forms over whole turns are whole_*.
+SQL_WORDS = 40
+
+
+def _runs(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     """Error rates of each turn as a run, with a language, a category and times that follow from its numbers."""
-    errors = metrics.wer_rows(adapters.pairs(spark, sf_dir))
+    errors = metrics.wer_rows(adapters.pairs(spark, sf_dir, most))
     k = F.col("session_id") + F.col("turn")
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
     return errors.withColumns({
@@ -52,25 +56,56 @@ def word_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.wer_rows(adapters.pairs(spark, sf_dir)).select("id", "s", "i", "d", "ref_words", "hyp_words", F.round("wer", 6).alias("wer"))
 
 
+def _distances(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    return adapters.pairs(spark, sf_dir, most).select("id", metrics.edit_distance(F.col("ref"), F.col("hyp")).alias("distance"))
+
+
+def _systems(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    return metrics.compare_systems(_runs(spark, sf_dir, most), ["backend", "model", "language"])
+
+
+def _graded(systems: DataFrame) -> DataFrame:
+    return systems.withColumns({"accuracy": metrics.grade(F.col("wer_pct"), 15, 30), "speed": metrics.grade(F.col("rtf"), 0.5, 1)})
+
+
 def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q2."""
-    return adapters.pairs(spark, sf_dir).select("id", metrics.edit_distance(F.col("ref"), F.col("hyp")).alias("distance"))
+    """Q2, over the words that its SQL reads."""
+    return _distances(spark, sf_dir, SQL_WORDS)
+
+
+def whole_edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2, over whole turns."""
+    return _distances(spark, sf_dir)
 
 
 def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q4, A5, A8-A14."""
+    """Q4, A5, A8-A14, over the words that its SQL reads."""
+    return metrics.bench_report(_runs(spark, sf_dir, SQL_WORDS))
+
+
+def whole_bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4, A5, A8-A14, over whole turns."""
     return metrics.bench_report(_runs(spark, sf_dir))
 
 
 def compare_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q5, A24, R15."""
-    found = metrics.compare_systems(_runs(spark, sf_dir), ["backend", "model", "language"])
-    return found.withColumns({"accuracy": metrics.grade(F.col("wer_pct"), 15, 30), "speed": metrics.grade(F.col("rtf"), 0.5, 1)})
+    """Q5, A24, R15, over the words that its SQL reads."""
+    return _graded(_systems(spark, sf_dir, SQL_WORDS))
+
+
+def whole_compare_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5, A24, R15, over whole turns."""
+    return _graded(_systems(spark, sf_dir))
 
 
 def sweet_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A25."""
-    return metrics.sweet_spot(metrics.compare_systems(_runs(spark, sf_dir), ["backend", "model", "language"]))
+    """A25, over the words that its SQL reads."""
+    return metrics.sweet_spot(_systems(spark, sf_dir, SQL_WORDS))
+
+
+def whole_sweet_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A25, over whole turns."""
+    return metrics.sweet_spot(_systems(spark, sf_dir))
 
 
 def timing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +129,7 @@ def silent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.silent_sessions(sessions, calls.where("event_type = 'purchase'")).select("session_id", F.round("audio_s", 3).alias("audio_s"))
 
 
-QUERIES = {f.__name__: f for f in (vad_events, audio_segments, frame_spans, session_calls, word_error_rates, edit_distances, bench_report, compare_systems, sweet_spot, timing_report, timestamp_accuracy, silent_sessions)}
+QUERIES = {f.__name__: f for f in (vad_events, audio_segments, frame_spans, session_calls, word_error_rates, edit_distances, bench_report, compare_systems, sweet_spot, whole_edit_distances, whole_bench_report, whole_compare_systems, whole_sweet_spot, timing_report, timestamp_accuracy, silent_sessions)}
 
 VAD_EVENTS = f"""{VAD},
     g1 AS (SELECT *, sum((prob >= 0.5)::INT) OVER (PARTITION BY session_id ORDER BY frame_ix ROWS UNBOUNDED PRECEDING) AS g FROM vad),
