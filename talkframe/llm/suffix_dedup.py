@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.llm.near_dedup import mixed
-from talkframe.llm.tables import kept_in_worker, written
+from talkframe.llm.tables import kept_in_worker, sized, written
 
 #: Bytes of a repeated string, and of the leading token by which suffixes are told apart.
 LENGTH, LEAD = 100, 24
 #: Bytes that are hashed at a time, unless one text is longer; and the largest that positions are packed for.
 GROUP, MOST = 1 << 21, 1 << 24
+#: A lead with more contexts than this is compared in Spark, spread over all tasks; others are compared in one task each, which remembers their windows.
+MANY, SALTS = 5_000, 16
 #: Stands for a null id in the order of documents: after all others.
 LAST = (1 << 63) - 1
 U = np.uint64
@@ -183,33 +185,79 @@ def whole_repeats(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, f"{shape}, kind int")
 
 
-def contexts(rows: DataFrame, length: int) -> DataFrame:
+def surroundings(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """From documents with their list of runs: the bytes around each anchor that the run's windows cover."""
+    lists = batch.column(3)
+    flat = lists.flatten()
+    sizes = np.diff(lists.offsets.to_numpy())
+    doc = np.repeat(np.arange(batch.num_rows), sizes)
+    p1, p2 = flat.field("p1").to_numpy(), flat.field("p2").to_numpy()
+    texts = {}
+    parts = []
+    for d, x, y in zip(doc.tolist(), p1.tolist(), p2.tolist(), strict=True):
+        if d not in texts:
+            texts = {d: batch.column(2)[d].as_py().encode("utf-8", "surrogatepass")}
+        parts.append(texts[d][x : y + length])
+    cols = [flat.field("lead"), flat.field("tail"), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), flat.field("a"), flat.field("p1"), flat.field("p2"), pa.array(parts, pa.binary()), flat.field("part")]
+    return pa.RecordBatch.from_arrays(cols, names=["lead", "tail", "key", "h", "a", "p1", "p2", "bytes", "part"])
+
+
+def contexts(rows: DataFrame, length: int) -> DataFrame:
+    """`surroundings` of a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            flat = lists.flatten()
-            sizes = np.diff(lists.offsets.to_numpy())
-            doc = np.repeat(np.arange(batch.num_rows), sizes)
-            p1, p2 = flat.field("p1").to_numpy(), flat.field("p2").to_numpy()
-            texts = {}
-            parts = []
-            for d, x, y in zip(doc.tolist(), p1.tolist(), p2.tolist(), strict=True):
-                if d not in texts:
-                    texts = {d: batch.column(2)[d].as_py().encode("utf-8", "surrogatepass")}
-                parts.append(texts[d][x : y + length])
-            cols = [flat.field("lead"), flat.field("tail"), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), flat.field("a"), flat.field("p1"), flat.field("p2"), pa.array(parts, pa.binary()), flat.field("part")]
-            yield pa.RecordBatch.from_arrays(cols, names=["lead", "tail", "key", "h", "a", "p1", "p2", "bytes", "part"])
+        return (surroundings(batch, length) for batch in batches)
 
     return rows.mapInArrow(run, "lead bigint, tail bigint, key bigint, h bigint, a bigint, p1 bigint, p2 bigint, bytes binary, part bigint")
 
 
+def window_codes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window of a batch of contexts: its row, its number in the row, and a hash of its bytes, its lead and its place relative to the anchor."""
+    _, tail, _, _, a, p1, p2 = (batch.column(i).to_numpy() for i in range(7))
+    data = np.frombuffer(b"".join(v.as_py() for v in batch.column(7)), np.uint8)
+    n = p2 - p1 + 1
+    size = n + length - 1
+    begin = np.cumsum(size) - size
+    up, down, letters = tables(len(data))
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(letters[data] * up[: len(data)], out=sums[1:])
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    where = begin[row] + step
+    window = (sums[where + length] - sums[where]) * down[where]
+    place = (a - p1)[row] - step
+    return row, step, mixed(mixed(window) + mixed(tail.view(U)[row]) + place.astype(U))
+
+
+def crowded_repeats(rows: DataFrame, length: int) -> DataFrame:
+    """As `partial_repeats`, from documents with their list of runs, for leads of any number of contexts: every window is a row, the first of equal ones is a minimum
+    with map-side combining, and the way back to the windows is salted, so that neither a lead nor a window is one task's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500))
+        for whole in (surroundings(batch, length) for batch in small):
+            for at in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(at, 2_000)
+                row, step, code = window_codes(batch, length)
+                tail, key, h, p1 = (batch.column(n).to_numpy()[row] for n in ("tail", "key", "h", "p1"))
+                cols = [tail, code.view(np.int64), key, h, p1 + step]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["tail", "code", "key", "h", "p"])
+
+    windows = written(rows.mapInArrow(run, "tail bigint, code bigint, key bigint, h bigint, p bigint"), "suffix-windows")
+    where = F.struct("key", "h", "p")
+    first = windows.groupBy("tail", "code").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").drop("last")
+    first = written(first, "suffix-firsts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("key", "h", "p"), F.lit(SALTS)).cast("int"))
+    again = salted.join(sized(first), ["tail", "code", "salt"]).where(F.struct("key", "h", "p") != F.col("first"))
+    return again.select("key", "h", F.col("p").alias("p1"), F.col("p").alias("p2"))
+
+
 def partial_repeats(sorted_rows: DataFrame, length: int) -> DataFrame:
     """Over contexts sorted by lead, tail and document: key, h, p1, p2 of runs of windows that stand in an earlier context.
 
     Windows of a lead are compared by their place relative to the anchor and their hash; the first in document order counts as
-    the original. Leads are taken many at a time; of a lead that fills more than one group, the windows seen so far are remembered.
+    the original. Leads are taken many at a time; of a lead that fills more than one group, the windows seen so far are remembered:
+    a lead comes here with at most MANY contexts, so of fewer than MANY * `length` windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,20 +268,7 @@ def partial_repeats(sorted_rows: DataFrame, length: int) -> DataFrame:
             for at in range(0, whole.num_rows, 20_000):
                 batch = whole.slice(at, 20_000)
                 lead, tail, key, h, a, p1, p2 = (batch.column(i).to_numpy() for i in range(7))
-                parts = batch.column(7)
-                data = np.frombuffer(b"".join(v.as_py() for v in parts), np.uint8)
-                n = p2 - p1 + 1
-                size = n + length - 1
-                begin = np.cumsum(size) - size
-                up, down, letters = tables(len(data))
-                sums = np.zeros(len(data) + 1, U)
-                np.cumsum(letters[data] * up[: len(data)], out=sums[1:])
-                row = np.repeat(np.arange(len(n)), n)
-                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                where = begin[row] + step
-                window = (sums[where + length] - sums[where]) * down[where]
-                place = (a - p1)[row] - step
-                code = mixed(mixed(window) + mixed(tail.view(U)[row]) + place.astype(U))
+                row, step, code = window_codes(batch, length)
                 _, first = np.unique(code, return_index=True)
                 again = np.ones(len(code), bool)
                 again[first] = False
@@ -299,7 +334,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     1. Only suffixes at anchors enter the suffix array (a window's leftmost least lead hash): about one byte in forty.
     2. Sampled splitters range-partition them by their leading bytes; every bucket sorts by lead, context and document.
     3. One pass over the sorted bucket finds runs whose whole context stands earlier, and leads that have several contexts.
-    4. Those contexts' bytes are fetched, dealt by the same splitters, and compared window by window.
+    4. Those contexts' bytes are fetched, dealt by the same splitters, and compared window by window; those of a lead with more than
+       MANY contexts become a row for each window, of which Spark finds the first, so no task holds a lead that grows with the corpus.
     5. The runs go back to their documents. Texts are shuffled once: both joins use the same exchange.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -309,11 +345,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     order = ["lead", "tail", "context", "key", "h", "p1"]
     dealt = suffixes(rows, length, cuts).repartition(tasks, "part").sortWithinPartitions(*order)
     found = written(whole_repeats(dealt).drop("context"), "suffix-repeats")
-    heads = found.where("kind = 1").groupBy("key", "h").agg(F.collect_list(F.struct("lead", "tail", "a", "p1", "p2", "part")).alias("runs"))
-    on = ["key", "h"]
-    around = contexts(rows.join(heads.hint("merge"), on).select("key", "h", "text", "runs"), length)
-    around = around.repartition(tasks, "part").sortWithinPartitions("lead", "tail", "key", "h", "p1")
-    runs = found.where("kind = 0").select("key", "h", "p1", "p2").unionByName(partial_repeats(around, length))
+    heads = found.where("kind = 1").drop("kind")
+    on, lead = ["key", "h"], ["lead", "tail"]
+    crowded = written(heads.groupBy(*lead).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select(*lead), "suffix-crowded")
+    runs = found.where("kind = 0").select("key", "h", "p1", "p2")
+
+    def holding(some: DataFrame) -> DataFrame:
+        lists = some.groupBy(*on).agg(F.collect_list(F.struct("lead", "tail", "a", "p1", "p2", "part")).alias("runs"))
+        return rows.join(lists.hint("merge"), on).select("key", "h", "text", "runs")
+
+    if not crowded.isEmpty():
+        runs = runs.unionByName(crowded_repeats(holding(heads.join(sized(crowded), lead, "left_semi")), length))
+        heads = heads.join(sized(crowded), lead, "left_anti")
+    dealt = contexts(holding(heads), length).repartition(tasks, "part").sortWithinPartitions("lead", "tail", "key", "h", "p1")
+    runs = runs.unionByName(partial_repeats(dealt, length))
     runs = runs.distinct().groupBy("key", "h").agg(F.collect_list(F.struct("p1", "p2")).alias("runs"))
     done = cleaned(rows.join(runs.hint("merge"), on, "left").select("key", "h", "text", "runs"), length, keep_text)
     return done.select(F.nullif(F.col("key"), F.lit(LAST)).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
