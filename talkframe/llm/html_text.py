@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,12 @@ STOP_WORDS = frozenset(
     "uns von war wie wir zu zum zur "
     "al como con del el ella ellos era es esta este fue ha hay las lo los más me muy no nos para pero por si sin sobre su sus también todo tu una y ya yo".split()
 )
+#: Elements whose end tag is optional: what closes an open one, up to the element that holds them.
+CLOSERS = {
+    "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+    "tr": ("tr", "tbody thead tfoot table"), "option": ("option", "select datalist"),
+}
+CLOSERS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSERS.items()}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"\w+")
@@ -61,6 +68,7 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with what the rules need to know of each. Broken markup is read as far as it goes."""
     out: list[Block] = []
     open_tags: list[tuple[str, bool, bool]] = []  # name, is it furniture, is it the article
+    counts: Counter[str] = Counter()  # how many of each name are open
     parts: list[str] = []
     linked = links = furnished = articles = 0
     heading = False
@@ -71,6 +79,15 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, linked, heading, articles > 0, furnished > 0))
         parts, linked = [], 0
 
+    def pop() -> str:
+        nonlocal furnished, articles, links
+        was = open_tags.pop()
+        counts[was[0]] -= 1
+        furnished -= was[1]
+        articles -= was[2]
+        links -= was[0] == "a"
+        return was[0]
+
     at, size = 0, len(page)
     while at < size and (m := TOKEN.match(page, at)):
         at = m.end()
@@ -90,25 +107,30 @@ def blocks(page: str) -> list[Block]:
         elif name == "br":
             parts.append("\n")
         if end:
-            if any(t[0] == name for t in open_tags[-64:]):
-                while open_tags:
-                    was = open_tags.pop()
-                    furnished -= was[1]
-                    articles -= was[2]
-                    links -= was[0] == "a"
-                    if was[0] == name:
-                        break
+            if counts[name]:
+                while pop() != name:
+                    pass
         elif name in HIDDEN and not rest.rstrip().endswith("/"):
             if name == "head":
                 continue
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else size
         elif name not in VOID and not rest.rstrip().endswith("/"):
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and open_tags and open_tags[-1][0] == name:
-                open_tags.pop()
+            if name == "p" and open_tags and open_tags[-1][0] == name:
+                pop()
+            elif name in CLOSERS and any(counts[n] for n in CLOSERS[name][0]):
+                ends, holders = CLOSERS[name]
+                for k in range(len(open_tags) - 1, -1, -1):
+                    if open_tags[k][0] in ends:
+                        while len(open_tags) > k:
+                            pop()
+                        break
+                    if open_tags[k][0] in holders or open_tags[k][0] in FURNITURE or open_tags[k][0] in ("article", "main", "div", "section"):
+                        break
             if name != "p" or rest.strip():
                 is_furniture, is_article = furniture(name, rest, articles > 0), name in ("article", "main")
                 open_tags.append((name, is_furniture, is_article))
+                counts[name] += 1
                 furnished += is_furniture
                 articles += is_article
                 links += name == "a"
