@@ -142,11 +142,13 @@ GOOD, BAD, NEAR_GOOD, SHORT = "good", "bad", "near-good", "short"
 
 
 def first_pass(found: list[Block], short: int, long: int, low: float, high: float, most_links: float) -> list[str]:
-    """Labels that a block earns by itself: by what holds it, its length, its stop-word density and its link density."""
+    """Labels that a block earns by itself: by what holds it, its length, its stop-word density and its link density. Where no block of a
+    page has the stop words of a known language, length and link density decide."""
     labels = []
-    for b in found:
-        words = WORD.findall(b.text.lower())
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    words = [WORD.findall(b.text.lower()) for b in found]
+    densities = [sum(w in STOP_WORDS for w in ws) / len(ws) if ws else 0.0 for ws in words]
+    known = any(d >= low for b, d in zip(found, densities, strict=True) if len(b.text) >= short)
+    for b, density in zip(found, densities, strict=True):
         if b.furniture or b.linked / len(b.text) > most_links:
             labels.append(BAD)
         elif b.text.startswith(("\xa9", "(c)")):
@@ -155,6 +157,8 @@ def first_pass(found: list[Block], short: int, long: int, low: float, high: floa
             labels.append(GOOD)
         elif len(b.text) < short:
             labels.append(SHORT)
+        elif not known:
+            labels.append(GOOD if len(b.text) > long else NEAR_GOOD)
         elif density >= high:
             labels.append(GOOD if len(b.text) > long else NEAR_GOOD)
         elif density >= low:
