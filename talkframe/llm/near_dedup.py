@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.llm.components import components
-from talkframe.llm.tables import kept_in_worker, sized, written
+from talkframe.llm.tables import forget, kept_in_worker, sized, written
 
 #: Hashes of one half key, and half keys of each of the two collections: HALVES squared tables from 2 * ROWS * HALVES minhashes.
 #: A pair of similarity 0.8 meets in a table with probability (1 - (1 - 0.8**3)**12)**2 = 0.9996, one of 0.85 with 0.99998.
 ROWS, HALVES = 3, 12
-#: Bits of the sketches that judge the candidates left at the end.
-SKETCH = 1024
+#: Longs of an odd sketch of a small set, and shingles for each of them in a large one.
+LONGS, PER_LONG = 16, 16
 #: Shingles that are hashed at a time.
 GROUP = 1 << 18
 
@@ -67,8 +67,27 @@ def half_keys(sets: list[np.ndarray], rows: int, halves: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int, halves: int) -> DataFrame:
-    """id, node (hash of the whole shingle set: equal for equal sets), n_shingles, a and b (the two collections of half keys)."""
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """A bit for each hash bucket of shingles: is their number odd? LONGS * 64 bits, doubled while a long stands for more than PER_LONG shingles.
+
+    Two sketches differ in at most as many bits as the sets have shingles apart, so a pair of sets can be refuted and never lost.
+    Folding the halves of a sketch onto each other gives the sketch of half the size.
+    """
+    longs = LONGS
+    while longs * PER_LONG < len(s):
+        longs *= 2
+    bits = np.bincount((s & np.uint64(longs * 64 - 1)).astype(np.int64), minlength=longs * 64) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
+
+
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """The sketch of LONGS longs."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, LONGS), axis=0)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int, halves: int, keyed: bool) -> DataFrame:
+    """id, node (hash of the whole shingle set: equal for equal sets), n_shingles, a and b (the two collections of half keys), small (the folded odd
+    sketch), large (the whole one, null where it is no larger) and, if `keyed`, h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = kept_in_worker("word hashes", WordHashes)
@@ -84,18 +103,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, rows: in
                 keys = iter(half_keys(full, rows, halves).view(np.int64).tolist() if full else [])
                 both = [next(keys) if len(s) else [] for s in sets]
                 nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
+                odd = [odd_sketch(s) for s in sets]
+                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, at - first), pa.array(np.array(nodes, np.uint64).view(np.int64)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([k[:halves] for k in both], pa.list_(pa.int64())), pa.array([k[halves:] for k in both], pa.list_(pa.int64())),
+                        pa.array([k[:halves] for k in both], longs), pa.array([k[halves:] for k in both], longs),
+                        pa.array([folded(s) for s in odd], longs), pa.array([s if len(s) > LONGS else None for s in odd], longs),
+                        *(c.slice(first, at - first) for c in batch.columns[2:]),
                     ],
-                    names=["id", "node", "n", "a", "b"],
+                    names=["id", "node", "n", "a", "b", "small", "large", *["h"] * keyed],
                 )
 
-    rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows_in.schema["id"].dataType.simpleString()
-    return rows_in.mapInArrow(run, f"id {kind}, node bigint, n bigint, a array<bigint>, b array<bigint>")
+    rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.xxhash64(text_col).alias("h")] * keyed)
+    kind, longs = rows_in.schema["id"].dataType.simpleString(), "array<bigint>"
+    return rows_in.mapInArrow(run, f"id {kind}, node bigint, n bigint, a {longs}, b {longs}, small {longs}, large {longs}" + ", h bigint" * keyed)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -118,58 +141,42 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return texts.mapInArrow(run, "node bigint, s array<bigint>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """`pairs` (a, b) with the similarity of their whole sets as a fraction (met, whole) and `linked`."""
+def possible(x: str, y: str, percent: int) -> Column:
+    """Can the sets of two rows (n, small, large) be linked? By their sizes and by the bits in which their odd sketches differ: never false for a linked pair."""
+    col = lambda row, name: F.col(f"{row}.{name}")
+    most = (100 - percent) * (col(x, "n") + col(y, "n"))
+    apart = lambda differ: differ * (100 + percent) <= most
+    small = sum((F.bit_count(F.get(col(x, "small"), F.lit(i)).bitwiseXOR(F.get(col(y, "small"), F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    size = F.least(F.size(col(x, "large")), F.size(col(y, "large")))
+    half = lambda row: F.when(F.size(col(row, "large")) <= size, col(row, "large")).otherwise(
+        F.zip_with(F.slice(col(row, "large"), 1, size), F.slice(col(row, "large"), size + 1, size), lambda p, q: p.bitwiseXOR(q))
+    )  # linked sets differ in size by less than a factor of two, so one fold is enough
+    large = F.aggregate(F.zip_with(half(x), half(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    long = F.greatest(F.size(col(x, "large")), F.size(col(y, "large"))) <= 2 * size
+    return apart(F.abs(col(x, "n") - col(y, "n"))) & apart(small) & (col(x, "large").isNull() | col(y, "large").isNull() | F.when(long, apart(large)).otherwise(True))
+
+
+def linked(pairs: DataFrame, docs: DataFrame, ids: DataFrame, percent: int, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Of `pairs` (a, b), both nodes, those that are linked, counted on their whole sets. `ids` has a document's id for each node."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids.hint("merge"), "node").select("id").distinct(), "near-wanted")
+    sets = written(shingle_sets(docs, wanted, id_col, text_col, width).dropDuplicates(["node"]), "near-sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     met = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("met"), (F.size("sa") + F.size("sb")).alias("sum"))
-    whole = F.col("sum") - F.col("met")
-    return met.select("a", "b", (1 - F.col("met") / whole).alias("far"), (100 * F.col("met") >= percent * whole).alias("linked"))
-
-
-def sketches(wanted: DataFrame, sets: DataFrame) -> DataFrame:
-    """node and sketch: one bit of each of SKETCH minhashes, as longs, for the nodes in `wanted`."""
+    found = written(met.where(100 * F.col("met") >= percent * (F.col("sum") - F.col("met"))).select("a", "b"), "near-links")
+    forget(wanted, sets)
+    return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(23)
-        seed, odd = rng.integers(0, 1 << 63, SKETCH, np.uint64), rng.integers(0, 1 << 63, SKETCH, np.uint64) | np.uint64(1)
-        for batch in batches:
-            out = []
-            for s in batch.column(1):
-                x = s.values.to_numpy().view(np.uint64)
-                bits = [mixed((x[None, :] ^ seed[k : k + 32, None]) * odd[k : k + 32, None]).min(1) & np.uint64(1) for k in range(0, SKETCH, 32)]
-                out.append(np.packbits(np.concatenate(bits).astype(bool)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "sketch"])
 
-    rows = wanted.join(sets.hint("merge"), "node").select("node", "s").dropDuplicates(["node"])
-    return rows.mapInArrow(run, "node bigint, sketch array<bigint>")
+def once(halves: int) -> Column:
+    """Is this the first table in which two rows (a, b: half keys) meet?"""
+    first = lambda c: F.array_position(F.zip_with(f"x.{c}", f"y.{c}", lambda p, q: p == q), True) - 1
+    return F.col("x.tab") == halves * first("a") + first("b")
 
 
-def sketch_limit(percent: int) -> int:
-    """The most differing bits at which two sets still go on to the comparison: 4.5 standard deviations beyond what a pair at the
-    threshold has. Such a pair is lost once in 300,000, a hundred times less often than by the tables."""
-    differ = (1 - percent / 100) / 2
-    return int(SKETCH * differ + 4.5 * (SKETCH * differ * (1 - differ)) ** 0.5)
-
-
-def first_equal(a: str, b: str) -> Column:
-    """The first place at which two arrays are equal."""
-    return F.array_position(F.zip_with(a, b, lambda p, q: p == q), True) - 1
-
-
-def row(alias: str) -> dict[str, Column]:
-    return {"d_low": F.col(f"{alias}.d_low")}
-
-
-def undecided(buckets: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows of buckets that lie in more than one component and hold more than two nodes, with each node's label."""
-    rows = buckets.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    keys = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n")).where("l <> h AND n > 2").select("key")
-    return rows.join(keys.hint("merge"), "key")
-
-
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, halves: int = HALVES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's id with n_shingles, component_id (smallest id reachable over links) and kept (id = component_id).
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, halves: int = HALVES, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """Every document's id with n_shingles, component_id (smallest id reachable over links), kept (id = component_id) and, if `keyed`, h
+    (xxhash64 of the text, which with the id tells rows apart).
 
     Two documents are linked when their sets of distinct `width`-word shingles (words between ASCII white space, A-Z in
     lower case) have 100 * intersection >= percent * union, counted on the whole sets. Candidates come from tensored
@@ -177,77 +184,59 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int =
 
     1. Equal sets are one node, found by digest with map-side combining; only nodes go on.
     2. Table keys held by one node are dropped after a pre-aggregated count.
-    3. In every bucket each node is compared with the bucket's least node (a star, not all pairs), links are joined to
-       components, and buckets that lie in one component are done. In the others the node that is nearest to its centres on
-       the whole is the second centre.
-    4. In buckets still open, every pair of nodes from different components is compared, unless the distances to a common centre
-       prove it too far apart (the triangle inequality of the Jaccard distance, which is exact), or sketches of SKETCH bits say so.
-
-    So each candidate pair is compared, already connected, or known to be unlinked: no cap. Documents without words
-    or with a null id are linked with nothing (component_id is their id); rows with equal ids and texts share the result; an
-    empty table gives an empty result; other columns are ignored. Nodes and shingles are 64-bit hashes.
+    3. In every bucket each node is a candidate of the bucket's least node (a star, not all pairs). Candidates that odd sketches do not
+       refute are compared on their whole sets, and links are joined to components. Buckets that lie in one component are done.
+    4. In the others every node outside the bucket's largest component is a candidate of all nodes of other components. Again only what odd
+       sketches do not refute is compared.
+
+    An odd sketch bounds the difference of two sets from below, so every pair that meets in a table is compared, refuted by that
+    bound, or in one component already: no cap, nothing left to chance beyond the tables themselves. Sketches grow with the sets.
+    Documents without words or with a null id are linked with nothing (component_id is their id); rows with equal ids and texts share
+    the result, equal ids with unequal texts are documents of their own; an empty table gives an empty result; other columns are
+    ignored. Nodes and shingles are 64-bit hashes.
     """
-    all_rows = written(signatures(docs, id_col, text_col, width, rows, halves), "near-signatures")
+    all_rows = written(signatures(docs, id_col, text_col, width, rows, halves, keyed), "near-signatures")
     lone = F.col("id").isNull() | (F.col("n") == 0)
     marked = all_rows.where(~lone)
-    nodes = written(marked.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "near-nodes")
-    one = marked.join(nodes.select("node", "id").hint("merge"), ["node", "id"]).select("node", "a", "b")
+    same = ("n", "a", "b", "small", "large")  # alike in all rows of a node
+    nodes = written(marked.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in same)), "near-nodes")
 
     table = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i * halves + j, x, y))))
-    keys = one.select("node", F.posexplode(table).alias("tab", "key"))
+    keys = nodes.select("node", F.posexplode(table).alias("tab", "key"))
     crowd = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("high")
-    buckets = written(keys.join(crowd.hint("merge"), "key").distinct(), "near-buckets")
-
-    stars = buckets.select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b")
-    stars = written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-stars")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(wanted.join(nodes.hint("merge"), "node").select("id").distinct(), "near-wanted")
-    sets = written(shingle_sets(docs, wanted, id_col, text_col, width), "near-sets")
-    first = written(verified(stars, sets, percent), "near-stars-verified")
-    links = first.where("linked").select("a", "b")
-    label = written(components(links), "near-labels")
-
-    near = lambda p, q: F.coalesce(F.abs(p["d_low"] - q["d_low"]) <= most, F.lit(True))
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    most = 1 - percent / 100 + 1e-9
-    left = undecided(buckets, label)
-    far = first.select("a", "b", F.col("far").alias("d_low"))  # distance to the bucket's centre; 0 to itself
-    left = left.withColumns(dict(zip(("a", "b"), pair("node", "low"), strict=True))).join(far.hint("merge"), ["a", "b"], "left").drop("a", "b")
-    left = left.withColumn("d_low", F.when(F.col("node") == F.col("low"), 0.0).otherwise(F.col("d_low")))
-    left = written(left, "near-open")
-
-    # the same order of centres in every bucket, the most central first, so that few pairs come up
-    ends = first.select(F.col("a").alias("node"), "far").unionByName(first.select(F.col("b").alias("node"), "far"))
-    central = ends.groupBy("node").agg(F.avg("far").alias("q"))
-    inner = left.where("node <> low").join(central.hint("merge"), "node")
-    middle = inner.groupBy("key").agg(F.min_by(F.struct("node", "label", "d_low"), F.struct("q", "node")).alias("c"))
-    spokes = inner.join(middle.hint("merge"), "key").where((F.col("label") != F.col("c.label")) & near(inner, F.col("c")))
-    spokes = written(spokes.select(*pair(F.col("node"), F.col("c.node"))).distinct().join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "near-spokes")
-    second = written(verified(spokes, sets, percent), "near-spokes-verified")
-    links = links.unionByName(second.where("linked").select("a", "b"))
-    label = written(components(links), "near-labels")
-
-    left = written(undecided(left.drop("label"), label), "near-open")
-    main = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    left = left.where("node <> low").join(main.hint("merge"), "key").withColumn("is_main", F.col("label") == F.col("main"))
-    left = written(left.select("key", "tab", "node", "label", "d_low", "is_main"), "near-open")
+    buckets = written(keys.join(crowd.hint("merge"), "key"), "near-buckets")
     short = lambda c: F.transform(c, lambda v: F.hash(v)).alias(c)
-    fine = sketches(left.select("node").distinct(), sets).join(one.hint("merge"), "node").select("node", "sketch", short("a"), short("b"))
+    fine = nodes.join(buckets.select("node").distinct().hint("merge"), "node").select("node", "n", "small", "large", short("a"), short("b"))
     fine = written(fine, "near-sketches")
-    x, y = (rows.join(fine.hint("merge"), "node").alias(n) for rows, n in ((left.where("NOT is_main"), "x"), (left, "y")))
+
+    stars = buckets.select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")).where("a <> b").distinct()
+    stars = stars.join(fine.select(F.col("node").alias("a"), F.struct("n", "small", "large").alias("x")).hint("merge"), "a")
+    stars = stars.join(fine.select(F.col("node").alias("b"), F.struct("n", "small", "large").alias("y")).hint("merge"), "b")
+    stars = written(stars.where(possible("x", "y", percent)).select("a", "b"), "near-stars")
+    links = linked(stars, docs, nodes, percent, id_col, text_col, width)
+    label = components(links)
+
+    left = buckets.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")).drop("low")
+    sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_keys = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"))
+    open_keys = open_keys.where("labels > 1 AND n > 2").select("key", "main")
+    left = left.join(open_keys.hint("merge"), "key").withColumn("is_main", F.col("label") == F.col("main")).drop("main")
+    left = written(left.join(fine.hint("merge"), "node"), "near-open")
+    x, y = left.where("NOT is_main").alias("x"), left.alias("y")
     apart = (F.col("x.label") != F.col("y.label")) & (F.col("y.is_main") | (F.col("x.node") < F.col("y.node")))
-    bits = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    alike = bits <= sketch_limit(percent)
-    once = F.col("x.tab") == halves * first_equal("x.a", "y.a") + first_equal("x.b", "y.b")
-    rest = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & apart & near(row("x"), row("y")) & alike & once).select(*pair(F.col("x.node"), F.col("y.node")))
-    known = first.select("a", "b").unionByName(second.select("a", "b"))
-    rest = written(rest.distinct().join(known.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
-    more = verified(rest, sets, percent).where("linked").select("a", "b")
-    label = written(components(links.unionByName(more)), "near-labels")
-
-    named = nodes.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = named.join(least.hint("merge"), "label").select("node", "component_id")
-    rows_out = all_rows.select("id", "n", F.when(~lone, F.col("node")).alias("node")).join(named.hint("merge"), "node", "left")
+    rest = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & apart & possible("x", "y", percent) & once(halves))
+    rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    rest = written(rest.join(stars.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
+    more = linked(rest, docs, nodes, percent, id_col, text_col, width)
+
+    ids = nodes.select("node", F.struct("id", "node").alias("v"))  # a component is named by its smallest id, then node
+    named = links.unionByName(more).join(ids.select(F.col("node").alias("a"), F.col("v").alias("va")).hint("merge"), "a")
+    named = named.join(ids.select(F.col("node").alias("b"), F.col("v").alias("vb")).hint("merge"), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    found = components(named).select("node.node", F.col("label.id").alias("least"))
+    found = nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("least", "id").alias("component_id"))
+    found = written(found, "near-components")
+    forget(nodes, buckets, fine, stars, links, left, rest, more)
+    more = ["h"] if keyed else []
+    rows_out = all_rows.select("id", "n", F.when(~lone, F.col("node")).alias("node"), *more).join(found.hint("merge"), "node", "left")
     component = F.coalesce("component_id", "id")
-    return rows_out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return rows_out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *more)

@@ -28,6 +28,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` that no later plan reads."""
+    for table in tables:
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            jvm_path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def sized(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """`df` with a join hint by its counted rows: broadcast up to `most_rows`, else sort-merge. Count cheap (written) tables only."""
     return df.hint("broadcast" if df.limit(most_rows + 1).count() <= most_rows else "merge")
