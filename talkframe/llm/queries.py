@@ -45,6 +45,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of operator 7: documents that hold a benchmark window altered, and of which items."""
+    found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=True)
+    return found.where("n_near > 0").select("doc_id", "n_near", "near_items", "contaminated")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -60,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_language_id, op4_sharding, op5_mixing, op6_near_dedup, op7_decontamination, op8_suffix_dedup, op9_html_extraction, op10_quality)}
+QUERIES = {f.__name__: f for f in (decontamination_near, op1_token_counts, op2_exact_dedup, op3_language_id, op4_sharding, op5_mixing, op6_near_dedup, op7_decontamination, op8_suffix_dedup, op9_html_extraction, op10_quality)}
 
 ORACLES = {
     "op2_exact_dedup": r"""

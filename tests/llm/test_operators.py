@@ -192,13 +192,49 @@ def test_contamination(spark, docs, empty):
     assert decontamination.contamination(docs, none).where("contaminated").count() == 0
 
 
+def near_passages_brute(rows, items, size=10, slop=3, lacks=5, lists=3):
+    """Documents and items whose windows occur altered but nowhere word for word."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    seen = collections.Counter(w for r in rows for w in words(r[1]))
+    out = collections.defaultdict(set)
+    for doc, text in rows:
+        w = words(text)
+        at = collections.defaultdict(list)
+        for i, x in enumerate(w):
+            at[x].append(i)
+        for item, t in items:
+            v, exact, near = words(t), False, False
+            for o in range(max(len(v) - size, 0) + 1 if v else 0):
+                p = v[o : o + size]
+                rare = sorted(range(len(p)), key=lambda k: (p[k] not in seen, seen[p[k]], k))[:lists]
+                n = len(rare)
+                met = collections.Counter(i - k for k in rare for i in at[p[k]])
+                for start in met:
+                    exact |= w[max(start, 0) : max(start, 0) + len(p)] == p and start >= 0
+                    close = sum(c for s, c in met.items() if abs(s - start) <= slop)
+                    if met[start] >= n or close >= max(n - 1, min(n, 2)):
+                        got = sum(any(abs(i - start - k) <= slop for i in at[x]) for k, x in enumerate(p))
+                        near |= got >= len(p) - len(p) // lacks
+            if near and not exact:
+                out[doc].add(str(item))
+    return {d: ",".join(sorted(v)) for d, v in out.items()}
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "one two x three four five six seven eight nine ten"), (3, "ten nine")], "doc_id bigint, text string")
-    items = spark.createDataFrame([(7, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
-    chosen = decontamination.anchors(decontamination.windows(items), docs)
-    index = decontamination.postings(docs, chosen.select("term").distinct())
-    assert [r.id for r in decontamination.phrase_matches(index, chosen).collect()] == [1]
-    assert {r.id for r in decontamination.proximity_matches(index, chosen, 3).collect()} >= {1}
+    random.seed(4)
+    say = lambda n: " ".join(random.choices("alpha beta gamma delta eps zeta eta theta iota kappa the of and".split(), k=n))
+    passage = "one two three four five six seven eight nine ten"
+    texts = [passage, "one two x three four five six seven eight nine ten", "ten nine", passage.replace("seven", "7"), passage.replace("seven", "7").replace("two", "2"), "nine ten " + say(200), say(30) + " " + passage + " two one " + say(30), None, ""]
+    texts += [say(300) for _ in range(5)] + [say(20) + " " + " ".join(w for w in passage.split() if w != "six") + " " + say(20), "one clean text of ten new words " * 9]
+    rows = list(enumerate(texts))
+    items = [(7, passage), (8, passage + " " + say(9)), (9, "nine ten"), (10, "the of the of the and the of and the")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontamination.contamination(docs, tests, near=True).collect()
+    want = near_passages_brute(rows, items)
+    assert {r.doc_id: r.near_items for r in got if r.n_near} == want and {1, 3, len(texts) - 2} <= set(want) and not {0, 7, 8, len(texts) - 1} & set(want)
+    assert collections.Counter(tuple(r)[:6] for r in got) == contaminated_brute(rows, items)
+    assert decontamination.contamination(docs, tests.where("false"), near=True).where("n_near > 0").count() == 0
 
 
 def repeats_brute(rows, length=100):
@@ -264,7 +300,7 @@ def test_quality(spark, empty):
     assert quality.fit(df, labels.where("false"), F.lit(True)) is None and quality.score(empty, None).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("op")))
 def test_query_runs(spark, sf, name):
     table = "pages" if name.startswith("op9_") else "documents"
     assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
