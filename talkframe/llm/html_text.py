@@ -12,21 +12,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is never text, elements that hold page furniture, and elements that begin a block.
-HIDDEN = frozenset("script style noscript template head title svg canvas iframe object math textarea select option button".split())
+#: Elements whose content is read as raw text and never shown, elements that show no text, those of them that end where a block begins, and elements
+#: that hold page furniture.
+RAW = frozenset("script style noscript title iframe textarea".split())
+HIDDEN = frozenset("template svg canvas object math select option button".split())
+INLINE_HIDDEN = frozenset("svg math select option button".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role of an element that mark page furniture.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|comment-?list|complementary|consent|contentinfo|cookies?|disqus|"
-    r"footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|related|replies|respond|share|sharing|"
-    r"sidebar|signup|skip|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-]|\d)",
+#: Words in class, id or role of an element that name page furniture, and those that only hint at it.
+NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|breadcrumbs?|comments?|comment-?list|complementary|consent|contentinfo|cookies?|disqus|"
+    r"footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|pagination|popup|replies|respond|sidebar|sponsor(?:ed)?|toolbar)(?:$|[\s_-]|\d)",
     re.I,
 )
+HINTS = re.compile(r"(?:^|[\s_-])(?:banner|header|notice|promo|related|share|sharing|signup|skip|social|subscribe|widget)(?:$|[\s_-]|\d)", re.I)
 #: Frequent short words of the languages that the density rule knows.
 STOP_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his i if in is it its not of on or she that the their they this to was we were which will with you "
@@ -41,7 +44,8 @@ CLOSERS = {
     "tr": ("tr", "tbody thead tfoot table"), "option": ("option", "select datalist"),
 }
 CLOSERS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSERS.items()}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|([^<]+|<)", re.S)
+#: A tag ends at the first ">" outside quotes; a quote that is never closed is a plain character. Nothing here is tried twice, so pages are read in linear time.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>\"[^\"]*\"|'[^']*'|[^>\"']++|[\"'])*+)(?:>|\Z)|([^<]++|<)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"\w+")
 
@@ -51,41 +55,50 @@ class Block:
     text: str
     linked: int
     heading: bool
-    inside: bool  # of an article, main or similar element
+    inside: int  # the number of the article, main or similar element around it, 0 for none
     furniture: bool
+    hinted: bool = False
 
 
-def furniture(name: str, rest: str, inside: bool) -> bool:
-    if name in FURNITURE and not (inside and name == "header"):
-        return True
-    marks = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)} if rest.strip() else {}
-    if name in ("html", "body", "article", "main"):
-        return False
-    return "hidden" in marks or marks.get("aria-hidden", "").lower() == "true" or any(MARKS.search(marks.get(k, "")) for k in ("class", "id", "role"))
+def standing(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
+    """Is an element page furniture, by its name, its names in attributes or because it is hidden; and do its names hint at it?"""
+    if name in HIDDEN or (name in FURNITURE and not (inside and name == "header")):
+        return True, False
+    if name in ("html", "body", "article", "main") or not rest.strip():
+        return False, False
+    marks = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
+    names = [marks.get(k, "") for k in ("class", "id", "role")]
+    hidden = "hidden" in marks or marks.get("aria-hidden", "").lower() == "true"
+    return hidden or any(map(NAMES.search, names)), any(map(HINTS.search, names))
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with what the rules need to know of each. Broken markup is read as far as it goes."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, is it furniture, is it the article
+    open_tags: list[tuple[str, bool, bool, bool, int]] = []  # name, is it furniture, is it the article, is it a hint, and where its text begins in `parts`
     counts: Counter[str] = Counter()  # how many of each name are open
+    unclosed: set[str] = set()  # raw elements without an end tag in the rest of the page
     parts: list[str] = []
-    linked = links = furnished = articles = 0
+    linked = links = furnished = articles = hints = nth = unseen = 0
     heading = False
 
     def close() -> None:
         nonlocal parts, linked, heading
         if parts and (text := " ".join("".join(parts).split())):
-            out.append(Block(text, linked, heading, articles > 0, furnished > 0))
+            out.append(Block(text, linked, heading, nth if articles else 0, furnished > 0, hints > 0))
         parts, linked = [], 0
 
     def pop() -> str:
-        nonlocal furnished, articles, links
+        nonlocal furnished, articles, links, hints, unseen
         was = open_tags.pop()
         counts[was[0]] -= 1
         furnished -= was[1]
         articles -= was[2]
+        hints -= was[3]
         links -= was[0] == "a"
+        if was[0] in INLINE_HIDDEN:
+            unseen -= 1
+            del parts[was[4] :]
         return was[0]
 
     at, size = 0, len(page)
@@ -101,20 +114,29 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if name == "head" and not end:
+            continue
         if name in BLOCKS:
+            while unseen:
+                pop()
             close()
             heading = not end and len(name) == 2 and name[0] == "h" and name[1].isdigit()
         elif name == "br":
             parts.append("\n")
         if end:
+            if name in HIDDEN and name not in INLINE_HIDDEN:
+                close()
             if counts[name]:
                 while pop() != name:
                     pass
-        elif name in HIDDEN and not rest.rstrip().endswith("/"):
-            if name == "head":
-                continue
-            stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else size
+        elif name in RAW and not rest.rstrip().endswith("/"):
+            stop = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if stop:
+                at = stop.end()
+            elif name in ("script", "style"):
+                at = size
+            else:
+                unclosed.add(name)
         elif name not in VOID and not rest.rstrip().endswith("/"):
             if name == "p" and open_tags and open_tags[-1][0] == name:
                 pop()
@@ -128,11 +150,16 @@ def blocks(page: str) -> list[Block]:
                     if open_tags[k][0] in holders or open_tags[k][0] in FURNITURE or open_tags[k][0] in ("article", "main", "div", "section"):
                         break
             if name != "p" or rest.strip():
-                is_furniture, is_article = furniture(name, rest, articles > 0), name in ("article", "main")
-                open_tags.append((name, is_furniture, is_article))
+                (is_furniture, is_hint), is_article = standing(name, rest, articles > 0), name in ("article", "main")
+                if name in HIDDEN and name not in INLINE_HIDDEN:
+                    close()
+                open_tags.append((name, is_furniture, is_article, is_hint, len(parts)))
+                unseen += name in INLINE_HIDDEN
                 counts[name] += 1
+                nth += is_article and not articles
                 furnished += is_furniture
                 articles += is_article
+                hints += is_hint
                 links += name == "a"
     close()
     return out
@@ -142,51 +169,57 @@ GOOD, BAD, NEAR_GOOD, SHORT = "good", "bad", "near-good", "short"
 
 
 def first_pass(found: list[Block], short: int, long: int, low: float, high: float, most_links: float) -> list[str]:
-    """Labels that a block earns by itself: by what holds it, its length, its stop-word density and its link density. Where no block of a
-    page has the stop words of a known language, length and link density decide."""
+    """Labels that a block earns by itself: by furniture around it, link density, length and stop-word density. Inside an article a block without stop words is
+    undecided, elsewhere bad. Where no block of a page has the stop words of a known language, length and link density decide."""
     labels = []
     words = [WORD.findall(b.text.lower()) for b in found]
     densities = [sum(w in STOP_WORDS for w in ws) / len(ws) if ws else 0.0 for ws in words]
     known = any(d >= low for b, d in zip(found, densities, strict=True) if len(b.text) >= short)
     for b, density in zip(found, densities, strict=True):
-        if b.furniture or b.linked / len(b.text) > most_links:
-            labels.append(BAD)
-        elif b.text.startswith(("\xa9", "(c)")):
+        if b.furniture or b.linked / len(b.text) > most_links or b.text.startswith(("\xa9", "(c)")):
             labels.append(BAD)
-        elif b.inside:
-            labels.append(GOOD)
         elif len(b.text) < short:
             labels.append(SHORT)
-        elif not known:
-            labels.append(GOOD if len(b.text) > long else NEAR_GOOD)
-        elif density >= high:
-            labels.append(GOOD if len(b.text) > long else NEAR_GOOD)
-        elif density >= low:
+        elif density >= (high if known else 0.0) and len(b.text) > long:
+            labels.append(GOOD)
+        elif density >= low or not known:
             labels.append(NEAR_GOOD)
         else:
-            labels.append(BAD)
+            labels.append(SHORT if b.inside else BAD)
     return labels
 
 
-def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
-    """Ambiguous blocks inherit from the nearest decided neighbours: short ones need both sides good (or the next one, for a
-    heading), nearly good ones need one side; the ends of the page count as bad."""
+def sides(found: list[Block], labels: list[str]) -> list[tuple[str, str]]:
+    """The nearest decided labels before and after each block. Inside an article only its own blocks count, and its ends are good; outside all blocks
+    count, and the ends of the page are bad."""
+
+    def one_way(order: range) -> list[str]:
+        side, outer, inner, place = [BAD] * len(found), BAD, GOOD, 0
+        for i in order:
+            if found[i].inside != place:
+                inner, place = GOOD, found[i].inside
+            side[i] = inner if place else outer
+            if labels[i] in (GOOD, BAD):
+                outer = inner = labels[i]
+        return side
+
     n = len(found)
-    before, after = [BAD] * n, [BAD] * n
-    for i in range(1, n):
-        before[i] = labels[i - 1] if labels[i - 1] in (GOOD, BAD) else before[i - 1]
-    for i in range(n - 2, -1, -1):
-        after[i] = labels[i + 1] if labels[i + 1] in (GOOD, BAD) else after[i + 1]
+    return list(zip(one_way(range(n)), one_way(range(n - 1, -1, -1)), strict=True))
+
+
+def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
+    """Undecided blocks inherit from their nearest decided neighbours. Each good side counts one, an article around the block one, a hint at furniture
+    takes two: nearly good blocks need one, short ones two (a heading just a good block after it, with a hint in an article only). If a page is left without text, its undecided blocks stay."""
     keep = []
-    for i, b in enumerate(found):
-        sides = (before[i] == GOOD) + (after[i] == GOOD)
-        if labels[i] == SHORT:
-            keep.append(sides == 2 or (b.heading and after[i] == GOOD))
-        elif labels[i] == NEAR_GOOD:
-            keep.append(sides >= 1)
+    for b, label, (before, after) in zip(found, labels, sides(found, labels), strict=True):
+        points = (before == GOOD) + (after == GOOD) + (b.inside > 0) - 2 * b.hinted
+        if label == SHORT:
+            keep.append(points >= 2 or (b.heading and after == GOOD and (b.inside > 0 or not b.hinted)))
+        elif label == NEAR_GOOD:
+            keep.append(points >= 1)
         else:
-            keep.append(labels[i] == GOOD)
-    return keep
+            keep.append(label == GOOD)
+    return keep if any(keep) else [label in (SHORT, NEAR_GOOD) and not b.hinted for b, label in zip(found, labels, strict=True)]
 
 
 def main_text(page: str, short: int = 70, long: int = 200, low: float = 0.2, high: float = 0.3, most_links: float = 0.5) -> str:
@@ -199,8 +232,9 @@ def main_text(page: str, short: int = 70, long: int = 200, low: float = 0.2, hig
 def extract(pages: DataFrame, id_cols: Iterable[str] = ("page_id", "url"), html_col: str = "html", **rules: float) -> DataFrame:
     """One row per page: the id columns, text and n_chars (code points).
 
-    Null or empty html gives the empty text; pages without an article element are judged by the density rules alone; repeated
-    rows are extracted each; an empty table gives an empty result; other columns are ignored. Scan only: no shuffle.
+    Null or empty html gives the empty text; an article or main element is evidence for undecided blocks only, and pages without one are judged
+    by the density rules alone; markup of any length and brokenness is read in linear time; repeated rows are extracted each; an empty table gives an
+    empty result; other columns are ignored. Scan only: no shuffle.
     """
     ids = list(id_cols)
 
