@@ -209,7 +209,7 @@ def sides(found: list[Block], labels: list[str]) -> list[tuple[str, str]]:
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Undecided blocks inherit from their nearest decided neighbours. Each good side counts one, an article around the block one, a hint at furniture
-    takes two: nearly good blocks need one, short ones two (a heading just a good block after it, with a hint in an article only). If a page is left without text, its undecided blocks stay."""
+    takes two: nearly good blocks need one, short ones two (a heading just a good block after it, with a hint in an article only). If a page is left without text, its undecided blocks with words stay."""
     keep = []
     for b, label, (before, after) in zip(found, labels, sides(found, labels), strict=True):
         points = (before == GOOD) + (after == GOOD) + (b.inside > 0) - 2 * b.hinted
@@ -219,7 +219,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
             keep.append(points >= 1)
         else:
             keep.append(label == GOOD)
-    return keep if any(keep) else [label in (SHORT, NEAR_GOOD) and not b.hinted for b, label in zip(found, labels, strict=True)]
+    return keep if any(keep) else [label in (SHORT, NEAR_GOOD) and not b.hinted and WORD.search(b.text) is not None for b, label in zip(found, labels, strict=True)]
 
 
 def main_text(page: str, short: int = 70, long: int = 200, low: float = 0.2, high: float = 0.3, most_links: float = 0.5) -> str:
