@@ -262,9 +262,46 @@ def test_remove_repeats(spark, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_anchors_of_a_cut_text():
-    text = random.Random(5).randbytes(5000)
-    assert b"".join(p[: suffix_dedup.MOST - 100] for _, p in suffix_dedup.pieces(text, 100)) == text
+def test_cut_texts_give_the_same(spark):
+    rng = random.Random(5)
+    text = rng.randbytes(5000)
+    assert b"".join(p[: 700 - 100] for _, p in suffix_dedup.pieces(text, 100, 700)) [: len(text) - 99] == text[: len(text) - 99]
+    say = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    long, part = say(9000), say(400)
+    rows = [(1, long), (2, say(700) + long[3000:5000] + say(90)), (3, part + say(1500) + part), (4, say(10)), (5, long[::-1] + part)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(2)
+    want = repeats_brute([(i, t) for i, t in rows])
+    for most in (700, 1 << 24):
+        got = collections.Counter(map(tuple, suffix_dedup.remove_repeats(df, most=most).collect()))
+        assert got == collections.Counter((i, *want[(i, t.encode())]) for i, t in rows)
+
+
+def test_order_of_suffixes():
+    import numpy as np
+
+    rng = random.Random(2)
+    data = np.frombuffer(bytes(rng.choice(b"ab\xff") for _ in range(40)) * 6 + rng.randbytes(200), np.uint8)
+    for length in (8, 20, 100):
+        where = np.array(rng.sample(range(len(data) - length), 200))
+        order, tied = suffix_dedup.multikey_sorted(data, where, length)
+        found = [data[i : i + length].tobytes() for i in where[order]]
+        assert found == sorted(found) and tied.tolist() == [i > 0 and found[i] == found[i - 1] for i in range(200)]
+        assert all(order[i - 1] < order[i] for i in range(1, 200) if tied[i])
+
+
+def test_a_hot_lead_is_cut_by_context(spark):
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = say(60)
+    rows = [(i, say(120) + line + say(60) + (line + "!" if i % 3 else say(5))) for i in range(300)] + [(400 + i, line + "same end of it all " * 8) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    keyed = df.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("h"), "text")
+    assert suffix_dedup.splitters(keyed, 100, 64, 1.0)[1]  # leads that fill more than one range
+    want = repeats_brute(rows)
+    got = collections.Counter(map(tuple, suffix_dedup.remove_repeats(df, sample=1.0).collect()))
+    assert got == collections.Counter((i, *want[(i, t.encode())]) for i, t in rows)
+    with pytest.raises(TypeError):
+        suffix_dedup.remove_repeats(df.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_html():
