@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkframe.llm.tables import slices
+
 #: The characters that equality ignores.
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """Which row stays for every row: id, keep_id, group_size, kept, text_sha256, n_rows_alike (rows that share id and text).
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
+    """Which row stays for every row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without the characters of WHITE. The longest original text (code points) stays, then
     the smallest id; a null id comes after all others, a null text is the empty text, and empty texts are one group.
@@ -19,8 +21,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal texts meet in three stages, each grouping by digest *and* whole text: within the input partition (the map side
     of the first aggregation), within one of `salts` slices of a digest, and over the slices. So a text that fills a
     third of the table reaches any one task as one row per partition, then as `salts` rows. The way back to the rows
-    joins on digest and slice, which spreads the same text over `salts` keys.
+    joins on digest and slice, which spreads the same text over `salts` keys; by default as many as shuffles have partitions.
     """
+    salts = salts or slices(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = F.translate(text, WHITE, "")
     rows = docs.select(
@@ -31,8 +34,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         norm.alias("content"),
         F.struct((-F.char_length(text)).alias("short"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id")).alias("rank"),
     )
-    slices = rows.groupBy("digest", "second", "salt", "content").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"))
-    groups = slices.groupBy("digest", "second", "content").agg(
+    parts = rows.groupBy("digest", "second", "salt", "content").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"))
+    groups = parts.groupBy("digest", "second", "content").agg(
         F.sum("n").alias("group_size"), F.min("rank").alias("rank"), F.collect_set("salt").alias("in_salts")
     )
     found = groups.select("digest", "second", F.explode("in_salts").alias("salt"), F.col("rank.id").alias("keep_id"), "group_size")

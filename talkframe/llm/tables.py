@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a new local one."""
+    """The folder in spark.checkpoint.dir; only where that is unset and Spark runs in one process (tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="talkframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,6 +44,11 @@ def sized(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return df.hint("broadcast" if df.limit(most_rows + 1).count() <= most_rows else "merge")
 
 
+def slices(spark: SparkSession) -> int:
+    """Into how many slices a hot group is cut: as many as shuffles have partitions, 16 at least."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
