@@ -70,46 +70,38 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", buckets: int = BUCKETS, most_bytes: int = 256 << 20) -> Model | None:
     """Counts every n-gram of every labelled row, on the executors; null where there is no labelled row.
 
-    Each input partition counts its batches into one vector per class and sends it in blocks; Spark sums the blocks. What
+    Each input partition counts its rows into one vector per class and sends the counts that are not 0; Spark sums them up by class and bucket. What
     reaches the driver is classes x `buckets` numbers, whatever the input; more than `most_bytes` of them is an error.
     """
-    block = 1 << 10
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        n_docs: dict[str, int] = {}
         for batch in batches:
             for label, text in zip(batch.column(1).to_pylist(), batch.column(0), strict=True):
-                have = sums.setdefault(label, np.zeros(buckets, np.int64))
-                n_docs[label] = n_docs.get(label, 0) + 1
+                have = sums.setdefault(label, np.zeros(buckets + 1, np.int64))
+                have[buckets] += 1  # documents
                 for ix in gram_buckets(text.as_py(), buckets):
-                    have += np.bincount(ix, minlength=buckets)
-        rows = [(k, b // block, v[b : b + block].tolist(), n_docs[k] if not b else 0) for k, v in sums.items() for b in range(0, buckets, block)]
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        kinds = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["label", "block", "counts", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.asarray(c.values) for c in table.column("counts")], axis=0).tolist()
-        first = table.slice(0, 1).select(["label", "block"])
-        n = sum(table.column("n").to_pylist())
-        return first.append_column("counts", pa.array([total], pa.list_(pa.int64()))).append_column("n", pa.array([n], pa.int64()))
-
-    shape = "label string, block int, counts array<bigint>, n bigint"
+                    have[:buckets] += np.bincount(ix, minlength=buckets)
+        for label, have in sums.items():
+            ix = np.flatnonzero(have)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(ix), pa.string()), pa.array(ix), pa.array(have[ix])], names=["label", "bucket", "n"])
+
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null")
-    parts = rows.mapInArrow(count, shape).groupBy("label", "block").applyInArrow(add, shape)
-    found = parts.limit(most_bytes // (8 * block) + 1).collect()
+    parts = rows.mapInArrow(count, "label string, bucket bigint, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    by_class = parts.groupBy("label").agg(F.collect_list("bucket").alias("ix"), F.collect_list("n").alias("n"))
+    most = most_bytes // (8 * buckets)
+    found = by_class.limit(most + 1).collect()
     if not found:
         return None
-    classes = sorted({r.label for r in found})
-    if len(classes) * buckets * 8 > most_bytes:
-        raise ValueError(f"{len(classes)} classes are too many for one broadcast model of {most_bytes} bytes")
-    counts, priors = np.zeros((buckets, len(classes))), np.zeros(len(classes))
-    for r in found:
-        counts[r.block * block : r.block * block + len(r.counts), classes.index(r.label)] = r.counts
-        priors[classes.index(r.label)] += r.n
+    if len(found) > most:
+        raise ValueError(f"more than {most} classes are too many for one broadcast model of {most_bytes} bytes")
+    found = sorted(found, key=lambda r: r.label)
+    counts = np.zeros((buckets + 1, len(found)))
+    for k, r in enumerate(found):
+        counts[r.ix, k] = r.n
+    priors, counts = counts[buckets], counts[:buckets]
     logs = np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * buckets)
-    return Model(classes, logs.astype(np.float32), np.log(priors / priors.sum()))
+    return Model([r.label for r in found], logs.astype(np.float32), np.log(priors / priors.sum()))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
