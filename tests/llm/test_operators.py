@@ -98,6 +98,10 @@ def test_sharding(docs, empty):
     assert set(by) == set(range(7)) and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert sharding.shard(empty, 7).count() == 0
+    spread = collections.defaultdict(set)
+    for r in got:
+        spread[r.text_crc32, r["size"]].add(r.shard)
+    assert all(len(s) <= 2 and max(s) - min(s) == len(s) - 1 for s in spread.values())  # a run's end may cut a group
     carried = sharding.shard(docs, 7, carry=True)
     assert carried.count() == len(rows) and carried.select("row.*").columns == docs.columns
     table = sharding.curve_table()
@@ -106,6 +110,19 @@ def test_sharding(docs, empty):
     assert all(sum(abs(x - y) for x, y in zip(place[i], place[i + 1], strict=True)) == 1 for i in range(4095))
 
 
+def test_sharding_of_a_hot_text_and_long_names(spark):
+    rows = [(i, "same text" if i % 3 else f"text {i % 900}", f"https://host-{i % 40:02}.example/", "en") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").repartition(5)
+    got = sharding.shard(docs, 10, most=1).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append((r.slot, r.text_crc32))
+    assert sorted(by) == list(range(10)) and all(sorted(s for s, _ in v) == list(range(600)) for v in by.values())
+    line = [c for k in sorted(by) for _, c in sorted(by[k])]
+    assert sum(a != b for a, b in zip(line, line[1:])) == len(set(line)) - 1  # equal texts lie side by side
+    assert sharding.common_bytes(docs, ("source", "lang")) == [13, 2]
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=str)
