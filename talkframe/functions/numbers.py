@@ -3,147 +3,175 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: The number words.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+#: The number words, their irregular endings, and the words and signs around numbers.
+ONES = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-SCALES = "thousand million billion trillion quadrillion".split()
-ORDINALS = {"first": 1, "second": 2, "third": 3, "fifth": 5, "eighth": 8, "ninth": 9, "twelfth": 12}
-SIGNS = {"dollar": "$", "dollars": "$", "pound": "£", "pounds": "£", "euro": "€", "euros": "€", "cent": "¢", "cents": "¢"}
+SCALES = "thousand million billion trillion quadrillion quintillion sextillion septillion octillion nonillion decillion".split()
+ZEROS = "o oh zero".split()
+ORDINALS = {"first": (1, "st"), "second": (2, "nd"), "third": (3, "rd"), "fifth": (5, "th"), "twelfth": (12, "th"), "zeroth": (0, "th")}
+BEFORE = {"minus": "-", "negative": "-", "plus": "+", "positive": "+"}
+AFTER = {"dollar": "$", "dollars": "$", "pound": "£", "pounds": "£", "euro": "€", "euros": "€", "cent": "¢", "cents": "¢"}
 REPEAT = {"double": 2, "triple": 3}
+SIGNS = "-+$£€¢"
 
-VALUE = {w: i for i, w in enumerate(ONES)} | {w: 20 + 10 * i for i, w in enumerate(TENS)} | {"oh": 0, "o": 0}
-SCALE = {w: 1000 ** (i + 1) for i, w in enumerate(SCALES)} | {"hundred": 100}
 
+def _lexicon() -> dict[str, tuple[str, int, str]]:
+    """Every number word: what it is (unit, ten or scale), its value, and the ending that closes the number."""
+    plain = {w: ("unit", n) for n, w in enumerate(ONES, 1)} | {w: ("ten", 10 * n) for n, w in enumerate(TENS, 2)}
+    plain |= {"hundred": ("scale", 100)} | {w: ("scale", 1000**n) for n, w in enumerate(SCALES, 1)}
+    words = {w: (*v, "") for w, v in plain.items()} | {w: ("unit", *v) for w, v in ORDINALS.items()}
+    irregular = {n for n, _ in ORDINALS.values()}
+    for w, (kind, n) in plain.items():
+        stem = w[:-1] + "i" if kind == "ten" else w
+        words["sixes" if w == "six" else stem + ("es" if kind == "ten" else "s")] = (kind, n, "s")
+        if kind != "unit" or n not in irregular:
+            words[stem + ("eth" if kind == "ten" else "h" if w.endswith("t") and kind == "unit" else "th")] = (kind, n, "th")
+    return words | {w: ("zero", 0, "") for w in ZEROS}
 
-def ending(word: str) -> tuple[str, str] | None:
-    """A plural or ordinal number word as its plain word and its ending."""
-    if word in ORDINALS:
-        n = ORDINALS[word]
-        return ONES[n], {1: "st", 2: "nd", 3: "rd"}.get(n, "th")
-    for tail, swap in (("ieth", "y"), ("th", ""), ("ies", "y"), ("s", "")):
-        base = word[: -len(tail)] + swap
-        if word.endswith(tail) and (base in VALUE or base in SCALE) and base not in ("oh", "o"):
-            return base, "th" if tail.endswith("th") else "s"
-    return None
+
+LEXICON = _lexicon()
+KNOWN = {*LEXICON, *BEFORE, *AFTER, *REPEAT, "per", "percent", "and", "point"}
+PLAIN = {w: v for w, v in LEXICON.items() if not v[2]}
+FIGURES = re.compile(r"\d+(\.\d+)?")
+HALF = re.compile(r"\band\s+a\s+half\b")
+BORDER = re.compile(r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
+ENDING = re.compile(r"(?<=[0-9])\s+(?=(?:st|nd|rd|th|s)\b)")
+CENTS = re.compile(r"([€£$])([0-9]+) (?:and )?¢([0-9]{1,2})\b")
+ONLY_CENTS = re.compile(r"[€£$]0.([0-9]{1,2})\b")
+LONE_ONE = re.compile(r"\b1(s?)\b")
+
+
+def kind_of(word: str | None) -> str:
+    return PLAIN[word][0] if word in PLAIN else ""
 
 
 class Number:
-    """A spoken number as it grows: finished scales, the open group, and the digits as text once they are read out one by one."""
+    """A number as it is spoken: `held` is an amount (int) while its words add up, and a row of figures (str) once they are read out one by
+    one; `sign` waits for the next thing that is said."""
 
     def __init__(self) -> None:
-        self.total, self.group, self.text, self.open = 0, 0, "", False
-        self.low = 0  # the least place that the open group still has room for
-
-    def add(self, value: int) -> bool:
-        """Takes a number below 100 if it can still belong to this number."""
-        if not self.open:
-            self.group, self.open = value, True
-        elif self.low == 100 and value < 100 or self.low == 10 and 0 < value < 10:
-            self.group += value
-        elif self.total or self.group >= 100 and self.low:
-            return False
+        self.held: int | str | None = None
+        self.sign = ""
+
+    def say(self, what: str) -> str:
+        what, self.sign, self.held = self.sign + what, "", None
+        return what
+
+    def flush(self) -> Iterator[str]:
+        if self.held is not None:
+            yield self.say(str(self.held))
+
+    def row(self, figures: str) -> None:
+        """Figures behind what is held; an amount of nothing leaves no figure."""
+        self.held = f"{self.held or ''}{figures}"
+
+    def below_hundred(self, kind: str, n: int, before: str | None) -> None:
+        """A unit or ten: it fills the empty places of an amount, or follows as figures. A unit after a ten in a row of figures takes its zero's place; two units
+        running are figures."""
+        room = 10 if n < 10 else 100
+        if self.held is None:
+            self.held = n
+        elif isinstance(self.held, str) and kind == "unit" and n < 10 and kind_of(before) == "ten":
+            self.held = self.held[:-1] + str(n)
+        elif isinstance(self.held, str) or (kind == "unit" and kind_of(before) == "unit") or self.held % room:
+            self.held = f"{self.held}{n}"
         else:
-            self.text += str(self.group)
-            self.group = value
-        self.low = 10 if value >= 20 and value % 10 == 0 else 0
-        return True
-
-    def scale(self, by: int) -> None:
-        if by == 100:
-            self.group = (self.group or 1) * 100
-            self.low = 100
+            self.held += n
+
+    def scale(self, by: int) -> Iterator[str]:
+        """Hundred, thousand and so on: of an amount the last three places are multiplied, of figures the whole, if that is whole."""
+        if self.held is None:
+            self.held = by
+        elif isinstance(self.held, int):
+            self.held += self.held % 1000 * (by - 1)
         else:
-            self.total += (self.group or 1) * by
-            self.group, self.low = 0, 100
-        self.open = True
-
-    def __str__(self) -> str:
-        return self.text + str(self.total + self.group)
-
-
-def digits(text: str) -> str:
-    """A text with its spoken numbers as digits: scales, ordinals and plurals, decimals after "point", currencies, percent, double and triple, "and a half"."""
-    words = re.sub(r"\band\s+a\s+half\b", "point five", text).split()
-    out: list[str] = []
-    number: Number | None = None
-    tail = None  # digits behind the point
-    sign = ""
-
-    def close(end: str = "") -> None:
-        nonlocal number, tail, sign
-        if number is not None or tail is not None:
-            out.append(sign + (str(number) if number is not None else "0") + (f".{tail}" if tail else "") + end)
-        number, tail, sign = None, None, ""
-
-    i = 0
-    while i < len(words):
-        word = words[i]
-        following = words[i + 1] if i + 1 < len(words) else ""
-        plain = ending(word) if word not in VALUE and word not in SCALE else None
-        base, suffix = plain or (word, "")
-        if re.fullmatch(r"[$£€¢]?\d+(\.\d+)?", word) and (following in SCALE):
-            close()
-            mark = word[0] if word[0] in "$£€¢" else ""
-            value = float(word.lstrip("$£€¢")) * SCALE[following]
-            out.append(mark + (str(int(value)) if value == int(value) else str(value)))
-            i += 2
-            continue
-        if word in REPEAT and following in VALUE and VALUE[following] < 10:
-            if number is None:
-                number = Number()
-                number.group, number.open = int(str(VALUE[following]) * REPEAT[word]), True
+            try:
+                product = Fraction(self.held) * by
+            except ValueError:  # a lone point
+                product = None
+            if product is None or product.denominator > 1:
+                yield from self.flush()
+                self.held = by
             else:
-                number.text, number.group, number.total = str(number) + str(VALUE[following]) * (REPEAT[word] - 1), VALUE[following], 0
-            i += 2
+                self.held = product.numerator
+
+    def figures(self, word: str) -> Iterator[str]:
+        """Arabic figures, maybe with a sign: they go on behind a point, else they are a number of their own."""
+        if isinstance(self.held, str) and self.held.endswith("."):
+            self.held += word
+            return
+        yield from self.flush()
+        self.sign = word[0] if word[0] in SIGNS else self.sign
+        word = word.lstrip(SIGNS)
+        self.held = int(Fraction(word)) if Fraction(word).denominator == 1 else word
+
+
+def read(words: list[str]) -> Iterator[str]:
+    """The words of a text with numbers put together."""
+    number = Number()
+    skip = False
+    for before, word, after in zip([None, *words], words, [*words[1:], None], strict=False):
+        if skip:
+            skip = False
             continue
-        if base in VALUE and (base != "o" or number is not None):
-            value = VALUE[base]
-            if tail is not None:
-                tail += str(value)
-            else:
-                number = number or Number()
-                if not number.add(value):
-                    close()
-                    number = Number()
-                    number.add(value)
-            if suffix:
-                close(suffix)
-        elif base in SCALE and (number is not None or base == word and following):
-            if tail is not None:
-                value = float(f"{number}.{tail or 0}") * SCALE[base]
-                number, tail = Number(), None
-                number.group, number.open = int(value), True
+        figures_next = bool(after and FIGURES.fullmatch(after))
+        goes_on = after in KNOWN or figures_next
+        if FIGURES.fullmatch(word[1:] if word[0] in SIGNS else word):
+            yield from number.figures(word)
+        elif word in LEXICON:
+            kind, n, ending = LEXICON[word]
+            if kind == "zero":
+                number.row("0")
+            elif kind == "scale":
+                yield from number.scale(n)
             else:
-                number = number or Number()
-                number.scale(SCALE[base])
-            if suffix:
-                close(suffix)
-        elif word == "point" and tail is None and following in VALUE and (number is not None or VALUE[following] < 10):
-            number, tail = number or Number(), ""
-        elif word == "and" and number is not None and number.low == 100 and following in VALUE:
+                number.below_hundred(kind, n, before)
+            if ending:
+                yield number.say(f"{number.held}{ending}")
+        elif word in BEFORE and goes_on:
+            yield from number.flush()
+            number.sign = BEFORE[word]
+        elif word in AFTER and number.held is not None:
+            number.sign = AFTER[word]
+            yield from number.flush()
+        elif number.held is not None and (word == "percent" or word == "per" and after == "cent"):
+            yield number.say(f"{number.held}%")
+            skip = word == "per"
+        elif word == "and" and goes_on and kind_of(before) == "scale":
             pass
-        elif word == "percent" and (number is not None):
-            close("%")
-        elif word in SIGNS and number is not None:
-            sign = SIGNS[word] if SIGNS[word] != "¢" else ""
-            close("¢" if SIGNS[word] == "¢" else "")
-        elif word in ("minus", "negative", "plus", "positive") and (following in VALUE or following[:1].isdigit()):
-            close()
-            sign = {"minus": "-", "negative": "-", "plus": "+", "positive": "+"}[word]
-            if following[:1].isdigit():
-                out.append(sign + following)
-                sign, i = "", i + 1
+        elif word in REPEAT and (kind_of(after) == "unit" or after in ZEROS):
+            number.row(str(PLAIN[after][1]) * REPEAT[word])
+            skip = True
+        elif word == "point" and goes_on:
+            if figures_next or kind_of(after) in ("unit", "ten", "zero"):
+                number.row(".")
         else:
-            close()
-            out.append(word)
-        i += 1
-    close()
-    return " ".join(out)
+            yield from number.flush()
+            yield number.say(word)
+    yield from number.flush()
+
+
+def digits(text: str) -> str:
+    """A text with its spoken numbers as figures: scales, ordinals and plurals, decimals after "point", signs, currencies with cents, percent, double and
+    triple, "and a half"; letters and figures part. A lone 1 is written out."""
+    parts = HALF.split(text)
+    told = []
+    for i, part in enumerate(parts):
+        if part.strip():
+            told.append(part)
+            if i < len(parts) - 1:
+                told.append("point five" if part.split()[-1] in PLAIN else "and a half")
+    figures = " ".join(read(ENDING.sub("", BORDER.sub(" ", " ".join(told))).split()))
+    figures = CENTS.sub(lambda m: f"{m[1]}{m[2]}.{int(m[3]):02}", figures)
+    figures = ONLY_CENTS.sub(lambda m: f"¢{int(m[1])}", figures)
+    return LONE_ONE.sub(r"one\1", figures)
 
 
 @F.pandas_udf(StringType())
