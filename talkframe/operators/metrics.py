@@ -23,40 +23,9 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
 
-def word_errors(ref: Column, hyp: Column) -> Column:
-    """Q1: struct(d, s, i, e) of two word arrays: edit distance, substitutions, insertions, deletions; on ties a substitution comes before a
-    deletion, before an insertion. One row of the table at a time, folded over the reference: inside the JVM, for turns and lines."""
-    cell = lambda d, s, i, e: F.struct(d.alias("d"), s.alias("s"), i.alias("i"), e.alias("e"))
-    zero = F.lit(0)
-    first = F.transform(F.sequence(zero, F.size(hyp)), lambda j: cell(j, zero, j, zero))
-
-    def row(above: Column, word: Column) -> Column:
-        top = F.element_at(above, 1)
-        start = F.array(cell(top["d"] + 1, top["s"], top["i"], top["e"] + 1))
-
-        def step(done: Column, j: Column) -> Column:
-            diag, up, left = F.element_at(above, j), F.element_at(above, j + 1), F.element_at(done, -1)
-            sub = cell(diag["d"] + 1, diag["s"] + 1, diag["i"], diag["e"])
-            dele = cell(up["d"] + 1, up["s"], up["i"], up["e"] + 1)
-            ins = cell(left["d"] + 1, left["s"], left["i"] + 1, left["e"])
-            best = F.when(diag["d"] <= F.least(up["d"], left["d"]), sub).when(up["d"] <= left["d"], dele).otherwise(ins)
-            return F.concat(done, F.array(F.when(F.element_at(hyp, j) == word, diag).otherwise(best)))
-
-        return F.when(F.size(hyp) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(hyp), F.lit(1))), start, step)).otherwise(start)
-
-    return F.element_at(F.aggregate(ref, first, row), -1)
-
-
-def edit_distance(ref: Column, hyp: Column) -> Column:
-    """Q2: the distance alone: every distinct word of the pair becomes one character, and the built-in function does the rest."""
-    both = F.array_distinct(F.concat(ref, hyp))
-    code = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0xE000), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(code(ref), code(hyp))
-
-
 def error_counts(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
-    """Substitutions, insertions and deletions (rows of three) of pairs of word codes (0 and more), by the rules of `word_errors`: all pairs
-    advance together, one reference word at a time, in memory that grows with the hypotheses only."""
+    """Substitutions, insertions and deletions (rows of three) of pairs of word codes (0 and more); on ties a match or substitution comes before a
+    deletion, before an insertion. All pairs advance together, one reference word at a time, in memory that grows with the hypotheses only."""
     n, m = np.array([len(r) for r in refs]), np.array([len(h) for h in hyps])
     ref, hyp = np.full((len(n), max(n.max(), 1)), -1), np.full((len(n), m.max()), -2)
     for k, (r, h) in enumerate(zip(refs, hyps, strict=True)):
@@ -109,7 +78,7 @@ def batch_errors(ref: pa.Array, hyp: pa.Array, cells: int = 1 << 15) -> np.ndarr
 
 def wer_rows(pairs: DataFrame) -> DataFrame:
     """Id, s, i, d, ref_words, hyp_words, wer (the number of insertions where the reference is empty) of (id, ref, hyp) word arrays,
-    of any length: the alignment is that of `word_errors`, taken for many rows at a time."""
+    of any length, taken for many rows at a time."""
     ids = [c for c in pairs.columns if c not in ("ref", "hyp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +95,12 @@ def wer_rows(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("wer", F.when(F.col("ref_words") == 0, F.col("hyp_words").cast("double")).otherwise(errors / F.col("ref_words")))
 
 
+def edit_distances(pairs: DataFrame) -> DataFrame:
+    """Q2: `pairs` with distance, without the words."""
+    rows = wer_rows(pairs)
+    return rows.withColumn("distance", F.col("s") + F.col("i") + F.col("d")).select(*(c for c in pairs.columns if c not in ("ref", "hyp")), "distance")
+
+
 def micro_wer() -> Column:
     """A10: errors over reference words."""
     return F.sum(F.col("s") + F.col("i") + F.col("d")) / F.greatest(F.sum("ref_words"), F.lit(1))
@@ -151,7 +126,8 @@ def compare_systems(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sweet_spot(points: DataFrame) -> DataFrame:
-    """Points that are both fast and right: below the smaller of 1 and 0.85 of the largest factor, and of 12 and 0.45 of the largest rate."""
+    """Points that are both fast and right: below the smaller of 1 and 0.85 of the largest factor, and of 12 and 0.45 of the largest rate. The joined table is
+    one row of two maxima."""
     most = points.agg(F.max("rtf").alias("_x"), F.max("wer_pct").alias("_y"))
     return points.join(F.broadcast(most)).where((F.col("rtf") < F.least(F.lit(1.0), 0.85 * F.col("_x"))) & (F.col("wer_pct") < F.least(F.lit(12.0), 0.45 * F.col("_y")))).drop("_x", "_y")
 

@@ -34,19 +34,15 @@ def session_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.session_calls(adapters.calls(spark, sf_dir))
 
 
-#: The words of a turn that the SQL twins read ([1:40] in PAIRS). Queries with such a twin follow it; their forms over whole turns are whole_*.
-SQL_WORDS = 40
-
-
-def _runs(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rates of each turn as a run, with a language, a category and times that follow from its numbers."""
-    errors = metrics.wer_rows(adapters.pairs(spark, sf_dir, most))
+    errors = metrics.wer_rows(adapters.pairs(spark, sf_dir))
     k = F.col("session_id") + F.col("turn")
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
     return errors.withColumns({
         "language": pick(("de", "en", "es", "fr"), F.col("session_id")), "category": pick(("clean", "meeting", "noisy"), k),
         "backend": pick(("la", "ss"), F.col("turn")), "model": pick(("base", "small", "turbo"), F.col("session_id")),
-        "audio_us": (F.col("ref_words") * 400000).cast("bigint"), "processing_us": (F.col("hyp_words") * 90000 + k % 7 * 10000).cast("bigint"),
+        "audio_us": (F.col("ref_words") * 400000).cast("bigint"), "processing_us": (F.col("hyp_words") * (90000 - 30000 * (F.col("turn") % 2)) + k % 7 * 10000).cast("bigint"),
         "latency_us": (k % 5 * 100000).cast("bigint"),
     })
 
@@ -56,55 +52,32 @@ def word_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.wer_rows(adapters.pairs(spark, sf_dir)).select("id", "s", "i", "d", "ref_words", "hyp_words", F.round("wer", 6).alias("wer"))
 
 
-def _distances(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    return adapters.pairs(spark, sf_dir, most).select("id", metrics.edit_distance(F.col("ref"), F.col("hyp")).alias("distance"))
-
-
-def _systems(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    return metrics.compare_systems(_runs(spark, sf_dir, most), ["backend", "model", "language"])
-
-
-def _graded(systems: DataFrame) -> DataFrame:
-    return systems.withColumns({"accuracy": metrics.grade(F.col("wer_pct"), 15, 30), "speed": metrics.grade(F.col("rtf"), 0.5, 1)})
-
-
 def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q2, over the words that its SQL reads."""
-    return _distances(spark, sf_dir, SQL_WORDS)
+    """Q2."""
+    return metrics.edit_distances(adapters.pairs(spark, sf_dir)).select("id", "distance")
 
 
-def whole_edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q2, over whole turns."""
-    return _distances(spark, sf_dir)
+def evaluation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a run of its system."""
+    return _runs(spark, sf_dir).select("id", "backend", "model", "language", "category", "audio_us", "processing_us", "latency_us", F.round(metrics.ratio(F.col("processing_us"), F.col("audio_us")), 6).alias("rtf"))
 
 
-def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q4, A5, A8-A14, over the words that its SQL reads."""
-    return metrics.bench_report(_runs(spark, sf_dir, SQL_WORDS))
+def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.compare_systems(_runs(spark, sf_dir), ["backend", "model", "language"])
 
 
-def whole_bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q4, A5, A8-A14, over whole turns."""
+def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4, A5, A8-A14."""
     return metrics.bench_report(_runs(spark, sf_dir))
 
 
 def compare_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q5, A24, R15, over the words that its SQL reads."""
-    return _graded(_systems(spark, sf_dir, SQL_WORDS))
-
-
-def whole_compare_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q5, A24, R15, over whole turns."""
-    return _graded(_systems(spark, sf_dir))
+    """Q5, A24, R15."""
+    return _systems(spark, sf_dir).withColumns({"accuracy": metrics.grade(F.col("wer_pct"), 15, 30), "speed": metrics.grade(F.col("rtf"), 0.5, 1)})
 
 
 def sweet_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A25, over the words that its SQL reads."""
-    return metrics.sweet_spot(_systems(spark, sf_dir, SQL_WORDS))
-
-
-def whole_sweet_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A25, over whole turns."""
+    """A25."""
     return metrics.sweet_spot(_systems(spark, sf_dir))
 
 
@@ -123,13 +96,13 @@ def timestamp_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with at least 20 s of audio whose calls brought no purchase, the stand-in for a token."""
+    """Sessions with at least 20 s of audio whose calls brought no large purchase, the stand-in for a token."""
     calls = adapters.calls(spark, sf_dir)
     sessions = calls.groupBy("session_id").agg((F.sum("dur_us") / 1000).alias("audio_s"))
-    return audio.silent_sessions(sessions, calls.where("event_type = 'purchase'")).select("session_id", F.round("audio_s", 3).alias("audio_s"))
+    return audio.silent_sessions(sessions, calls.where("event_type = 'purchase' AND dur_us >= 120000")).select("session_id", F.round("audio_s", 3).alias("audio_s"))
 
 
-QUERIES = {f.__name__: f for f in (vad_events, audio_segments, frame_spans, session_calls, word_error_rates, edit_distances, bench_report, compare_systems, sweet_spot, whole_edit_distances, whole_bench_report, whole_compare_systems, whole_sweet_spot, timing_report, timestamp_accuracy, silent_sessions)}
+QUERIES = {f.__name__: f for f in (vad_events, audio_segments, frame_spans, session_calls, word_error_rates, edit_distances, evaluation_runs, bench_report, compare_systems, sweet_spot, timing_report, timestamp_accuracy, silent_sessions)}
 
 VAD_EVENTS = f"""{VAD},
     g1 AS (SELECT *, sum((prob >= 0.5)::INT) OVER (PARTITION BY session_id ORDER BY frame_ix ROWS UNBOUNDED PRECEDING) AS g FROM vad),
@@ -138,17 +111,30 @@ VAD_EVENTS = f"""{VAD},
     g4 AS (SELECT *, g = 1 OR lag(t) OVER (PARTITION BY session_id ORDER BY g) IS NOT NULL AS starts FROM g3),
     ev AS (SELECT session_id, 'start' AS kind, greatest(0, f - 992) AS sample FROM g4 WHERE starts UNION ALL SELECT session_id, 'end', t - 32 FROM g4 WHERE t IS NOT NULL)"""
 
-DISTANCE = f"""{PAIRS},
-    u AS (SELECT *, list_distinct(ref || hyp) AS u FROM pairs),
+#: Alignment of whole turns, one reference word a round: `best` packs the least distance so far, the nearest cell that has it, and that cell's substitutions and insertions.
+ERRORS = f"""{PAIRS},
+    texts AS MATERIALIZED (SELECT row_number() OVER () AS no, * FROM (SELECT DISTINCT ref, hyp FROM pairs)),
+    rw AS MATERIALIZED (SELECT no, unnest(ref) AS w, generate_subscripts(ref, 1) AS i FROM texts),
+    hw AS MATERIALIZED (SELECT no, unnest(hyp) AS w, generate_subscripts(hyp, 1) AS j FROM texts),
+    cells AS (
+        SELECT no, 0 AS i, unnest(range(0, len(hyp) + 1)) AS j, unnest(range(0, len(hyp) + 1)) AS d, 0 AS s, unnest(range(0, len(hyp) + 1)) AS a FROM texts
+        UNION ALL
+        SELECT no, i, j, (best >> 42) - 16384 + j, (best >> 14) % 16384, best % 16384 + j - (16383 - (best >> 28) % 16384) FROM (
+            SELECT no, i, j, min((((nd - j + 16384) << 42) + ((16383 - j) << 28) + (s << 14) + a)::BIGINT) OVER (PARTITION BY no ORDER BY j ROWS UNBOUNDED PRECEDING) AS best FROM (
+                SELECT no, i, j, CASE WHEN same THEN dd WHEN dd <= d THEN dd + 1 ELSE d + 1 END AS nd, CASE WHEN same THEN ds WHEN dd <= d THEN ds + 1 ELSE s END AS s,
+                    CASE WHEN same OR dd <= d THEN da ELSE a END AS a
+                FROM (
+                    SELECT c.no, c.i + 1 AS i, c.j, c.d, c.s, c.a, coalesce(r.w = h.w, FALSE) AS same, lag(c.d) OVER w AS dd, lag(c.s) OVER w AS ds, lag(c.a) OVER w AS da
+                    FROM cells c JOIN rw r ON r.no = c.no AND r.i = c.i + 1 LEFT JOIN hw h ON h.no = c.no AND h.j = c.j WINDOW w AS (PARTITION BY c.no ORDER BY c.j))))),
     dist AS (
-        SELECT id, session_id, turn, len(ref) AS n, len(hyp) AS m,
-            levenshtein(array_to_string([chr((32 + list_position(u, w))::INT) for w in ref], ''), array_to_string([chr((32 + list_position(u, w))::INT) for w in hyp], '')) AS distance FROM u)"""
+        SELECT p.id, session_id, turn, len(p.ref) AS n, len(p.hyp) AS m, c.d::INT AS distance, c.s::INT AS s, c.a::INT AS i, (c.d - c.s - c.a)::INT AS d
+        FROM pairs p JOIN texts t ON t.ref = p.ref AND t.hyp = p.hyp JOIN cells c ON c.no = t.no AND c.i = len(p.ref) AND c.j = len(p.hyp))"""
 
-RUNS = f"""{DISTANCE},
+RUNS = f"""{ERRORS},
     runs AS (
         SELECT *, CASE WHEN n = 0 THEN m ELSE distance / n END AS wer, ['de', 'en', 'es', 'fr'][session_id % 4 + 1] AS language, ['clean', 'meeting', 'noisy'][(session_id + turn) % 3 + 1] AS category,
             ['la', 'ss'][turn % 2 + 1] AS backend, ['base', 'small', 'turbo'][session_id % 3 + 1] AS model,
-            n * 400000 AS audio_us, m * 90000 + (session_id + turn) % 7 * 10000 AS processing_us, (session_id + turn) % 5 * 100000 AS latency_us FROM dist),
+            n * 400000 AS audio_us, m * (90000 - 30000 * (turn % 2)) + (session_id + turn) % 7 * 10000 AS processing_us, (session_id + turn) % 5 * 100000 AS latency_us FROM dist),
     systems AS (
         SELECT backend, model, language, count(*) AS n, round(100 * sum(distance) / greatest(sum(n), 1), 6) AS wer_pct,
             round(CASE WHEN sum(audio_us) > 0 THEN sum(processing_us) / sum(audio_us) ELSE 0 END, 6) AS rtf FROM runs GROUP BY backend, model, language)"""
@@ -161,16 +147,19 @@ rn AS (SELECT *, sum(c) OVER (PARTITION BY session_id, chunk_ix ORDER BY frame_i
 rs AS (SELECT session_id, chunk_ix, span_ix, min(speaker) AS speaker, min(frame_ix) AS f FROM rn GROUP BY ALL)"""
 
 ORACLES = {
-    "edit_distances": f"WITH {DISTANCE} SELECT id, distance FROM dist",
-    "bench_report": f"""WITH {RUNS}
+    "word_error_rates": f"WITH RECURSIVE {ERRORS} SELECT id, s, i, d, n AS ref_words, m AS hyp_words, round(CASE WHEN n = 0 THEN m ELSE distance / n END, 6) AS wer FROM dist",
+    "edit_distances": f"WITH RECURSIVE {ERRORS} SELECT id, distance FROM dist",
+    "evaluation_runs": f"""WITH RECURSIVE {RUNS} SELECT id, backend, model, language, category, audio_us::BIGINT AS audio_us, processing_us::BIGINT AS processing_us, latency_us::BIGINT AS latency_us,
+        round(CASE WHEN audio_us > 0 THEN processing_us / audio_us ELSE 0 END, 6) AS rtf FROM runs""",
+    "bench_report": f"""WITH RECURSIVE {RUNS}
         SELECT CASE grouping(language, category) WHEN 3 THEN 'all' WHEN 1 THEN 'language' ELSE 'category' END AS level, coalesce(language, category, '') AS value,
             count(*) AS n_samples, sum(audio_us)::BIGINT AS audio_us, sum(processing_us)::BIGINT AS processing_us, round(avg(wer), 6) AS avg_wer, round(sum(distance) / greatest(sum(n), 1), 6) AS weighted_wer,
             round(avg(CASE WHEN audio_us > 0 THEN processing_us / audio_us ELSE 0 END), 6) AS avg_rtf, round(CASE WHEN sum(audio_us) > 0 THEN sum(processing_us) / sum(audio_us) ELSE 0 END, 6) AS overall_rtf,
             round(coalesce(avg(latency_us / 1000) FILTER (latency_us > 0), 0), 6) AS avg_latency_ms, count(DISTINCT language) AS n_languages, string_agg(DISTINCT category, ',' ORDER BY category) AS categories
         FROM runs GROUP BY GROUPING SETS ((), (language), (category))""",
-    "compare_systems": f"""WITH {RUNS} SELECT *, CASE WHEN wer_pct < 15 THEN 'good' WHEN wer_pct < 30 THEN 'fair' ELSE 'poor' END AS accuracy,
+    "compare_systems": f"""WITH RECURSIVE {RUNS} SELECT *, CASE WHEN wer_pct < 15 THEN 'good' WHEN wer_pct < 30 THEN 'fair' ELSE 'poor' END AS accuracy,
         CASE WHEN rtf < 0.5 THEN 'good' WHEN rtf < 1 THEN 'fair' ELSE 'poor' END AS speed FROM systems""",
-    "sweet_spot": f"""WITH {RUNS} SELECT * FROM systems WHERE rtf < least(1, 0.85 * (SELECT max(rtf) FROM systems)) AND wer_pct < least(12, 0.45 * (SELECT max(wer_pct) FROM systems))""",
+    "sweet_spot": f"""WITH RECURSIVE {RUNS} SELECT * FROM systems WHERE rtf < least(1, 0.85 * (SELECT max(rtf) FROM systems)) AND wer_pct < least(12, 0.45 * (SELECT max(wer_pct) FROM systems))""",
     "vad_events": f"WITH {VAD_EVENTS} SELECT * FROM ev",
     "audio_segments": f"""WITH {VAD_EVENTS},
         tot AS (SELECT session_id, max(end_sample) AS total FROM vad GROUP BY session_id),
@@ -187,7 +176,7 @@ ORACLES = {
     "session_calls": f"""WITH {CALLS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY dur_us) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM calls)
         SELECT session_id, count(*) AS n_calls, sum(dur_us)::BIGINT AS total_us, round(avg(dur_us / 1000), 6) AS mean_ms, max(dur_us) FILTER (r = least(n * 95 // 100, n - 1) + 1) AS p95_us FROM r GROUP BY session_id""",
     "silent_sessions": f"""WITH {CALLS} SELECT session_id, round(sum(dur_us) / 1000, 3) AS audio_s FROM calls GROUP BY session_id
-        HAVING sum(dur_us) / 1000 >= 20 AND count(*) FILTER (event_type = 'purchase') = 0""",
+        HAVING sum(dur_us) / 1000 >= 20 AND count(*) FILTER (event_type = 'purchase' AND dur_us >= 120000) = 0""",
     "timing_report": f"""{FULL}, b AS (SELECT *, coalesce(start_cs < lag(start_cs) OVER (PARTITION BY session_id ORDER BY line_no), FALSE) AS back FROM lines WHERE kind <> 'buffer')
         SELECT session_id, count(*) AS n_lines, count(*) FILTER (start_cs < 0 OR end_cs < 0) AS n_negative, count(*) FILTER (end_cs < start_cs) AS n_inverted, count(*) FILTER (back) AS n_backwards,
             count(*) FILTER (start_cs < 0 OR end_cs < 0 OR end_cs < start_cs) = 0 AS timing_valid, count(*) FILTER (back) = 0 AS monotonic FROM b GROUP BY session_id""",

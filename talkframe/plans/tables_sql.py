@@ -42,7 +42,7 @@ CALLS = "calls AS (SELECT user_id AS session_id, event_id AS call_ix, CAST(round
 
 PAIRS = """
 refs AS (
-    SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+')[1:40] AS ref FROM conversations WHERE text IS NOT NULL),
+    SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS ref FROM conversations WHERE text IS NOT NULL),
 pairs AS (
     SELECT conv_id || '-' || turn AS id, conv_id AS session_id, turn, ref,
-        [CASE WHEN i % 11 = 0 THEN ref[i] || 'x' ELSE ref[i] END for i in range(1, len(ref) + 1) if i % 7 <> 0] AS hyp FROM refs)"""
+        [CASE WHEN i % (11 + 20 * (turn % 2)) = 0 THEN ref[i] || 'x' ELSE ref[i] END for i in range(1, len(ref) + 1) if i % (7 + 11 * (conv_id % 3)) <> 0] AS hyp FROM refs)"""

@@ -78,13 +78,13 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("call_ix"), F.round(F.col("value") * 1000).cast("bigint").alias("dur_us"), "event_type")
 
 
-def pairs(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """Reference and hypothesis words of each turn: id, session_id, turn, ref, hyp (arrays). The reference is the whole turn, or with `most` its
-    first words (the SQL twins read 40); the hypothesis lacks every 7th and has another word for every 11th."""
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference and hypothesis words of each turn: id, session_id, turn, ref, hyp (arrays). The reference is the whole turn; the hypothesis lacks every 7th,
+    18th or 29th word, by the session, and has another word for every 11th or 31st, by the turn."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    words = words if most is None else F.slice(words, 1, most)
     rows = read(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", words.alias("ref"))
-    other = F.transform("ref", lambda w, i: F.when((i + 1) % 7 == 0, F.lit(None)).when((i + 1) % 11 == 0, F.concat(w, F.lit("x"))).otherwise(w))
+    lacks, swaps = 7 + 11 * (F.col("conv_id") % 3), 11 + 20 * (F.col("turn") % 2)
+    other = F.transform("ref", lambda w, i: F.when((i + 1) % lacks == 0, F.lit(None)).when((i + 1) % swaps == 0, F.concat(w, F.lit("x"))).otherwise(w))
     return rows.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("session_id"), "turn", "ref", F.filter(other, lambda w: w.isNotNull()).alias("hyp"))
 
 

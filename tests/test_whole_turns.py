@@ -1,4 +1,4 @@
-"""Error rates over whole turns against brute force: the queries without an SQL twin, and the whole_* forms of the others."""
+"""Error rates over whole turns against brute force."""
 
 import random
 from collections import Counter
@@ -36,8 +36,13 @@ def long_turns(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("spark-turns"))
     spark.createDataFrame([(i // 3, i % 3, t, "user") for i, t in enumerate(texts)], "conv_id bigint, turn bigint, text string, role string").write.parquet(f"{folder}/conversations.parquet")
     refs = {f"{i // 3}-{i % 3}": [w for w in t.replace(".", "").split()] for i, t in enumerate(texts) if t is not None}
-    hyp = lambda r: [w + "x" if k % 11 == 0 else w for k, w in enumerate(r, 1) if k % 7]
-    return folder, {k: (r, hyp(r)) for k, r in refs.items()}
+
+
+    def hyp(key, ref):
+        lacks, swaps = 7 + 11 * (int(key.split("-")[0]) % 3), 11 + 20 * (int(key.split("-")[1]) % 2)
+        return [w + "x" if k % swaps == 0 else w for k, w in enumerate(ref, 1) if k % lacks]
+
+    return folder, {k: (r, hyp(k, r)) for k, r in refs.items()}
 
 
 def test_error_counts(spark):
@@ -54,16 +59,16 @@ def test_whole_error_rates(spark, long_turns):
     folder, turns = long_turns
     got = {r.id: (r.s, r.i, r.d, r.ref_words, r.hyp_words) for r in QUERIES["word_error_rates"](spark, folder).collect()}
     assert got == {k: (*brute(r, h), len(r), len(h)) for k, (r, h) in turns.items()}
-    found = {r.id: r.distance for r in QUERIES["whole_edit_distances"](spark, folder).collect()}
+    found = {r.id: r.distance for r in QUERIES["edit_distances"](spark, folder).collect()}
     assert found == {k: sum(brute(r, h)) for k, (r, h) in turns.items()}
 
 
 def test_whole_reports(spark, long_turns):
     folder, turns = long_turns
     n, errors = sum(len(r) for r, _ in turns.values()), sum(sum(brute(r, h)) for r, h in turns.values())
-    (whole,) = QUERIES["whole_bench_report"](spark, folder).where("level = 'all'").collect()
+    (whole,) = QUERIES["bench_report"](spark, folder).where("level = 'all'").collect()
     assert (whole.audio_us, whole.weighted_wer) == (n * 400000, round(errors / n, 6))
-    systems = QUERIES["whole_compare_systems"](spark, folder).collect()
+    systems = QUERIES["compare_systems"](spark, folder).collect()
     assert sum(r.n for r in systems) == len(turns)
     per = Counter()
     for k, (r, h) in turns.items():
@@ -74,7 +79,7 @@ def test_whole_reports(spark, long_turns):
     assert {(r.backend, r.model, r.language): r.wer_pct for r in systems} == {k: round(100 * per[k, "e"] / max(per[k, "n"], 1), 6) for k, x in per if x == "n"}
     most = [max(r[c] for r in systems) for c in ("rtf", "wer_pct")]
     want = sorted((r.backend, r.model, r.language) for r in systems if r.rtf < min(1, 0.85 * most[0]) and r.wer_pct < min(12, 0.45 * most[1]))
-    assert sorted((r.backend, r.model, r.language) for r in QUERIES["whole_sweet_spot"](spark, folder).collect()) == want
+    assert sorted((r.backend, r.model, r.language) for r in QUERIES["sweet_spot"](spark, folder).collect()) == want
 
 
 def test_whole_timestamps(spark, long_turns):
