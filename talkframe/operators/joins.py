@@ -40,15 +40,16 @@ def contains(outer_start: str, outer_end: str, start: str, end: str) -> Column:
     return (F.col(outer_start) <= F.col(start)) & (F.col(outer_end) >= F.col(end))
 
 
-def best_owner(items: DataFrame, owners: DataFrame, key: str, item_no: str, owner_no: str, start: str, end: str, width: float) -> DataFrame:
-    """Key, item_no and owner (owner_no, or null): the owner of the largest overlap, the first on ties. An item of no length
+def best_owner(items: DataFrame, owners: DataFrame, key: str, item_no: str, owner_no: str, start: str, end: str, width: float, value: str | None = None) -> DataFrame:
+    """Key, item_no and owner (owner_no, or the owner's `value`): that of the largest overlap, the first on ties. An item of no length
     belongs to the first owner with start <= t < end. The best is a maximum with map-side combining, not a window."""
     spans = items.select(key, item_no, start, F.greatest(F.col(start), F.col(end)).alias(end))
-    met = overlapping(spans, owners.select(key, owner_no, start, end), key, start, end, width, touching=True)
+    met = overlapping(spans, owners.select(key, owner_no, start, end, *([value] if value else [])), key, start, end, width, touching=True)
     shared = overlap(start, end, f"r_{start}", f"r_{end}")
     point = (F.col(start) == F.col(end)) & (F.col(f"r_{start}") <= F.col(start)) & (F.col(start) < F.col(f"r_{end}"))
     met = met.where((shared > 0) | point)
-    return met.groupBy(key, item_no).agg(F.max(F.struct(shared.alias("o"), (-F.col(f"r_{owner_no}")).alias("n"))).alias("m")).select(key, item_no, (-F.col("m.n")).alias("owner"))
+    best = F.max(F.struct(shared.alias("o"), (-F.col(f"r_{owner_no}")).alias("n"), *([F.col(f"r_{value}").alias("v")] if value else [])))
+    return met.groupBy(key, item_no).agg(best.alias("m")).select(key, item_no, (F.col("m.v") if value else -F.col("m.n")).alias("owner"))
 
 
 def owner_or_nearest(items: DataFrame, owners: DataFrame, key: str, item_no: str, owner_no: str, start: str, end: str, width: float) -> DataFrame:
@@ -70,10 +71,9 @@ def owner_or_nearest(items: DataFrame, owners: DataFrame, key: str, item_no: str
 
 def token_speakers(tokens: DataFrame, spans: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 1000) -> DataFrame:
     """`tokens` with speaker: 1 plus that of the span with the largest overlap; 1 where none covers the token."""
-    best = best_owner(tokens, spans, "session_id", "seq", "span_no", start, end, width)
-    named = best.join(spans.select("session_id", F.col("span_no").alias("owner"), F.col("speaker").alias("_s")).hint("merge"), ["session_id", "owner"])
-    found = tokens.join(named.select("session_id", "seq", "_s").hint("merge"), ["session_id", "seq"], "left")
-    return found.withColumn("speaker", F.coalesce(F.col("_s") + 1, F.lit(1)).cast("int")).drop("_s")
+    best = best_owner(tokens, spans, "session_id", "seq", "span_no", start, end, width, "speaker")
+    found = tokens.join(best.hint("merge"), ["session_id", "seq"], "left")
+    return found.withColumn("speaker", F.coalesce(F.col("owner") + 1, F.lit(1)).cast("int")).drop("owner")
 
 
 def in_ranges(lines: DataFrame, ranges: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 1000) -> DataFrame:
@@ -128,13 +128,19 @@ def span_by_end(tokens: DataFrame, spans: DataFrame, end: str = "end_cs") -> Dat
     return tokens.join(found.hint("merge"), ["session_id", "seq"])
 
 
+def counted(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A small table with a join hint by its counted rows: broadcast up to `most_rows`, else sort-merge."""
+    return df.hint("broadcast" if df.limit(most_rows + 1).count() <= most_rows else "merge")
+
+
 def lookup(df: DataFrame, mapping: DataFrame, on: str, value: str, default: str | None = None) -> DataFrame:
-    """`on` replaced by its mapped value, or itself; the mapping's rows are (on, value)."""
-    found = df.join(mapping.select(F.col(on).alias("_k"), F.col(value).alias("_v")).hint("merge"), F.col(on) == F.col("_k"), "left")
+    """`on` replaced by its mapped value, or itself; the mapping's rows are (on, value). A dictionary of counted size is broadcast, so that the words of `df`, with
+    their few frequent ones, are not shuffled."""
+    found = df.join(counted(mapping.select(F.col(on).alias("_k"), F.col(value).alias("_v"))), F.col(on) == F.col("_k"), "left")
     return found.withColumn(on, F.coalesce("_v", F.col(default or on))).drop("_k", "_v")
 
 
 def compatible(runs: DataFrame, languages: DataFrame) -> DataFrame:
     """Runs whose (backend, language) pair is listed; a backend listed with a null language takes all."""
     ok = (runs["backend"] == languages["backend"]) & (languages["language"].isNull() | (runs["language"] == languages["language"]))
-    return runs.join(languages.hint("merge"), ok, "left_semi")
+    return runs.join(counted(languages), ok, "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkframe.functions.text import has_mark, only_marks
-from talkframe.operators.joins import token_speakers
+from talkframe.operators.joins import best_owner
 
 SILENCE = -2
 
@@ -39,8 +39,10 @@ def speaker_lines(timeline: DataFrame, spans: DataFrame) -> DataFrame:
     late = ~silent & (F.col("start_cs") >= F.col("cover")) & ~F.col("attached")
     rows = rows.withColumn("waits", F.coalesce(F.max(late).over(upto), F.lit(False)))
     speech = rows.where(~silent & ~F.col("waits") & ~F.col("attached")).select("session_id", F.col("seq2").alias("seq"), "start_cs", "end_cs")
-    named = token_speakers(speech, spans).select("session_id", F.col("seq").alias("seq2"), F.col("speaker").alias("own"))
+    named = best_owner(speech, spans, "session_id", "seq", "span_no", "start_cs", "end_cs", 1000, "speaker").withColumnRenamed("seq", "seq2")
     rows = rows.join(named.hint("merge"), ["session_id", "seq2"], "left")
+    heard = ~silent & ~F.col("waits") & ~F.col("attached")
+    rows = rows.withColumn("own", F.when(heard, F.coalesce(F.col("owner") + 1, F.lit(1)).cast("int"))).drop("owner")
     own = F.when(silent, SILENCE).when(F.col("cover").isNull(), -1).otherwise(F.last("own", True).over(Window.partitionBy("session_id", "epoch").orderBy("seq2").rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("speaker", own)
     shown = rows.where(~F.col("waits"))
@@ -97,11 +99,15 @@ def concatenate_speakers(spans: DataFrame, label: str = "label", order: str = "s
     return merge_spans(numbered.select("session_id", F.col(order).cast("int"), F.col("start_cs").cast("bigint"), F.col("end_cs").cast("bigint"), "speaker").unionByName(first), order)
 
 
+def turned(lines: DataFrame) -> DataFrame:
+    """The lines of speech with `turned`: has another speaker than the line before, silence aside."""
+    by = Window.partitionBy("session_id").orderBy("line_no")
+    return lines.where(F.col("kind") == "line").withColumn("turned", F.col("speaker") != F.lag("speaker").over(by))
+
+
 def speaker_changes(lines: DataFrame) -> DataFrame:
     """session_id, n_speakers, n_changes, silence aside."""
-    by = Window.partitionBy("session_id").orderBy("line_no")
-    speech = lines.where(F.col("kind") == "line").withColumn("turned", F.col("speaker") != F.lag("speaker").over(by))
-    return speech.groupBy("session_id").agg(F.count_distinct("speaker").alias("n_speakers"), F.count_if("turned").alias("n_changes"))
+    return turned(lines).groupBy("session_id").agg(F.count_distinct("speaker").alias("n_speakers"), F.count_if("turned").alias("n_changes"))
 
 
 def make_monotonic(spans: DataFrame, gap: int = 1, order: str = "span_no") -> DataFrame:

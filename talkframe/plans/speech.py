@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkframe.functions.times import format_time
 from talkframe.operators import joins, lines
 from talkframe.plans.tables_sql import SPANS, TIMELINE, TOKENS, TRANSLATIONS, TURNS
 from talkframe.sources import adapters
+from talkframe.sources.scratch import kept
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens, computed once: timeline, spans, translations and turns all follow from them."""
+    return kept(adapters.tokens(spark, sf_dir))
+
+
+def _lines_of(toks: DataFrame) -> DataFrame:
+    return lines.speaker_lines(adapters.timeline(toks), kept(adapters.speaker_spans(toks)))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = adapters.tokens(spark, sf_dir)
-    return lines.speaker_lines(adapters.timeline(toks), adapters.speaker_spans(toks))
+    return _lines_of(_tokens(spark, sf_dir))
 
 
 def token_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1."""
-    toks = adapters.tokens(spark, sf_dir)
+    toks = _tokens(spark, sf_dir)
     return joins.token_speakers(toks, adapters.speaker_spans(toks)).select("session_id", "seq", "speaker")
 
 
@@ -29,35 +38,36 @@ def speaker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def speaker_talk_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Talk time of each speaker of a session, with its number of speaker changes."""
-    found = _lines(spark, sf_dir)
-    talk = found.where("kind = 'line'").groupBy("session_id", "speaker").agg(F.sum(F.col("end_cs") - F.col("start_cs")).alias("talk_cs"), F.count(F.lit(1)).alias("n_lines"), F.sum("n_tokens").alias("n_tokens"))
-    return talk.join(lines.speaker_changes(found).hint("merge"), "session_id")
+    found = lines.turned(_lines(spark, sf_dir))
+    talk = found.groupBy("session_id", "speaker").agg(F.sum(F.col("end_cs") - F.col("start_cs")).alias("talk_cs"), F.count(F.lit(1)).alias("n_lines"), F.sum("n_tokens").alias("n_tokens"), F.count_if("turned").alias("_n"))
+    whole = Window.partitionBy("session_id")
+    return talk.withColumns({"n_speakers": F.count(F.lit(1)).over(whole), "n_changes": F.sum("_n").over(whole)}).drop("_n")
 
 
 def translation_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line that owns each translated span."""
-    toks = adapters.tokens(spark, sf_dir)
-    spoken = _lines(spark, sf_dir).where("kind = 'line'")
+    toks = _tokens(spark, sf_dir)
+    spoken = kept(_lines_of(toks).where("kind = 'line'").select("session_id", "line_no", "start_cs", "end_cs"))
     return joins.owner_or_nearest(adapters.translations(toks), spoken, "session_id", "tr_no", "line_no", "start_cs", "end_cs", 1000)
 
 
 def translation_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5, P4."""
-    toks = adapters.tokens(spark, sf_dir)
+    toks = _tokens(spark, sf_dir)
     spans = adapters.speaker_spans(toks)
     return joins.contained(adapters.translations(toks), spans, "tr_no", "span_no")
 
 
 def tokens_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each translated span its tokens' text and how many."""
-    toks = adapters.tokens(spark, sf_dir)
+    toks = _tokens(spark, sf_dir)
     met = joins.in_ranges(toks.select("session_id", "seq", "text", "start_cs", "end_cs"), adapters.translations(toks))
     return met.groupBy("session_id", F.col("r_tr_no").alias("tr_no")).agg(F.count(F.lit(1)).alias("n_tokens"), F.trim(lines.joined("seq", "text")).alias("text"))
 
 
 def spans_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first span that contains the middle of each turn."""
-    toks = adapters.tokens(spark, sf_dir)
+    toks = _tokens(spark, sf_dir)
     points = adapters.turn_bounds(toks).select("session_id", F.expr("(a + b) div 2").alias("t"))
     spans = adapters.speaker_spans(toks).withColumnRenamed("span_no", "line_no")
     return joins.at_points(points, spans)
@@ -65,20 +75,20 @@ def spans_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turn whose start is nearest to each translation's end, the earliest on ties."""
-    toks = adapters.tokens(spark, sf_dir)
+    toks = _tokens(spark, sf_dir)
     points = adapters.translations(toks).select("session_id", "tr_no", F.col("end_cs").alias("t"))
     return joins.nearest(points, adapters.turn_bounds(toks).select("session_id", F.col("a").alias("at"), F.col("turn").alias("no")), "session_id", "t", "at", "no")
 
 
 def words_outside_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that start in no speaker span."""
-    toks = adapters.tokens(spark, sf_dir)
+    toks = _tokens(spark, sf_dir)
     return joins.outside(toks, adapters.speaker_spans(toks)).select("session_id", "seq", "text")
 
 
 def span_by_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J14."""
-    toks = adapters.tokens(spark, sf_dir)
+    toks = _tokens(spark, sf_dir)
     return joins.span_by_end(toks, adapters.speaker_spans(toks)).select("session_id", "seq", "span_no")
 
 
@@ -111,10 +121,10 @@ def monotonic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6: sessions whose lines and buffer do not add up to their tokens, and how many tokens all sessions have."""
-    toks = adapters.tokens(spark, sf_dir)
+    toks = _tokens(spark, sf_dir)
     whole = toks.groupBy("session_id").agg(lines.joined("seq", "text").alias("whole"), F.count(F.lit(1)).alias("n_tokens"))
     order = F.when(F.col("kind") == "buffer", F.lit(1 << 62)).otherwise(F.col("line_no"))
-    parts = _lines(spark, sf_dir).where("kind <> 'silence'").withColumn("o", order).groupBy("session_id").agg(lines.joined("o", "text").alias("parts"))
+    parts = _lines_of(toks).where("kind <> 'silence'").withColumn("o", order).groupBy("session_id").agg(lines.joined("o", "text").alias("parts"))
     both = whole.join(parts.hint("merge"), "session_id", "left")
     return both.agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n_tokens").alias("n_tokens"), F.count_if(~F.col("whole").eqNullSafe(F.col("parts"))).alias("n_broken"))
 
