@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +30,25 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, getattr(text, name))
 
 
+def decoration(text: str) -> bool:
+    """Only white space, marks, punctuation, symbols and joiners."""
+    return all(c.isspace() or c == "\u200d" or unicodedata.category(c)[0] in "MPSZ" for c in text)
+
+
 def project_words(words: list[str], clean: str) -> list[str] | None:
-    """the pieces of `clean` that the words stand for, decoration between them kept with the word before; null if one is missing."""
-    out, at = [], 0
-    starts = []
+    """the pieces of `clean` that the words stand for, in order; together they are `clean`. Decoration between two words stays with the first, but for the
+    white space right before the second. Null if a word is empty or missing, or if text between words is no decoration."""
+    begins, ends = [], [0]
     for word in words:
-        found = clean.casefold().find(word.casefold(), at)
-        if found < 0:
+        begin = clean.find(word, ends[-1]) if word else -1
+        if begin < 0 or not decoration(clean[ends[-1] : begin]):
             return None
-        starts.append(found)
-        at = found + len(word)
-    for i, begin in enumerate(starts):
-        begin = 0 if i == 0 else begin
-        out.append(clean[begin : starts[i + 1] if i + 1 < len(starts) else len(clean)])
-    return out
+        begins.append(begin)
+        ends.append(begin + len(word))
+    if not decoration(clean[ends[-1] :]):
+        return None
+    cuts = [0, *(end + len(clean[end:begin].rstrip()) for end, begin in zip(ends[1:], begins[1:], strict=False)), len(clean)]
+    return [clean[x:y] for x, y in zip(cuts, cuts[1:], strict=False)] if words else []
 
 
 def tagged_tokens(df, text_col: str = "text", words_col: str = "words"):

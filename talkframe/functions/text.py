@@ -140,8 +140,11 @@ WIDE = _wide_class()
 
 def join_fragments(fragments: Column) -> Column:
     """fragments joined; a space only between two letters or digits that are not East Asian wide."""
-    narrow_end, narrow_start = rf"(?U)[\p{{Alnum}}&&[^{WIDE}]]$", rf"(?U)^[\p{{Alnum}}&&[^{WIDE}]]"
-    return F.aggregate(fragments, F.lit(""), lambda acc, f: F.when(acc.rlike(narrow_end) & f.rlike(narrow_start), F.concat(acc, F.lit(" "), f)).otherwise(F.concat(acc, f)))
+    narrow = rf"(?U)^[\p{{Alnum}}&&[^{WIDE}]]$"
+    said = F.filter(fragments, lambda f: f != "")
+    before = F.concat(F.array(F.lit("")), said)  # each fragment's predecessor, and one more
+    spaced = lambda p, f: F.when(F.right(p, F.lit(1)).rlike(narrow) & F.left(f, F.lit(1)).rlike(narrow), F.concat(F.lit(" "), f)).otherwise(F.coalesce(f, F.lit("")))
+    return F.array_join(F.zip_with(before, said, spaced), "")
 
 
 @F.pandas_udf(DoubleType())

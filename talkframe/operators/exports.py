@@ -75,3 +75,10 @@ def report_json(report: DataFrame, key: str) -> DataFrame:
 
 #: Exporters by name.
 WRITERS = {"srt": subtitles, "vtt": lambda lines: subtitles(lines, "vtt"), "txt": plain_text, "tsv": tab_separated, "json": openai_json, "diarized_json": diarized_json}
+
+
+def writer(name: str):
+    """The exporter of a name."""
+    if name not in WRITERS:
+        raise ValueError(f"no exporter {name}; there are {', '.join(WRITERS)}")
+    return WRITERS[name]

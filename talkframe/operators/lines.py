@@ -118,3 +118,40 @@ def make_monotonic(spans: DataFrame, gap: int = 1, order: str = "span_no") -> Da
     lifted = lifted.withColumn("_m", F.greatest(F.max("_e").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + F.col("_i") * gap)
     before = F.coalesce(F.lag("_m").over(by), F.lit(0))
     return lifted.withColumns({"start_cs": F.greatest(before + gap, F.col("start_cs")), "end_cs": F.col("_m")}).drop("_i", "_e", "_m")
+
+
+def speech_lines(lines: DataFrame) -> DataFrame:
+    """The lines that are no silence."""
+    return lines.where(F.col("speaker") != SILENCE)
+
+
+def silence_segments(lines: DataFrame) -> DataFrame:
+    """The silences."""
+    return lines.where(F.col("speaker") == SILENCE)
+
+
+def has_silence() -> Column:
+    """Does a group of lines hold a silence?"""
+    return F.coalesce(F.bool_or(F.col("speaker") == SILENCE), F.lit(False))
+
+
+def with_silences(tokens: DataFrame, silences: DataFrame) -> DataFrame:
+    """Tokens and silence markers (session_id, start_cs, end_cs) in order of arrival, numbered as `at`: a marker is published after the words that its silence
+    flushed, those that begin before it. A marker's text is null."""
+    words = tokens.select("session_id", "start_cs", "end_cs", "text", F.lit("token").alias("kind"))
+    marks = silences.select("session_id", "start_cs", "end_cs", F.lit(None).cast("string").alias("text"), F.lit("silence").alias("kind"))
+    order = Window.partitionBy("session_id").orderBy("start_cs", F.col("kind") == "token", "end_cs", "text")
+    return words.unionByName(marks).withColumn("at", F.row_number().over(order))
+
+
+def waiting(tokens: DataFrame, cover: DataFrame, order: str = "seq") -> DataFrame:
+    """Tokens with `waits`: from the first that begins at or after its session's `cover` (session_id, cover) on, they wait in the buffer."""
+    upto = Window.partitionBy("session_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = tokens.join(cover.hint("merge"), "session_id", "left")
+    return rows.withColumn("waits", F.coalesce(F.bool_or(F.col("start_cs") >= F.col("cover")).over(upto), F.lit(False))).drop("cover")
+
+
+def caught_up(tokens: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Tokens that leave the buffer when coverage moves from `before` to `after` (session_id, cover): each leaves exactly once."""
+    waits = waiting(waiting(tokens, before).withColumnRenamed("waits", "_old"), after)
+    return waits.where(F.col("_old") & ~F.col("waits")).drop("_old", "waits")

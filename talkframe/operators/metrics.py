@@ -132,6 +132,21 @@ def sweet_spot(points: DataFrame) -> DataFrame:
     return points.join(F.broadcast(most)).where((F.col("rtf") < F.least(F.lit(1.0), 0.85 * F.col("_x"))) & (F.col("wer_pct") < F.least(F.lit(12.0), 0.45 * F.col("_y")))).drop("_x", "_y")
 
 
+#: The decimals of a report's fields.
+DECIMALS = {"duration_s": 2, "wer": 4, "processing_time_s": 2, "rtf": 3, "avg_latency_ms": 1, "p95_latency_ms": 1, "peak_memory_mb": 1}
+
+
+def rounded(rows: DataFrame, decimals: dict[str, int] = DECIMALS) -> DataFrame:
+    """The fields of a report at their number of decimals, halves to the even neighbour."""
+    return rows.withColumns({c: F.bround(c, n) for c, n in decimals.items() if c in rows.columns})
+
+
+def grouped(runs: DataFrame, key: str) -> DataFrame:
+    """The runs of each value of `key`, in the order of the values (`place`, from 1; null first): n, avg_wer, audio_us. The window sees one row per value."""
+    groups = runs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("wer"), 6).alias("avg_wer"), F.sum("audio_us").alias("audio_us"))
+    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.col(key).asc_nulls_first()))).orderBy("place")
+
+
 def grade(value: Column, good: float, fair: float) -> Column:
     """Good, fair or poor by two upper bounds."""
     return F.when(value < good, "good").when(value < fair, "fair").otherwise("poor")

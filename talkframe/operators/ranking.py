@@ -132,3 +132,11 @@ def within_rate(batches: DataFrame, words_per_s: float = 15, slack: float = 1.5,
 def status_of(n_lines: Column, buffers: Column) -> Column:
     """P19."""
     return F.when((n_lines == 0) & (buffers == ""), "no_audio_detected").otherwise("active_transcription")
+
+
+def all_samples(*sets: DataFrame) -> DataFrame:
+    """The samples of several sets, one behind the other; a column that a set lacks is null."""
+    first, *others = sets
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first

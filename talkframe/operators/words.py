@@ -121,7 +121,7 @@ def char_offset_times(words: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def released(timeline: DataFrame) -> DataFrame:
-    """Tokens with `released`: up to the last mark of their stretch between silences, or all where a silence or the end follows."""
+    """Tokens with `released`: up to the last mark of their stretch between silences, or all where a silence or the end follows."""
     along = Window.partitionBy("session_id").orderBy("seq2")
     rows = timeline.withColumn("epoch", F.sum((F.col("kind") == "silence").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("session_id", "epoch")
@@ -186,3 +186,24 @@ def words_to_sentences(words: DataFrame, sentences: DataFrame) -> DataFrame:
     later = Window.partitionBy("session_id").orderBy("_c", "_k", "sent_no").rowsBetween(0, Window.unboundedFollowing)
     found = w.unionByName(sent).withColumn("sent_no", F.first("sent_no", True).over(later)).where("_k = 0").select("session_id", "seq", "sent_no")
     return words.join(found.hint("merge"), ["session_id", "seq"])
+
+
+def translation_utterances(updates: DataFrame) -> DataFrame:
+    """Of each utterance what was shown and what holds: session_id, utt_no, n_updates, shown, text, start_cs, end_cs, n_refused.
+
+    Updates: session_id, utt_no, seq, text, is_final, start_cs, end_cs (of the source). A partial text must go on from the longest shown so far, else it is refused; the
+    final text, if not blank, replaces what is shown; without one, what is shown stays (a boundary takes nothing back). An utterance that has text begins
+    where the one before ended.
+    """
+    partial = ~F.col("is_final") & (F.trim("text") != "")
+    none = F.lit("").alias("shown"), F.lit(0).alias("refused")
+    seen = F.transform(F.array_sort(F.collect_list(F.when(partial, F.struct("seq", F.trim("text").alias("t"))))), lambda x: x["t"])
+    step = lambda a, t: F.when(F.startswith(t, a["shown"]), F.struct(t.alias("shown"), a["refused"].alias("refused"))).otherwise(F.struct(a["shown"].alias("shown"), (a["refused"] + 1).alias("refused")))
+    out = updates.groupBy("session_id", "utt_no").agg(
+        F.count(F.lit(1)).alias("n_updates"), F.aggregate(seen, F.struct(*none), step).alias("p"), F.max_by(F.trim("text"), F.when(F.col("is_final"), F.col("seq"))).alias("final"),
+        F.min("start_cs").alias("own_start"), F.max("end_cs").alias("end_cs"),
+    )
+    text = F.when(F.coalesce(F.col("final"), F.lit("")) != "", F.col("final")).otherwise(F.col("p.shown"))
+    out = out.withColumns({"text": text, "shown": F.col("p.shown"), "n_refused": F.col("p.refused")})
+    before = F.last(F.when(F.col("text") != "", F.col("end_cs")), True).over(Window.partitionBy("session_id").orderBy("utt_no").rowsBetween(Window.unboundedPreceding, -1))
+    return out.select("session_id", "utt_no", "n_updates", "shown", "text", F.coalesce(before, F.col("own_start")).alias("start_cs"), "end_cs", "n_refused")

@@ -11,6 +11,7 @@ from talkframe.plans.speech import BASE, FULL
 from talkframe.plans.speech import _lines as all_lines
 from talkframe.plans.tables_sql import TIMELINE, TOKENS, TURNS
 from talkframe.sources import adapters
+from talkframe.sources.scratch import kept
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +173,9 @@ def repetition_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every session's exports, one row per form."""
-    found = all_lines(spark, sf_dir)
-    forms = [exports.WRITERS[f](found).select("session_id", F.lit(f).alias("form"), "content") for f in ("srt", "vtt", "txt", "json", "diarized_json")]
+    """Every session's exports, one row per form."""
+    found = kept(all_lines(spark, sf_dir))
+    forms = [exports.writer(f)(found).select("session_id", F.lit(f).alias("form"), "content") for f in ("srt", "vtt", "txt", "json", "diarized_json")]
     out = forms[0]
     for f in forms[1:]:
         out = out.unionByName(f)

@@ -5,18 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only where that is unset and Spark runs in one process (tests), a new local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="talkframe-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """`df` computed once and checkpointed in spark.checkpoint.dir: it survives lost executors, and keeps its partitioning and order, so windows, aggregates and
-    joins on the session shuffle no more. Only where that folder is unset and Spark runs in one process (tests), a new local one is taken."""
+    """`df` computed once and checkpointed in the shared folder: it survives lost executors, and keeps its partitioning and order, so windows, aggregates and
+    joins on the session shuffle no more."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="talkframe-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -39,7 +39,40 @@ def test_words_of(spark):
 
 
 def test_tagged_tokens(spark):
-    df = spark.createDataFrame([("<|en|><|NEUTRAL|> Hello, World!", ["hello", "world"]), ("plain", ["gone"])], "text string, words array<string>")
+    df = spark.createDataFrame([("<|en|><|NEUTRAL|> Hello, World!", ["Hello", "World"]), ("plain", ["gone"]), ("a b c", ["a", "c"]), ("¿Qué\u00a0- “tal”?", ["Qué", "tal"])], "text string, words array<string>")
     rows = registered.tagged_tokens(df).collect()
-    assert (rows[0].lang, rows[0].tokens, rows[0].error_code) == ("en", ["Hello, ", "World!"], None)
-    assert (rows[1].lang, rows[1].error_code) == (None, "projection")
+    assert (rows[0].lang, rows[0].tokens, rows[0].error_code) == ("en", ["Hello,", " World!"], None)
+    assert [r.error_code for r in rows] == [None, "projection", "projection", None]  # text that no word stands for is an error
+    assert rows[3].tokens == ["¿Qué\u00a0- “", "tal”?"]
+    assert registered.project_words(["ab", "c"], "abc") == ["ab", "c"] and registered.project_words([], "!?") == []
+
+
+def test_writers():
+    from talkframe.operators import exports
+
+    assert exports.writer("srt") is exports.WRITERS["srt"]
+    try:
+        exports.writer("doc")
+    except ValueError as e:
+        assert "doc" in str(e)
+    else:
+        raise AssertionError
+
+
+def test_options():
+    import pytest
+
+    from talkframe.operators.options import Options, stream_options
+
+    assert stream_options({}) == Options(None, False, False, 10, None) and stream_options({"endpointing": "false"}).endpointing_ms is None
+    got = stream_options({"language": "de", "interim_results": " TRUE", "utterance_end_ms": "1000", "endpointing": "300", "encoding": "linear16", "sample_rate": "16000", "channels": "1"})
+    assert (got.language, got.interim_results, got.endpointing_ms, got.utterance_end_ms, got.pcm_input) == ("de", True, 300, 1000, True)
+    for bad in (
+        {"interim_results": "yes"}, {"endpointing": "0"}, {"endpointing": "1.5"}, {"endpointing": "١"}, {"utterance_end_ms": "999", "interim_results": "true"}, {"utterance_end_ms": "5001", "interim_results": "true"},
+        {"utterance_end_ms": "2000"}, {"encoding": "opus"}, {"encoding": "linear16"}, {"sample_rate": "8000"}, {"channels": "2"}, {"channels": "x"},
+    ):
+        with pytest.raises(ValueError):
+            stream_options(bad)
+    for bad in ({}, {"vad_events": "true", "endpointing": "false"}):
+        with pytest.raises(ValueError):
+            stream_options(bad, vad=False)
