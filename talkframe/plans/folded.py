@@ -12,6 +12,8 @@ from talkframe.sources import adapters
 from talkframe.streaming import folds, windows
 
 WORD = "text string, start_s double, end_s double"
+#: Words of a hypothesis: what a trimmed audio buffer holds.
+BUFFER = 15
 
 
 def _lists(name: str = "words", fields: tuple[str, ...] = ("text", "start_s", "end_s", "prob")):
@@ -22,13 +24,13 @@ def _lists(name: str = "words", fields: tuple[str, ...] = ("text", "start_s", "e
 def agreed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that two hypotheses of a turn agree on."""
     as_lists = _lists()
-    return folds.run_batch(adapters.hypotheses(spark, sf_dir), lambda s, r: folds.local_agreement(s, as_lists(r)), WORD, ["rev"])
+    return folds.run_batch(adapters.hypotheses(spark, sf_dir, recent=BUFFER), lambda s, r: folds.local_agreement(s, as_lists(r)), WORD, ["rev"])
 
 
 def steady_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of successive hypotheses that move forward, and resets."""
     as_lists = _lists(fields=("text", "start_s", "end_s"))
-    return folds.run_batch(adapters.hypotheses(spark, sf_dir), lambda s, r: folds.stable_words(s, as_lists(r)), "kind string, " + WORD, ["rev"])
+    return folds.run_batch(adapters.hypotheses(spark, sf_dir, recent=BUFFER), lambda s, r: folds.stable_words(s, as_lists(r)), "kind string, " + WORD, ["rev"])
 
 
 def coalesced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ HYPOTHESES = rf"""
 w AS (SELECT conv_id || '-' || turn AS session_id, regexp_extract_all(text, {WORDS}) AS w FROM conversations WHERE text IS NOT NULL),
 r AS (SELECT *, unnest(range(1, (len(w) + 4) // 5 + 2)) AS rev FROM w WHERE len(w) > 0),
 hyps AS MATERIALIZED (
-    SELECT session_id, rev, [{{'t': CASE WHEN i = least(rev * 5, len(w)) AND rev * 5 <= len(w) THEN w[i] || '~' ELSE w[i] END, 's': i * 50 / 100, 'e': (i * 50 + 40) / 100}} FOR i IN range(1, least(rev * 5, len(w)) + 1)] AS ws FROM r)"""
+    SELECT session_id, rev, [{{'t': CASE WHEN i = least(rev * 5, len(w)) AND rev * 5 <= len(w) THEN w[i] || '~' ELSE w[i] END, 's': i * 50 / 100, 'e': (i * 50 + 40) / 100}} FOR i IN range(greatest(least(rev * 5, len(w)) - 14, 1), least(rev * 5, len(w)) + 1)] AS ws FROM r)"""
 
 SRT = "lpad((t // 360000)::VARCHAR, 2, '0') || ':' || lpad(((t // 6000) % 60)::VARCHAR, 2, '0') || ':' || lpad(((t // 100) % 60)::VARCHAR, 2, '0') || ',' || lpad((t % 100 * 10)::VARCHAR, 3, '0')"
 _cue = lambda c, mark: SRT.replace("(t ", f"({c} ").replace("','", f"'{mark}'")

@@ -7,11 +7,14 @@ its rows go through one task in order; many sessions run in parallel.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -71,8 +74,7 @@ def loops(words: list[str]) -> bool:
             times += 1
         if times >= 3 and times * k >= 12:
             return True
-        grams = pd.Series([" ".join(words[i : i + k]) for i in range(n - k + 1)])
-        top = int(grams.value_counts().iloc[0])
+        top = max(Counter(zip(*(words[i:] for i in range(k)), strict=False)).values())
         if top >= 4 and top * k >= 12 and top * k / n >= 0.55:
             return True
     return False
@@ -347,39 +349,66 @@ def as_lists(words: list[Row]) -> list[list]:
 
 
 def run_batch(df: DataFrame, step: Step, out: str, order: list[str], key: str = "session_id") -> DataFrame:
-    """The fold over every session's rows in order; `out` is the schema of what it emits, behind the key."""
-    names = [f.split()[0] for f in out.split(", ")]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: Row = {}
-        made = [e for r in pdf.sort_values(order, kind="stable").to_dict("records") for e in step(state, plain(r))]
-        frame = pd.DataFrame(made, columns=names, dtype=object)
-        frame.insert(0, key, pdf[key].iloc[0])
-        frame.insert(1, "out_no", range(1, len(frame) + 1))
-        return frame
-
-    return df.groupBy(key).applyInPandas(fold, f"{key} {df.schema[key].dataType.simpleString()}, out_no int, {out}")
-
-
-def run_stream(df: DataFrame, step: Step, out: str, order: list[str], key: str = "session_id") -> DataFrame:
-    """The same fold over a stream: one value of state per session, in the RocksDB state store; rows of a micro-batch are put in order first."""
+    """The fold over every session's rows in order; `out` is the schema of what it emits, behind the key. Spark deals sessions to partitions and sorts; rows reach
+    the step batch by batch, so no session is held whole and small sessions cost no call each."""
+    shape = StructType.fromDDL(f"{key} {df.schema[key].dataType.simpleString()}, out_no int, {out}")
+    arrow = to_arrow_schema(shape)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Any = None
+        state: Row | None = None
+        n = 0
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                if state is None or r[key] != now:
+                    now, state, n = r[key], {}, 0
+                for e in step(state, r):
+                    n += 1
+                    made.append({key: now, "out_no": n, **e})
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, shape)
+
+
+def run_stream(df: DataFrame, step: Step, out: str, order: list[str], key: str = "session_id", idle_s: float | None = None, on_idle: Callable[[Row], Row] = lambda last: last | {"kind": "eof"}) -> DataFrame:
+    """The same fold over a stream: one value of state per session, in the RocksDB state store; rows of a micro-batch are put in order first.
+
+    With `idle_s` the stream has event_ts and a watermark: a session from which nothing has come for so long, by event time, gets a last row, made
+    by `on_idle` of the one before (the same as its end, if not given), and its state is dropped; so neither states nor pauses wait for a sign that never comes.
+    """
     names = [f.split()[0] for f in out.split(", ")]
 
     class Processor(StatefulProcessor):
         def init(self, handle) -> None:
+            self.handle = handle
             self.state = handle.getValueState("fold", StructType([StructField("json", StringType())]))
 
-        def handleInputRows(self, key_values, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            state, n = json.loads(self.state.get()[0]) if self.state.exists() else ({}, 0)
-            pdf = pd.concat(list(rows))
-            made = [e for r in pdf.sort_values(order, kind="stable").to_dict("records") for e in step(state, plain(r))]
-            frame = pd.DataFrame(made, columns=names, dtype=object)
-            frame.insert(0, key, key_values[0])
+        def fold(self, who: Any, rows: list[Row]) -> pd.DataFrame:
+            state, n, _ = json.loads(self.state.get()[0]) if self.state.exists() else ({}, 0, None)
+            frame = pd.DataFrame([e for r in rows for e in step(state, r)], columns=names, dtype=object)
+            frame.insert(0, key, who)
             frame.insert(1, "out_no", range(n + 1, n + len(frame) + 1))
-            self.state.update((json.dumps([state, n + len(frame)]),))
-            yield frame
+            self.state.update((json.dumps([state, n + len(frame), None if idle_s is None else rows[-1]]),))
+            return frame
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            pdf = pd.concat(list(rows)).sort_values(order, kind="stable")
+            if idle_s is not None:
+                old = [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
+                for t in old:
+                    self.handle.deleteTimer(t)
+                seen = pd.to_datetime(pdf["event_ts"], utc=True).max().timestamp()
+                self.handle.registerTimer(max([int((seen + idle_s) * 1000), *old]))
+                pdf = pdf.drop(columns="event_ts")
+            yield self.fold(key[0], [plain(r) for r in pdf.to_dict("records")])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            yield self.fold(key[0], [on_idle(json.loads(self.state.get()[0])[2])])
+            self.state.clear()
 
         def close(self) -> None:
             pass
 
-    return df.groupBy(key).transformWithStateInPandas(Processor(), f"{key} {df.schema[key].dataType.simpleString()}, out_no int, {out}", "append", "none")
+    shape = f"{key} {df.schema[key].dataType.simpleString()}, out_no int, {out}"
+    return df.groupBy(key).transformWithStateInPandas(Processor(), shape, "append", "none" if idle_s is None else "EventTime")

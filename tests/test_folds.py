@@ -1,7 +1,10 @@
 """Folds: literal cases, and batch against stream."""
 
+import datetime as dt
 import random
 
+import pytest
+
 from talkframe.streaming import folds
 
 
@@ -82,3 +85,70 @@ def test_batch_equals_stream(spark, tmp_path):
     query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("session_id", "out_no", "ix", "text").collect())) == want
+
+
+def streamed(spark, folder, df, step, out, order, **more):
+    """Runs a fold over the rows of `df`, two files a micro-batch in the order of `order`, as a stream."""
+    rows = df.orderBy(*order).collect()
+    size = max(1, -(-len(rows) // 6))
+    for at in range(0, len(rows), size):
+        spark.createDataFrame(rows[at : at + size], df.schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = stream.withWatermark("event_ts", "0 seconds") if "event_ts" in df.columns else stream
+    found = folds.run_stream(stream, step, out, order, **more)
+    query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    return spark.read.parquet(f"{folder}/out")
+
+
+WORDS = "array<struct<text:string,start_s:double,end_s:double,prob:double>>"
+
+
+def hypotheses(spark):
+    random.seed(3)
+    rows = []
+    for s in range(4):
+        words = [random.choice("ka lo mi nu te re so".split()) for _ in range(24)]
+        for rev in range(1, 8):
+            shown = words[: rev * 4]
+            shown = [*shown[:-1], shown[-1] + "~"] if rev < 6 else shown
+            rows.append((f"s{s}", rev, [(w, i * 0.5, i * 0.5 + 0.4, 0.5) for i, w in enumerate(shown)]))
+    return spark.createDataFrame(rows, f"session_id string, rev int, words {WORDS}")
+
+
+def lists(step, n=4):
+    return lambda state, row: step(state, row | {"words": [list(w.values())[:n] for w in row["words"]]})
+
+
+@pytest.mark.parametrize("case", ["agreement", "stable", "coalesced", "delta", "events"])
+def test_streams_equal_batches(spark, tmp_path, case):
+    """The same rows, in one table and in micro-batches, give the same output."""
+    hyps = hypotheses(spark)
+    word = "text string, start_s double, end_s double"
+    if case == "agreement":
+        args = (hyps, lists(folds.local_agreement), word, ["rev"])
+    elif case == "stable":
+        args = (hyps, lists(folds.stable_words, 3), "kind string, " + word, ["rev"])
+    elif case == "coalesced":
+        rows = [(f"s{i % 3}", i, random.Random(i).random(), "silence" if i % 11 == 0 else "audio") for i in range(60)]
+        args = (spark.createDataFrame(rows, "session_id string, rev int, seconds double, kind string"), folds.coalesce_chunks, "seconds double, n int", ["rev"])
+    elif case == "delta":
+        rows = [(f"s{i % 3}", i, [f"{k}" for k in range(i // 9, i // 3 + 1)] + ([f"edited {i}"] if i % 4 else [])) for i in range(40)]
+        args = (spark.createDataFrame(rows, "session_id string, rev int, lines array<string>"), folds.to_delta, "rev int, seq int, type string, lines_pruned int, n_lines int, new_lines array<string>", ["rev"])
+    else:
+        rows = [(r.session_id, r.rev * 3 + k, kind, r.rev * 2.0 + t, [w.asDict() for w in r.words] if kind == "snapshot" else []) for r in hyps.collect() for k, (kind, t) in enumerate((("snapshot", 0), ("audio_advanced", 0.1), ("finish" if r.rev == 7 else "audio_advanced", 0.2)))]
+        args = (spark.createDataFrame(rows, f"session_id string, seq int, kind string, ts_s double, words {WORDS}"), lists(folds.Events(), 3), "kind string, text string, at_s double, speech_final boolean", ["seq"])
+    want = sorted(map(str, folds.run_batch(*args).collect()))
+    assert len(want) > 8 and sorted(map(str, streamed(spark, str(tmp_path), *args).collect())) == want
+
+
+def test_idle_sessions_end(spark, tmp_path):
+    """A session that falls silent without an end gets one by event time, and its state goes: a later row begins anew."""
+    at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    rows = [("a", "one two three", 0), ("b", "x y", 1), ("b", "x y z", 40), ("b", "x y z w", 80), ("b", "x y z w", 100), ("b", "x y z w", 101), ("a", "new day", 120), ("b", "x y z w v", 160), ("b", "x y z w v u", 200), ("b", "x y z w v u", 201)]
+    rows = [(s, i, text, at(t)) for i, (s, text, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "session_id string, rev int, text string, event_ts timestamp")
+    out = streamed(spark, str(tmp_path), df, folds.hold_back_last, "ix int, text string", ["rev"], idle_s=60)
+    got = {s: [(r.out_no, r.text.strip()) for r in sorted(out.where(f"session_id = '{s}'").collect(), key=lambda r: r.out_no)] for s in "ab"}
+    assert sorted(got["a"]) == sorted([(1, "one"), (2, "two"), (3, "three"), (1, "new"), (2, "day")])
+    assert [t for _, t in got["b"]] == ["x", "y", "z", "w", "v"]
