@@ -28,7 +28,7 @@ class Counter:
 
     At load time every vocabulary string that closes a word is encoded alone; those that give exactly one token form the
     set `whole`. A pre-token in that set counts 1 without merging. Any other pre-token is merged by the library,
-    once, and remembered in a table of at most `most` strings. A text with a character outside PLAIN, or with a
+    once, and remembered in a table of at most `most` strings and about 16 * `most` characters. A text with a character outside PLAIN, or with a
     special token's string, goes to the library as a whole.
     """
 
@@ -56,7 +56,7 @@ class Counter:
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.base = dict.fromkeys(whole, 1)
-        self.known = dict(self.base)
+        self.known, self.size = dict(self.base), 0
 
     def _cuts(self, text: str) -> list[str]:
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
@@ -77,8 +77,9 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         cuts = [None if self.other.search(t) else self.cut.findall(t.lower()) for t in texts]
         new = set().union(*filter(None, cuts)).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known = dict(self.base)
+        self.size += sum(map(len, new))
+        if len(self.known) + len(new) > self.most or self.size > 16 * self.most:
+            self.known, self.size = dict(self.base), 0
             new = set().union(*filter(None, cuts)).difference(self.known)
         if new:
             self.merge(list(new))
@@ -89,7 +90,7 @@ class Counter:
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes (UTF-8), n_tokens, over_limit (more than `limit` tokens).
 
-    Counts are the library's for the whole text, without special tokens around it. Null counts as empty (0 tokens);
+    Counts are the library's for the whole text, however long, without special tokens around it. Null counts as empty (0 tokens);
     repeated rows count each; an empty table gives an empty result; other columns are ignored. Scan and count only: no shuffle.
     `tokenizer_path` is read where the tasks run, so it must exist there.
     """
