@@ -183,7 +183,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int =
     banding: two collections of `halves` half keys each, and one table for every pair of half keys.
 
     1. Equal sets are one node, found by digest with map-side combining; only nodes go on.
-    2. Table keys held by one node are dropped after a pre-aggregated count.
+    2. Half keys held by one node are dropped after a pre-aggregated count, then table keys, made of the half keys that are left: a table key can
+       be shared only where both its halves are.
     3. In every bucket each node is a candidate of the bucket's least node (a star, not all pairs). Candidates that odd sketches do not
        refute are compared on their whole sets, and links are joined to components. Buckets that lie in one component are done.
     4. In the others every node outside the bucket's largest component is a candidate of all nodes of other components. Again only what odd
@@ -201,8 +202,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int =
     same = ("n", "a", "b", "small", "large")  # alike in all rows of a node
     nodes = written(marked.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in same)), "near-nodes")
 
-    table = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i * halves + j, x, y))))
-    keys = nodes.select("node", F.posexplode(table).alias("tab", "key"))
+    halfs = nodes.select("node", F.posexplode(F.concat("a", "b")).alias("slot", "half"))
+    shared = halfs.groupBy("slot", "half").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("slot", "half")
+    left = halfs.join(shared.hint("merge"), ["slot", "half"], "left_semi").groupBy("node").agg(F.collect_list(F.struct("slot", "half")).alias("halfs"))
+    tab = lambda x, y: x["slot"] * halves + y["slot"] - halves
+    pair = lambda x, y: F.struct(tab(x, y).alias("tab"), F.xxhash64(tab(x, y), x["half"], y["half"]).alias("key"))
+    side = lambda first: F.filter("halfs", lambda x: (x["slot"] < halves) == first)
+    table = F.flatten(F.transform(side(True), lambda x: F.transform("second", lambda y: pair(x, y))))
+    keys = left.withColumn("second", side(False)).select("node", F.inline(table))
+    keys = written(keys, "near-keys")
     crowd = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("high")
     buckets = written(keys.join(crowd.hint("merge"), "key"), "near-buckets")
     short = lambda c: F.transform(c, lambda v: F.hash(v)).alias(c)
@@ -235,7 +243,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int =
     found = components(named).select("node.node", F.col("label.id").alias("least"))
     found = nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("least", "id").alias("component_id"))
     found = written(found, "near-components")
-    forget(nodes, buckets, fine, stars, links, left, rest, more)
+    forget(nodes, keys, buckets, fine, stars, links, left, rest, more)
     more = ["h"] if keyed else []
     rows_out = all_rows.select("id", "n", F.when(~lone, F.col("node")).alias("node"), *more).join(found.hint("merge"), "node", "left")
     component = F.coalesce("component_id", "id")
