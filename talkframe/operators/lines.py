@@ -29,33 +29,30 @@ def speaker_lines(timeline: DataFrame, spans: DataFrame) -> DataFrame:
     Sessions without spans have speaker -1 throughout.
     """
     cover = spans.groupBy("session_id").agg(F.max("end_cs").alias("cover"))
-    rows = timeline.join(cover.hint("merge"), "session_id", "left")
+    speech = timeline.where("kind = 'token'").select("session_id", F.col("seq2").alias("seq"), "start_cs", "end_cs")
+    owners = best_owner(speech, spans, "session_id", "seq", "span_no", "start_cs", "end_cs", 1000, "speaker").withColumnRenamed("seq", "seq2")
+    rows = timeline.join(owners.hint("merge"), ["session_id", "seq2"], "left").join(cover.hint("merge"), "session_id", "left")
+    # one pass from here on: every window goes over the session
     by = Window.partitionBy("session_id").orderBy("seq2")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     silent = F.col("kind") == "silence"
     rows = rows.withColumn("epoch", F.sum(silent.cast("int")).over(upto))
-    nth = F.row_number().over(Window.partitionBy("session_id", "epoch").orderBy(silent.desc(), "seq2")) - F.max(silent.cast("int")).over(Window.partitionBy("session_id", "epoch"))
+    epoch = Window.partitionBy("session_id", "epoch").orderBy("seq2").rowsBetween(Window.unboundedPreceding, 0)
+    nth = F.sum((~silent).cast("int")).over(epoch)
     rows = rows.withColumn("attached", ~silent & only_marks("text") & (nth > 1))
     late = ~silent & (F.col("start_cs") >= F.col("cover")) & ~F.col("attached")
     rows = rows.withColumn("waits", F.coalesce(F.max(late).over(upto), F.lit(False)))
-    speech = rows.where(~silent & ~F.col("waits") & ~F.col("attached")).select("session_id", F.col("seq2").alias("seq"), "start_cs", "end_cs")
-    named = best_owner(speech, spans, "session_id", "seq", "span_no", "start_cs", "end_cs", 1000, "speaker").withColumnRenamed("seq", "seq2")
-    rows = rows.join(named.hint("merge"), ["session_id", "seq2"], "left")
     heard = ~silent & ~F.col("waits") & ~F.col("attached")
-    rows = rows.withColumn("own", F.when(heard, F.coalesce(F.col("owner") + 1, F.lit(1)).cast("int"))).drop("owner")
-    own = F.when(silent, SILENCE).when(F.col("cover").isNull(), -1).otherwise(F.last("own", True).over(Window.partitionBy("session_id", "epoch").orderBy("seq2").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("speaker", own)
-    shown = rows.where(~F.col("waits"))
+    own = F.when(heard, F.coalesce(F.col("owner") + 1, F.lit(1)).cast("int"))
+    rows = rows.withColumn("speaker", F.when(silent, SILENCE).when(F.col("cover").isNull(), -1).otherwise(F.last(own, True).over(epoch)))
     change = silent | (F.lag("kind").over(by) == "silence") | (F.col("speaker") != F.lag("speaker").over(by))
-    shown = shown.withColumn("line_no", islands(change, by))
-    lines = shown.groupBy("session_id", "line_no").agg(
-        F.min("kind").alias("kind"), F.min("speaker").alias("speaker"), F.min("start_cs").alias("start_cs"), F.max("end_cs").alias("end_cs"),
-        F.when(F.min("kind") == "token", joined("seq2", "text")).alias("text"), F.count_if(F.col("kind") == "token").alias("n_tokens"),
+    # what waits comes behind all that is shown, so the numbers of lines do not depend on it
+    rows = rows.withColumn("line_no", F.when(F.col("waits"), 0).otherwise(islands(change, by))).where(~(F.col("waits") & silent))
+    lines = rows.groupBy("session_id", "line_no").agg(
+        F.when(F.max("waits"), "buffer").when(F.min("kind") == "token", "line").otherwise("silence").alias("kind"), F.when(~F.max("waits"), F.min("speaker")).alias("speaker"),
+        F.min("start_cs").alias("start_cs"), F.max("end_cs").alias("end_cs"), F.when(F.min("kind") == "token", joined("seq2", "text")).alias("text"), F.count_if(F.col("kind") == "token").alias("n_tokens"),
     )
-    lines = lines.withColumn("kind", F.when(F.col("kind") == "token", "line").otherwise("silence"))
-    waiting = rows.where(F.col("waits") & ~silent).groupBy("session_id").agg(F.min("start_cs").alias("start_cs"), F.max("end_cs").alias("end_cs"), joined("seq2", "text").alias("text"), F.count(F.lit(1)).alias("n_tokens"))
-    waiting = waiting.withColumns({"line_no": F.lit(0).cast("bigint"), "kind": F.lit("buffer"), "speaker": F.lit(None).cast("int")})
-    return lines.unionByName(waiting.select(lines.columns))
+    return lines
 
 
 def segments_at_marks(timeline: DataFrame) -> DataFrame:

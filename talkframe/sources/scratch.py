@@ -20,8 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """`df` computed once and checkpointed in the shared folder: it survives lost executors, and keeps its partitioning and order, so windows, aggregates and
-    joins on the session shuffle no more."""
+    """`df` computed once and checkpointed in the shared folder, where it survives lost executors."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
