@@ -12,20 +12,21 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of the undirected `links` (a, b); label is the smallest node of its component.
 
     Alternates large-star and small-star steps until the links no longer change. Each step is a minimum per node with
-    map-side combining and a join back, so a hub's rows can be split over tasks; each round is written to the shared folder.
-    Only a row count and a checksum come to the driver. An empty table gives an empty result.
+    map-side combining and a join back of two written tables, so a hub's rows can be split over tasks; each round is written to the
+    shared folder, and the one before deleted. Only a row count and a checksum come to the driver. An empty table gives an empty result.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
     last = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least.hint("merge"), "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        large = written(large, "components-large")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "components-lower")
+        small = large.join(lower.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(lower.select("u", F.col("m").alias("v")))
         before, edges = edges, written(small.where("u <> v").distinct(), "components")
-        forget(before)
+        forget(before, least, large, lower)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
             break
