@@ -87,7 +87,7 @@ def shared_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """how many words each turn's text shares with the same text of which a word is another."""
     ws = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     rows = _turns(spark, sf_dir).select("session_id", "turn", ws.alias("w"))
-    other = F.transform(F.slice("w", 1, F.lit(40)), lambda w, i: F.when(i == F.col("turn") * 3, F.lit("other")).otherwise(w))
+    other = F.transform("w", lambda w, i: F.when(i == F.col("turn") * 3, F.lit("other")).otherwise(w))
     return rows.select("session_id", "turn", T.common_prefix_length(F.col("w"), other).alias("n"))
 
 
@@ -266,7 +266,7 @@ ORACLES = {
     "joined_fragments": rf"""WITH {_T}, p AS (SELECT session_id, turn, regexp_extract_all(text, '[^\x20\x09-\x0D.!?]+|[.!?]+') AS w FROM t)
         SELECT session_id, turn, CASE WHEN len(w) = 0 THEN '' ELSE list_reduce(w, lambda a, f : CASE WHEN regexp_matches(a, '[\pL\pN]$') AND regexp_matches(f, '^[\pL\pN]') THEN a || ' ' || f ELSE a || f END) END AS text FROM p""",
     "shared_prefixes": r"""WITH p AS (SELECT conv_id AS session_id, turn, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM conversations WHERE text IS NOT NULL)
-        SELECT session_id, turn, CASE WHEN turn * 3 < least(len(w), 40) AND w[turn * 3 + 1] <> 'other' THEN turn * 3 ELSE least(len(w), 40) END::INT AS n FROM p""",
+        SELECT session_id, turn, CASE WHEN turn * 3 < len(w) AND w[turn * 3 + 1] <> 'other' THEN turn * 3 ELSE len(w) END::INT AS n FROM p""",
     "speaker_numbers": """WITH n AS (SELECT conv_id AS session_id, turn, greatest(coalesce(TRY_CAST(CASE WHEN turn % 5 = 0 THEN role WHEN turn % 7 <> 0 THEN (turn * 9 - 2)::VARCHAR END AS INT), 1) - 1, 0) AS n FROM conversations)
         SELECT session_id, turn, n, CASE WHEN n >= 26 THEN chr((n // 26 + 64)::INT) ELSE '' END || chr((n % 26 + 65)::INT) AS label FROM n""",
     "projected_words": r"""WITH p AS (SELECT conv_id AS session_id, turn, trim(text, ' ') AS c FROM conversations WHERE text IS NOT NULL),

@@ -4,33 +4,32 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkframe.plans.tables_sql import TOKENS, VAD
 from talkframe.sources import adapters
 from talkframe.streaming import folds, windows
+from talkframe.streaming.events import EventStream
 
 WORD = "text string, start_s double, end_s double"
-#: Words of a hypothesis: what a trimmed audio buffer holds.
-BUFFER = 15
+FIELDS = ("text", "start_s", "end_s", "prob")
 
 
-def _lists(name: str = "words", fields: tuple[str, ...] = ("text", "start_s", "end_s", "prob")):
-    """The step's words as lists of the wanted fields."""
-    return lambda row: row | {name: [[w[f] for f in fields] for w in row[name]]}
+def _folded(rows: DataFrame, step: folds.Step, out: str, order: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """The fold over rows whose `words` reach the step as lists of the wanted fields. They travel as one array a field, which is read far quicker than structs."""
+    flat = rows.select(*(c for c in rows.columns if c != "words"), *(F.col(f"words.{f}").alias(f"_{f}") for f in fields))
+    return folds.run_batch(flat, lambda s, r: step(s, r | {"words": [list(w) for w in zip(*(r[f"_{f}"] for f in fields), strict=True)]}), out, order)
 
 
 def agreed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that two hypotheses of a turn agree on."""
-    as_lists = _lists()
-    return folds.run_batch(adapters.hypotheses(spark, sf_dir, recent=BUFFER), lambda s, r: folds.local_agreement(s, as_lists(r)), WORD, ["rev"])
+    return _folded(adapters.hypotheses(spark, sf_dir), folds.local_agreement, WORD, ["rev"])
 
 
 def steady_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of successive hypotheses that move forward, and resets."""
-    as_lists = _lists(fields=("text", "start_s", "end_s"))
-    return folds.run_batch(adapters.hypotheses(spark, sf_dir, recent=BUFFER), lambda s, r: folds.stable_words(s, as_lists(r)), "kind string, " + WORD, ["rev"])
+    return _folded(adapters.hypotheses(spark, sf_dir), folds.stable_words, "kind string, " + WORD, ["rev"], FIELDS[:3])
 
 
 def coalesced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,19 +70,46 @@ def rebuilt_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run_batch(deltas, folds.from_delta, "rev int, lines array<string>", ["rev"]).select("session_id", "rev", F.array_join("lines", "|").alias("lines"))
 
 
-def final_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event stream of each turn: snapshots of its growing words between clock events, a pause, and the end."""
+def _script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream of each turn: snapshots of its growing words between clock events, a pause, a late boundary sent twice, and the end. In odd turns speaker
+    labels lag at the last new snapshot, a boundary behind the last word comes while they do, and the snapshot comes again without the lag."""
     hyps = adapters.hypotheses(spark, sf_dir)
+    odd = F.split("session_id", "-")[1].cast("int") % 2 == 1
+    last = hyps.groupBy("session_id").agg(F.max("rev").alias("m"), F.max_by("words", "rev").alias("all")).withColumn("n", F.size("all"))
     empty = F.array().cast(hyps.schema["words"].dataType)
-    last = hyps.groupBy("session_id").agg(F.max("rev").alias("m"))
-    made = lambda df, seq, kind, ts, words=empty: df.select("session_id", seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), ts.cast("double").alias("ts_s"), words.alias("words"))
+    lags = hyps.withColumn("lag", F.when(odd & (F.col("rev") == F.max("rev").over(Window.partitionBy("session_id"))), 0.5).otherwise(0.0))
+
+    def made(df: DataFrame, seq, kind: str, ts, words=empty, lag=0.0, count=0, lasts=0.0) -> DataFrame:
+        some = {"lag_s": (lag, "double"), "count": (count, "int"), "duration_s": (lasts, "double")}
+        more = [(v if isinstance(v, Column) else F.lit(v)).cast(t).alias(c) for c, (v, t) in some.items()]
+        return df.select("session_id", seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), ts.cast("double").alias("ts_s"), words.alias("words"), *more)
+
     end = (F.col("m") * 5 + 2) / 2
-    rows = made(hyps, F.col("rev") * 2, "snapshot", F.col("rev") * 2.5, F.col("words")).unionByName(made(hyps, F.col("rev") * 2 + 1, "audio_advanced", F.col("rev") * 2.5))
-    for i, (kind, later) in enumerate((("silence_started", 0), ("silence_transcription_ready", 0), ("audio_advanced", 0.5), ("audio_advanced", 2), ("speech_started", 2.5), ("finish", 3))):
-        rows = rows.unionByName(made(last, F.col("m") * 2 + 2 + i, kind, end + later))
-    as_lists = _lists(fields=("text", "start_s", "end_s"))
-    events = folds.Events()
-    return folds.run_batch(rows, lambda s, r: events(s, as_lists(r)), "kind string, text string, at_s double, speech_final boolean", ["seq"])
+    rows = made(lags, F.col("rev") * 2, "snapshot", F.col("rev") * 2.5, F.col("words"), F.col("lag")).unionByName(made(hyps, F.col("rev") * 2 + 1, "audio_advanced", F.col("rev") * 2.5))
+    at = lambda i: F.col("m") * 2 + 2 + i
+    rows = rows.unionByName(made(last.where(odd), at(0), "boundary", end - 0.5, count=F.col("n"), lasts=0.2)).unionByName(made(last.where(odd), at(1), "snapshot", end, F.col("all")))
+    for i, (kind, later) in enumerate((("silence_started", 0), ("silence_transcription_ready", 0), ("audio_advanced", 0.5)), 2):
+        rows = rows.unionByName(made(last, at(i), kind, end + later))
+    for i in (5, 6):
+        rows = rows.unionByName(made(last, at(i), "boundary", F.lit(0.5), count=1, lasts=0.2))
+    for i, (kind, later) in enumerate((("audio_advanced", 2), ("speech_started", 2.5), ("finish", 3)), 7):
+        rows = rows.unionByName(made(last, at(i), kind, end + later))
+    return rows
+
+
+EVENT = "kind string, text string, at_s double, speech_final boolean"
+
+
+def final_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finals, endpoints, utterance ends, speech starts and late boundaries of each turn's event stream."""
+    return _folded(_script(spark, sf_dir), EventStream(interims=False), EVENT, ["seq"], FIELDS[:3])
+
+
+def interim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not final yet, told where it changed."""
+    found = _folded(_script(spark, sf_dir), EventStream(), EVENT, ["seq"], FIELDS[:3]).where("kind = 'interim'")
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("out_no"))
+    return found.select("session_id", nth.alias("nth"), "text")
 
 
 def subtitle_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +150,30 @@ def stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.stalls(rows, 0.5).select("session_id", "frame_ix", F.round("idle_s", 3).alias("idle_s"), "stalled")
 
 
-QUERIES = {f.__name__: f for f in (agreed_words, steady_words, coalesced_chunks, released_growing_words, line_deltas, rebuilt_snapshots, final_events, subtitle_cues, retained_tokens, pause_sessions, probes, stalls)}
+QUERIES = {f.__name__: f for f in (agreed_words, steady_words, coalesced_chunks, released_growing_words, line_deltas, rebuilt_snapshots, final_events, interim_events, subtitle_cues, retained_tokens, pause_sessions, probes, stalls)}
 
 SNAPSHOTS = f"""WITH {TOKENS},
     lines AS (SELECT session_id, turn, turn || ':' || string_agg(text, '' ORDER BY seq) AS line, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS rev FROM tokens GROUP BY session_id, turn)"""
 
+SCRIPT = r"""WITH w AS (
+        SELECT conv_id || '-' || turn AS session_id, turn % 2 = 1 AS odd, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM conversations WHERE text IS NOT NULL),
+    c AS (SELECT *, len(w) AS n, (len(w) + 4) // 5 + 1 AS m, CASE WHEN odd THEN (len(w) + 4) // 5 - 1 ELSE len(w) // 5 END AS cuts FROM w WHERE len(w) > 0)"""
+
 ORACLES = {
+    "final_events": SCRIPT + """,
+        j AS (SELECT *, unnest(range(1, cuts + 1)) AS j FROM c),
+        e AS (
+            SELECT session_id, j AS o, 'final' AS kind, array_to_string(w[greatest(5 * j - 5, 1) : 5 * j - 1], ' ') AS text, ((5 * j - 1) * 50 + 40) / 100.0::DOUBLE AS at_s, FALSE AS speech_final FROM j
+            UNION ALL SELECT session_id, cuts + 1, 'final', array_to_string(w[greatest(5 * cuts, 1) : n], ' '), (n * 50 + 40) / 100.0::DOUBLE, NOT odd FROM c
+            UNION ALL SELECT session_id, cuts + 2, 'utterance_end', '', (n * 50 + 40) / 100.0::DOUBLE, FALSE FROM c
+            UNION ALL SELECT session_id, cuts + 3, 'final', '', (n * 50 + 40) / 100.0::DOUBLE, TRUE FROM c WHERE odd
+            UNION ALL SELECT session_id, cuts + 4, 'late', '', 0.5::DOUBLE, FALSE FROM c WHERE n > 1
+            UNION ALL SELECT session_id, cuts + 5, 'speech_started', '', (m * 5 + 2) / 2.0::DOUBLE + 2.5, FALSE FROM c)
+        SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY o) AS INTEGER) AS out_no, kind, text, at_s, speech_final FROM e""",
+    "interim_events": SCRIPT + """,
+        k AS (SELECT *, unnest(range(1, m + 1)) AS k FROM c),
+        i AS (SELECT *, greatest(5 * least(k - 1, cuts) - 1, 0) AS cut, least(5 * k, n) AS shown FROM k WHERE k < m OR n % 5 = 0)
+        SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY k) AS INTEGER) AS nth, array_to_string(w[cut + 1 : shown], ' ') || CASE WHEN 5 * k <= n THEN '~' ELSE '' END AS text FROM i""",
     "released_growing_words": r"""WITH w AS (SELECT conv_id || '-' || turn AS session_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM conversations WHERE text IS NOT NULL),
         i AS (SELECT session_id, w, unnest(range(0, len(w) - 1)) AS ix FROM w)
         SELECT session_id, ix, CASE WHEN ix = 0 THEN '' ELSE ' ' END || w[ix + 1] AS text FROM i""",

@@ -88,15 +88,14 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("session_id"), "turn", "ref", F.filter(other, lambda w: w.isNotNull()).alias("hyp"))
 
 
-def hypotheses(spark: SparkSession, sf_dir: str, step: int = 5, recent: int | None = None) -> DataFrame:
+def hypotheses(spark: SparkSession, sf_dir: str, step: int = 5) -> DataFrame:
     """Successive hypotheses of a turn: session_id (conversation and turn), rev, words (array of text, start_s, end_s, prob). Revision k
-    shows the first `step` * k words, or the last `recent` of them, as a trimmed audio buffer does; the last word is another one until the turn is complete."""
+    shows the first `step` * k words; the last word is another one until the turn is complete."""
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     rows = read(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.concat_ws("-", "conv_id", "turn").alias("session_id"), words.alias("w"))
     rows = rows.where(F.size("w") > 0).withColumn("rev", F.explode(F.sequence(F.lit(1), F.ceil(F.size("w") / step).cast("int") + 1)))
     shown = F.least(F.col("rev") * step, F.size("w"))
-    gone = F.greatest(shown - recent, F.lit(0)) if recent else F.lit(0)
     full = F.col("rev") * step > F.size("w")
-    no = lambda i: i + gone + 1
+    no = lambda i: i + 1
     spoken = lambda w, i: F.struct(F.when((no(i) == shown) & ~full, F.concat(w, F.lit("~"))).otherwise(w).alias("text"), (no(i) * 50 / F.lit(100.0)).alias("start_s"), ((no(i) * 50 + 40) / F.lit(100.0)).alias("end_s"), F.lit(0.9).alias("prob"))
-    return rows.select("session_id", "rev", F.transform(F.slice("w", gone + 1, shown - gone), spoken).alias("words"))
+    return rows.select("session_id", "rev", F.transform(F.slice("w", 1, shown), spoken).alias("words"))

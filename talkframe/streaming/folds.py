@@ -7,10 +7,10 @@ its rows go through one task in order; many sessions run in parallel.
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,23 +59,23 @@ def local_agreement(state: Row, row: Row, sure: float | None = None) -> list[Row
 
 
 def loops(words: list[str]) -> bool:
-    """F30 for a Python list."""
+    """F30 for a Python list, by run lengths: words become numbers, a tail repeats itself after k words as far back as each number equals the one k before it, and
+    k words are one number in the base of the vocabulary."""
     n = len(words)
     if n < 12:
         return False
-    run = 1
-    for a, b in zip(words, words[1:], strict=False):
-        run = run + 1 if a == b else 1
-        if run >= 8:
-            return True
-    for k in range(2, min(8, n // 2) + 1):
-        times = 1
-        while n - k * (times + 1) >= 0 and words[n - k * (times + 1) : n - k * times] == words[n - k : n]:
-            times += 1
-        if times >= 3 and times * k >= 12:
-            return True
-        top = max(Counter(zip(*(words[i:] for i in range(k)), strict=False)).values())
-        if top >= 4 and top * k >= 12 and top * k / n >= 0.55:
+    code = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    x = np.array([code[w] for w in words], np.int64)
+    turns = np.flatnonzero(np.diff(x, prepend=-1, append=-1))
+    if np.diff(turns).max() >= 8:
+        return True
+    gram = x
+    for k in range(2, 9):
+        gram = np.unique(gram[:-1] * len(code) + x[k - 1 :], return_inverse=True)[1]  # numbered anew, so numbers stay small
+        unlike = np.flatnonzero(x[k:] != x[:-k])
+        tail = n - (unlike[-1] + 1 if len(unlike) else 0)
+        times = int(np.bincount(gram).max())
+        if tail >= max(3 * k, k * -(-12 // k)) or times >= max(4, -(-12 // k)) and times * k >= 0.55 * n:
             return True
     return False
 
@@ -148,165 +148,6 @@ def from_delta(state: Row, row: Row) -> list[Row]:
     return [{"rev": row["rev"], "lines": state["lines"]}]
 
 
-class Events:
-    """Final words, interims, endpoints, utterance ends and speech starts from snapshots and sample-clock events.
-
-    Rows: kind (snapshot, boundary, silence_started, silence_transcription_ready, speech_started, audio_advanced, finish), ts_s, words ([text, start_s,
-    end_s]), buffer, lag_s, count (words before a boundary) and duration_s. Emits kind (final, interim, utterance_end, speech_started), text, at_s, speech_final.
-    """
-
-    def __init__(self, endpoint_s: float | None = 0.3, utterance_s: float | None = 1.0, interims: bool = True):
-        self.endpoint_s, self.utterance_s, self.interims = endpoint_s, utterance_s, interims
-
-    def __call__(self, state: Row, row: Row) -> list[Row]:
-        for name, start in (("words", []), ("n", 0), ("cut", 0), ("buffer", ""), ("lag", 0.0), ("audio", 0.0), ("pauses", {}), ("started", []), ("speech", False), ("seen", [])):
-            state.setdefault(name, start)
-        self.s, self.out = state, []
-        kind = row["kind"]
-        if kind == "snapshot":
-            self.snapshot(row)
-        elif kind == "boundary":
-            self.boundary(row)
-        elif kind == "finish":
-            state["audio"] = max(state["audio"], row["ts_s"])
-            self.release(len(state["words"]), False, forced=True)
-            if state["buffer"].strip():
-                self.emit("final", state["buffer"].strip(), None)
-                state["buffer"] = ""
-        else:
-            self.clock(kind, row["ts_s"])
-        if kind != "finish":
-            self.timers()
-        if kind == "snapshot":
-            self.interim()
-        return self.out
-
-    def emit(self, kind: str, text: str, at: float | None, final: bool = False) -> None:
-        self.out.append({"kind": kind, "text": text, "at_s": at, "speech_final": final})
-
-    def due(self, pause: Row) -> bool:
-        end = self.s["audio"] if pause["end"] is None else pause["end"]
-        return self.endpoint_s is not None and end - pause["start"] + 1e-9 >= self.endpoint_s
-
-    def oldest(self) -> Row | None:
-        return next((p for p in self.s["pauses"].values() if not p["done"] and self.due(p)), None)
-
-    def words_before(self, t: float) -> int:
-        return next((i for i, w in enumerate(self.s["words"]) if w[1] >= t), len(self.s["words"]))
-
-    def release(self, count: int, final: bool, forced: bool = False) -> None:
-        """Makes words final up to `count`, never beyond a pause that is due and open."""
-        s = self.s
-        if not forced:
-            if s["lag"] > 0:
-                return
-            if (pause := self.oldest()) is not None:
-                if not final:
-                    return
-                count = min(count, self.words_before(pause["start"]))
-        count = min(max(count, s["n"]), len(s["words"]))
-        fresh = s["words"][s["n"] : count]
-        if fresh:
-            last = s.get("last_end")
-            if self.utterance_s is not None and last is not None and s.get("ended_for") != last and fresh[0][1] - last >= self.utterance_s:
-                self.end_utterance()
-            self.emit("final", " ".join(w[0] for w in fresh), fresh[-1][2], final)
-            s.update(n=count, last_end=fresh[-1][2], ended_for=None, shown=None)
-            s["cut"] = count if final else s["cut"]
-            self.utterance_end()
-        elif final and count > s["cut"]:
-            self.emit("final", "", s.get("last_end"), True)
-            s.update(cut=count, shown=None)
-
-    def end_utterance(self) -> None:
-        self.emit("utterance_end", "", self.s["last_end"])
-        self.s["ended_for"] = self.s["last_end"]
-
-    def utterance_end(self) -> None:
-        s, last = self.s, self.s.get("last_end")
-        if self.utterance_s is None or last is None or s.get("ended_for") == last or s["audio"] - last < self.utterance_s or s["buffer"].strip():
-            return
-        pending = s["words"][s["n"] :]
-        if not pending or pending[0][1] - last >= self.utterance_s:
-            self.end_utterance()
-
-    def snapshot(self, row: Row) -> None:
-        s = self.s
-        old, new = s["words"], [list(w) for w in row["words"]]
-        same = next((i for i, (a, b) in enumerate(zip(old, new, strict=False)) if a[0] != b[0]), min(len(old), len(new)))
-        if same < s["n"]:
-            tails = [b[0][len(a[0]) :] if b[0].startswith(a[0]) else None for a, b in zip(old[same : s["n"]], new[same : s["n"]], strict=False)]
-            if len(new) >= s["n"] and all(t is not None and not any(c.isalnum() for c in t) for t in tails):
-                for t in tails:
-                    if t:
-                        self.emit("final", t.strip(), None)
-            else:
-                new = old[: s["n"]] + new[s["n"] :]
-            same = s["n"]
-        changed = [w[0] for w in old] != [w[0] for w in new]
-        s.update(words=new, buffer=row.get("buffer") or "", lag=row.get("lag_s") or 0.0)
-        if old and changed and same > s["n"]:
-            self.release(same, False)
-
-    def boundary(self, row: Row) -> None:
-        s, key = self.s, round(row["ts_s"], 3)
-        if key in s["seen"] or s["lag"] > 0:
-            return
-        s["seen"].append(key)
-        if row["count"] >= s["n"]:
-            self.release(row["count"], self.endpoint_s is not None and (row.get("duration_s") or 0) >= self.endpoint_s)
-
-    def clock(self, kind: str, t: float) -> None:
-        s = self.s
-        s["audio"] = max(s["audio"], t)
-        key = str(round(t, 6))
-        if kind == "silence_started":
-            s["pauses"][key] = {"start": t, "ready": False, "end": None, "done": False}
-            s.update(active=key, speech=False)
-        elif kind == "silence_transcription_ready" and key in s["pauses"]:
-            s["pauses"][key]["ready"] = True
-            self.finish_pause(key)
-        elif kind == "speech_started":
-            active = s.pop("active", None)
-            if active in s["pauses"]:
-                s["pauses"][active]["end"] = t
-                self.finish_pause(active)
-            elif not s["speech"]:
-                self.speech_started(t)
-            s["speech"] = True
-
-    def speech_started(self, t: float) -> None:
-        if round(t, 6) not in self.s["started"]:
-            self.s["started"].append(round(t, 6))
-            self.emit("speech_started", "", t)
-
-    def finish_pause(self, key: str) -> None:
-        s = self.s
-        p = s["pauses"][key]
-        if not p["done"] and p["ready"] and self.due(p) and self.oldest() is p and not s["buffer"].strip() and s["lag"] <= 0:
-            count = self.words_before(p["start"])
-            if count > s["cut"]:
-                self.release(count, True)
-            p["done"] = True
-        waits = self.due(p) and not (p["ready"] and p["done"])
-        if p["end"] is None or waits or any(q is not p and q["start"] < p["start"] for q in s["pauses"].values()):
-            return
-        self.speech_started(p["end"])
-        del s["pauses"][key]
-
-    def timers(self) -> None:
-        for key in list(self.s["pauses"]):
-            self.finish_pause(key)
-        self.utterance_end()
-
-    def interim(self) -> None:
-        s = self.s
-        text = " ".join([w[0] for w in s["words"][s["n"] :]] + ([s["buffer"].strip()] if s["buffer"].strip() else []))
-        if self.interims and text != (s.get("shown") or ""):
-            self.emit("interim", text, None)
-            s["shown"] = text
-
-
 def pack_subtitles(words: list[Row], width: int = 42, lines: int = 2, most_words: int | None = None, pause_s: float = 3.0) -> list[Row]:
     """Words ({text, start_s, end_s}) packed into cues of at most `lines` lines of `width` characters; a gap of over `pause_s` since the last
     word's start begins a new cue. Emits start_s, end_s, text."""

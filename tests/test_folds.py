@@ -6,6 +6,7 @@ import random
 import pytest
 
 from talkframe.streaming import folds
+from talkframe.streaming.events import EventStream
 
 
 def test_stable_words():
@@ -24,7 +25,7 @@ def test_local_agreement():
 
 
 def test_endpoint_and_finals():
-    run = folds.Events(0.3, None, interims=False)
+    run = EventStream(0.3, None, interims=False)
     state, out = {}, []
     snap = lambda *ws: {"kind": "snapshot", "words": [list(w) for w in ws]}
     clock = lambda kind, t: {"kind": kind, "ts_s": t}
@@ -36,7 +37,7 @@ def test_endpoint_and_finals():
 
 
 def test_finals_are_never_taken_back():
-    run, state, out = folds.Events(None, None, interims=False), {}, []
+    run, state, out = EventStream(None, None, interims=False), {}, []
     for ws in ([("hello", 0, 1), ("world", 1, 2)], [("hello", 0, 1), ("there", 1, 2)]):
         out += run(state, {"kind": "snapshot", "words": [list(w) for w in ws]})
     out += run(state, {"kind": "finish", "ts_s": 3.0})
@@ -44,7 +45,7 @@ def test_finals_are_never_taken_back():
 
 
 def test_utterance_end_once():
-    run, state, out = folds.Events(None, 1.0, interims=False), {}, []
+    run, state, out = EventStream(None, 1.0, interims=False), {}, []
     out += run(state, {"kind": "snapshot", "words": [["hello", 0.1, 0.5]]})
     out += run(state, {"kind": "snapshot", "words": [["hello", 0.1, 0.5], ["later", 2.0, 2.5]]})
     for t in (1.499, 1.5, 2.5):
@@ -137,7 +138,7 @@ def test_streams_equal_batches(spark, tmp_path, case):
         args = (spark.createDataFrame(rows, "session_id string, rev int, lines array<string>"), folds.to_delta, "rev int, seq int, type string, lines_pruned int, n_lines int, new_lines array<string>", ["rev"])
     else:
         rows = [(r.session_id, r.rev * 3 + k, kind, r.rev * 2.0 + t, [w.asDict() for w in r.words] if kind == "snapshot" else []) for r in hyps.collect() for k, (kind, t) in enumerate((("snapshot", 0), ("audio_advanced", 0.1), ("finish" if r.rev == 7 else "audio_advanced", 0.2)))]
-        args = (spark.createDataFrame(rows, f"session_id string, seq int, kind string, ts_s double, words {WORDS}"), lists(folds.Events(), 3), "kind string, text string, at_s double, speech_final boolean", ["seq"])
+        args = (spark.createDataFrame(rows, f"session_id string, seq int, kind string, ts_s double, words {WORDS}"), lists(EventStream(), 3), "kind string, text string, at_s double, speech_final boolean", ["seq"])
     want = sorted(map(str, folds.run_batch(*args).collect()))
     assert len(want) > 8 and sorted(map(str, streamed(spark, str(tmp_path), *args).collect())) == want
 
