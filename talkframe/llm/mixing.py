@@ -45,13 +45,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
+def hashed(key: Column) -> Column:
+    """32 bits of the MD5 of a string."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+
+
 def offset(seed: str) -> Column:
     """The random offset of a source, in [0, 1): the same at every run."""
-    key = F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
+    return hashed(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))) / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", salts: int = 16, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", salts: int = 64, carry: bool = False) -> DataFrame:
     """How often the mix takes every row: id, size (words), source_size, target, copies, taken, and, with
     `carry`, row (all columns of `docs`).
 
@@ -60,8 +64,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     expectation by less than one, and words of a source miss its target by little more than one document. The
     order within a source is by size, largest first, in blocks of nearly equal size; this keeps the miss small.
 
-    Blocks are cut by source, size and id modulo `salts`, so a source that holds a third of the rows spreads over many tasks.
-    Null text has size 0, null source is a source of its own, after all others; sources without words get
+    Blocks are cut by source, size and a hash of the id modulo `salts`, so a source that holds a third of the rows spreads over many tasks, whatever
+    its ids are like. Ids may be of any type that a string shows; null ids are alike. Null text has size 0, null source is a source of its own, after all others; sources without words get
     target 0; repeated rows count each; an empty table gives an empty result.
     """
     size = F.col("size")
@@ -74,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if not carry:
         rows = written(rows, "mix-sizes")
     plan = sized(written(targets(rows.select("source", "size"), weights, share, most), "mix-targets"))
-    rows = rows.withColumns({"_band": (-(bits * 8 + top)).cast("int"), "_salt": F.coalesce(F.pmod(F.col("_id"), F.lit(salts)), F.lit(0)).cast("int")})
+    rows = rows.withColumns({"_band": (-(bits * 8 + top)).cast("int"), "_salt": (hashed(F.coalesce(F.concat(F.lit("="), F.col("_id").cast("string")), F.lit(""))) % salts).cast("int")})
     order = [F.col("size").desc(), F.col("_id").asc_nulls_first()]
     placed = ranked(rows, ["source"], ["_band", "_salt"], order, counted=rows.select("source", "_band", "_salt")).alias("d")
     joined = placed.join(plan.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))

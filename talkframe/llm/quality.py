@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from talkframe.llm.tables import written
+
 #: Bytes of a passage, the instance of the bag that a document is.
 PASSAGE = 512
 #: Bytes whose features are counted at a time, whatever the length of a text.
@@ -134,12 +136,13 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gates: i
     return Model(mean, scale, {k: x.astype(np.float32) for k, x in p.items()})
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, most_docs: int = 6000, most_passages: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
-    """Learns from at most `most_docs` labelled rows, those with the lowest hash of their id among the `usable` ones of `labels`; none gives null.
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, most_docs: int = 6000, most_passages: int = 200_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
+    """Learns from a bounded sample of labelled rows, those with the lowest hash of their id among the `usable` ones of `labels`; none gives null.
 
-    Of a document of more than `most_passages` passages the fit takes that many, evenly spaced over its whole length; scoring reads all. So at most
-    most_docs * most_passages encodings (90 MB) reach the driver, whatever the texts. Labels other than 0 and 1 are ignored; of
-    conflicting labels of an id the smaller counts, of several texts the first in order.
+    The sample is bounded by rows and by passages: at most `most_docs` rows, in the order of the hash, as long as the passages of all their texts stay within
+    `most_passages` (a row that would pass the bound is left out, the next may fit). Of a row that is taken every passage takes part. So at most most_passages
+    encodings (45 MB) reach the driver, whatever the texts. Labels other than 0 and 1 are ignored; of conflicting labels of an id the
+    smaller counts, of several texts the first in order.
     """
     chosen = (
         labels.where(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -147,13 +150,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most_docs: int = 600
         .withColumn("_hash", F.xxhash64(id_col)).orderBy("_hash", id_col).limit(most_docs)
     )
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
-    texts = texts.groupBy("_hash", id_col, "y").agg(F.min("text").alias("text"))
+    texts = written(texts.groupBy("_hash", id_col, "y").agg(F.min("text").alias("text")), "quality-sample")
+    sizes = texts.select(id_col, F.greatest(F.ceil(F.octet_length("text") / PASSAGE), F.lit(1)).alias("n")).orderBy("_hash", id_col).collect()  # at most most_docs rows
+    taken, left = [], most_passages
+    for key, n in sizes:
+        if n <= left:
+            taken, left = [*taken, key], left - n
+    if len(taken) < len(sizes):
+        texts = texts.where(F.col(id_col).isin(taken))
 
     def bag(text: str) -> bytes:
-        data = text.encode("utf-8", "surrogatepass")
-        n = -(-len(data) // PASSAGE)
-        some = [i * n // most_passages for i in range(most_passages)] if n > most_passages else range(n)
-        return np.concatenate([*encoded(b"".join(data[i * PASSAGE : (i + 1) * PASSAGE] for i in some))]).astype(np.float16).tobytes()
+        return np.concatenate([*passages(text)]).astype(np.float16).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -106,7 +106,7 @@ ORACLES = {
         r AS (
             SELECT d.*, row_number() OVER (
                 PARTITION BY source ORDER BY length(bin(size)) * 8 + CASE WHEN length(bin(size)) > 3 THEN size >> (length(bin(size)) - 3) ELSE size END DESC,
-                coalesce(((doc_id % 16) + 16) % 16, 0), size DESC, doc_id NULLS FIRST) AS k
+                ('0x' || substr(md5(coalesce('=' || doc_id, '')), 1, 8))::BIGINT % 64, size DESC, doc_id NULLS FIRST) AS k
             FROM d),
         u AS (
             SELECT r.doc_id, r.size, t.source_size, t.target, r.k, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,

@@ -354,10 +354,30 @@ def test_quality(spark, empty):
     assert quality.fit(df, labels.where("false"), F.lit(True)) is None and quality.score(empty, None).count() == 0
 
 
+def test_quality_fits_whole_documents_within_its_bound(spark, monkeypatch):
+    rows = [(0, "abcdefg " * 64_000), (1, "one"), (2, None), (3, "x" * 2000)]  # 1,000 passages, and a few
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda bags, y: seen.append((sorted(map(len, bags)), sorted(y))))
+    quality.fit(df, labels, F.lit(True))
+    quality.fit(df, labels, F.lit(True), most_passages=999)
+    quality.fit(df, labels, F.lit(True), most_docs=2)
+    assert seen[0] == ([1, 1, 4, 1000], [0, 0, 1, 1]) and seen[1] == ([1, 1, 4], [0, 1, 1]) and len(seen[2][0]) == 2
+
+
+def test_mixing_of_ids_of_any_type(spark, docs):
+    plain = mixing.mix(docs).collect()
+    named = mixing.mix(docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))).collect()
+    total = lambda rows: collections.Counter((r["size"], r.source_size, r.target) for r in rows)
+    assert total(plain) == total(named) and any(r.doc_id == "d7" for r in named)
+
+
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("op")))
 def test_query_runs(spark, sf, name):
-    table = "pages" if name.startswith("op9_") else "documents"
-    assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
+    table = {"op9": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
+    rows = spark.read.parquet(f"{sf}/{table}.parquet").count()
+    assert QUERIES[name](spark, sf).count() == (rows if name != "op12_divergence" else 1360)
 
 
 def test_held_out_accuracy(spark, sf):

@@ -8,6 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from talkframe.llm import language_id, near_dedup, quality, sharding
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard string, slot int"
@@ -149,7 +151,7 @@ def test_stages_on_awkward_rows(spark, sf):
         (None, item, "en", "s", 1, "x", 7), (None, clean, "en", None, 1, "x", 7), (1, clean, "en", "s", 1, "x", 7), (1, clean, "en", "s", 1, "y", 8), (1, "another text " + item, "en", "s", 1, "x", 7),
         (2, clean + " today", "fr", "s", 1, "x", 7), (3, None, None, None, None, None, None), (4, "", "en", "s", 0, "x", 7), (4, "", "en", "s", 0, "x", 7), (5, "word " * 30_000, "en", "s2", 1, "x", 7),
     ]
-    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({c: F.lit("clash") for c in ("_id", "_h", "h", "key", "row", "n", "kept", "_salt", "_band", "rank", "a.b")})
     good = pipeline.good_quality(spark, docs, sf)
     model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), language_id.fold(5) != 0)
     score = (lambda t: model.score(t or "")) if model else (lambda t: 1.0)
