@@ -13,10 +13,17 @@ SHARDS = 40
 ORACLE_SQL = None
 
 
+def matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of `docs` with (left_semi) or without (left_anti) an id and a text hash (doc_id, h) in `rows`; null ids are equal to each other. Rows travel as
+    one struct, so no column of theirs can clash with a key, whatever its name. The join follows the counted size."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    keys = sized(rows.select(F.struct("doc_id", "h").alias("key")))
+    same = F.col("row.doc_id").eqNullSafe(F.col("key.doc_id")) & (F.xxhash64(F.col("row.text")) == F.col("key.h"))
+    return packed.join(keys, same, how).select("row.*")
+
+
 def without(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """`docs` but for the rows with an id and a text hash (doc_id, h) of `rows`; null ids are equal to each other. The join follows the counted size."""
-    gone = sized(written(rows.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), name))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
+    return matched(docs, written(rows.select("doc_id", "h").distinct(), name), "left_anti")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +41,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more; the smallest doc_id stays.
 
     Documents without words (null, empty) or with a null id are in no group and stay; of rows alike in id and text one stays, whose other columns are
-    any of theirs; rows that share an id but not a text are judged each; an empty table stays empty; other columns are carried along.
+    any of theirs; rows that share an id but not a text are judged each; an empty table stays empty; other columns are carried along, whatever their names.
     """
     found = near_dedup.near_groups(docs, width=5, percent=80, keyed=True)
     found = written(found.select("doc_id", "h", "kept", (F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).alias("grouped")), "pipeline-near")
@@ -43,7 +50,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     twins = written(twins.select("doc_id", "h"), "pipeline-near-twins")
     if twins.isEmpty():
         return left
-    again = left.join(sized(twins.withColumnsRenamed({"doc_id": "_id", "h": "_h"})), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
+    again = matched(left, twins, "left_semi")
     return without(left, twins, "pipeline-near-twins-gone").unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
@@ -51,7 +58,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that hold no window of the benchmark.
 
     Null and empty texts stay; a null id is an id like others; rows that repeat an id are judged by their own text; an empty table stays empty;
-    other columns are carried along.
+    other columns are carried along, whatever their names.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, decontamination.contamination(docs, items, keyed=True).where("contaminated"), "pipeline-leaks")
@@ -63,7 +70,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words (null, empty) have size 0 and take part like others; a null source is a source of its own; repeated rows are sampled each;
     an empty table stays empty; other columns are carried along, whatever their names.
     """
-    return mixing.emitted(mixing.mix(docs, carry=True)).select(*docs.columns)
+    return mixing.emitted(mixing.mix(docs, carry=True))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
