@@ -19,20 +19,40 @@ def distance(a_start: str, a_end: str, b_start: str, b_end: str) -> Column:
     return F.greatest(F.col(b_start) - F.col(a_end), F.col(a_start) - F.col(b_end), F.lit(0))
 
 
+#: Levels of the hierarchy of buckets above the lowest.
+LEVELS = 60
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: str, start: str, end: str, width: float, touching: bool = False) -> DataFrame:
     """Pairs of rows of a key whose spans overlap (or, with `touching`, meet): columns of `left`, and of `right` with the prefix r_.
 
-    Each row goes to the buckets of `width` that it touches; a pair is kept in the first bucket that both have, so no pair
-    comes twice. A very long span costs its length over the width in rows, not a comparison with every other row.
+    Time is a hierarchy of buckets, each twice as long as those of the level below, the lowest `width` long. A span belongs to the lowest level on which it lies
+    in at most two buckets. Spans that meet share a bucket on the higher of their levels, so a row goes to its buckets on its own level and on the higher levels
+    on which the other table has spans: at most two a level, whatever its length. A pair is kept in the first bucket that both have there, so none comes twice.
     """
-    def cut(df: DataFrame, a: str, b: str) -> DataFrame:
-        first = lambda c: F.floor(F.col(c) / width).cast("bigint")
-        return df.withColumn("_b", F.explode(F.sequence(first(a), F.greatest(first(a), first(b)))))
-
     r = right.select(*(F.col(c).alias(c if c == key else f"r_{c}") for c in right.columns))
-    low = F.floor(F.greatest(F.col(start), F.col(f"r_{start}")) / width).cast("bigint")
+    unit = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    at = lambda c, k: F.call_function("shiftright", F.col(c), k)
+
+    def levelled(df: DataFrame, side: str, a: str, b: str) -> DataFrame:
+        far = F.col(f"_{side}2") - F.col(f"_{side}1")  # on level k a bucket has 2 ** k units
+        level = F.when(far <= 1, 0).otherwise(F.least(F.length(F.bin(far - 1)), F.lit(LEVELS)))
+        df = df.withColumns({f"_{side}1": unit(a), f"_{side}2": F.greatest(unit(a), unit(b))})
+        return df.withColumn(f"_{side}k", level.cast("int"))
+
+    def placed(df: DataFrame, side: str, others: DataFrame, other: str) -> DataFrame:
+        there = others.agg(F.coalesce(F.bit_or(F.expr(f"shiftleft(1L, _{other}k)")), F.lit(0).cast("bigint"))).scalar()
+        own = F.col(f"_{side}k")
+        df = df.withColumn("_m", F.expr(f"shiftleft(1L, _{side}k)").bitwiseOR(there.bitwiseAND(F.expr(f"shiftleft(-1L, _{side}k)"))))
+        several = F.filter(F.sequence(own, F.lit(LEVELS)), lambda k: F.call_function("getbit", F.col("_m"), k) == 1)
+        df = df.withColumn("_k", F.explode(F.when(F.col("_m") == F.expr(f"shiftleft(1L, _{side}k)"), F.array(own)).otherwise(several))).drop("_m")
+        return df.withColumn("_b", F.explode(F.sequence(at(f"_{side}1", F.col("_k")), at(f"_{side}2", F.col("_k")))))
+
+    x, y = levelled(left, "x", start, end), levelled(r, "y", f"r_{start}", f"r_{end}")
     meets = (F.col(f"r_{end}") >= F.col(start)) & (F.col(f"r_{start}") <= F.col(end)) if touching else (F.col(f"r_{end}") > F.col(start)) & (F.col(f"r_{start}") < F.col(end))
-    return cut(left, start, end).join(cut(r, f"r_{start}", f"r_{end}").hint("merge"), [key, "_b"]).where(meets & (F.col("_b") == low)).drop("_b")
+    once = (F.col("_k") == F.greatest("_xk", "_yk")) & (F.col("_b") == F.greatest(at("_x1", F.col("_k")), at("_y1", F.col("_k"))))
+    both = placed(x, "x", y, "y").join(placed(y, "y", x, "x").hint("merge"), [key, "_k", "_b"])
+    return both.where(meets & once).drop("_k", "_b", "_x1", "_x2", "_xk", "_y1", "_y2", "_yk")
 
 
 def contains(outer_start: str, outer_end: str, start: str, end: str) -> Column:
@@ -69,19 +89,19 @@ def owner_or_nearest(items: DataFrame, owners: DataFrame, key: str, item_no: str
     return best.unionByName(near)
 
 
-def token_speakers(tokens: DataFrame, spans: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 1000) -> DataFrame:
+def token_speakers(tokens: DataFrame, spans: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 6000) -> DataFrame:
     """`tokens` with speaker: 1 plus that of the span with the largest overlap; 1 where none covers the token."""
     best = best_owner(tokens, spans, "session_id", "seq", "span_no", start, end, width, "speaker")
     found = tokens.join(best.hint("merge"), ["session_id", "seq"], "left")
     return found.withColumn("speaker", F.coalesce(F.col("owner") + 1, F.lit(1)).cast("int")).drop("owner")
 
 
-def in_ranges(lines: DataFrame, ranges: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 1000) -> DataFrame:
+def in_ranges(lines: DataFrame, ranges: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 6000) -> DataFrame:
     """Lines that overlap a range, closed on both sides: the lines' columns and r_ columns of the range."""
     return overlapping(lines, ranges, "session_id", start, end, width, touching=True)
 
 
-def at_points(points: DataFrame, lines: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 1000) -> DataFrame:
+def at_points(points: DataFrame, lines: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 6000) -> DataFrame:
     """For each point (session_id, t) the first line that contains it, closed on both sides: point columns and line_no (null where none)."""
     spans = points.select("session_id", "t", F.col("t").alias(start), F.col("t").alias(end)).distinct()
     met = overlapping(spans, lines.select("session_id", "line_no", start, end), "session_id", start, end, width, touching=True)
@@ -89,7 +109,7 @@ def at_points(points: DataFrame, lines: DataFrame, start: str = "start_cs", end:
     return points.join(first.hint("merge"), ["session_id", "t"], "left")
 
 
-def contained(items: DataFrame, owners: DataFrame, item_no: str, owner_no: str, start: str = "start_cs", end: str = "end_cs", width: float = 1000) -> DataFrame:
+def contained(items: DataFrame, owners: DataFrame, item_no: str, owner_no: str, start: str = "start_cs", end: str = "end_cs", width: float = 6000) -> DataFrame:
     """Pairs (session_id, item_no, owner_no) where the item lies wholly inside the owner."""
     met = overlapping(items.select("session_id", item_no, start, end), owners.select("session_id", owner_no, start, end), "session_id", start, end, width, touching=True)
     return met.where(contains(f"r_{start}", f"r_{end}", start, end)).select("session_id", item_no, F.col(f"r_{owner_no}").alias(owner_no))
@@ -112,7 +132,7 @@ def nearest(points: DataFrame, rows: DataFrame, key: str, t: str, at: str, no: s
     return points.join(found.hint("merge"), [key, t], "left")
 
 
-def outside(words: DataFrame, spans: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 1000) -> DataFrame:
+def outside(words: DataFrame, spans: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 6000) -> DataFrame:
     """Words whose start lies in no span, closed on both sides."""
     starts = words.select("session_id", "seq", F.col(start), F.col(start).alias(end))
     hit = overlapping(starts, spans.select("session_id", start, end), "session_id", start, end, width, touching=True).select("session_id", "seq").distinct()

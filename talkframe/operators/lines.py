@@ -30,7 +30,7 @@ def speaker_lines(timeline: DataFrame, spans: DataFrame) -> DataFrame:
     """
     cover = spans.groupBy("session_id").agg(F.max("end_cs").alias("cover"))
     speech = timeline.where("kind = 'token'").select("session_id", F.col("seq2").alias("seq"), "start_cs", "end_cs")
-    owners = best_owner(speech, spans, "session_id", "seq", "span_no", "start_cs", "end_cs", 1000, "speaker").withColumnRenamed("seq", "seq2")
+    owners = best_owner(speech, spans, "session_id", "seq", "span_no", "start_cs", "end_cs", 6000, "speaker").withColumnRenamed("seq", "seq2")
     rows = timeline.join(owners.hint("merge"), ["session_id", "seq2"], "left").join(cover.hint("merge"), "session_id", "left")
     # one pass from here on: every window goes over the session
     by = Window.partitionBy("session_id").orderBy("seq2")

@@ -15,7 +15,7 @@ from talkframe.streaming import sinks, windows
 def majority_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per translated span the speaker with the most overlap in sum, the lower number on ties."""
     toks = adapters.tokens(spark, sf_dir)
-    met = joins.overlapping(adapters.translations(toks), adapters.speaker_spans(toks), "session_id", "start_cs", "end_cs", 1000)
+    met = joins.overlapping(adapters.translations(toks), adapters.speaker_spans(toks), "session_id", "start_cs", "end_cs", 6000)
     shared = met.groupBy("session_id", "tr_no", F.col("r_speaker").alias("speaker")).agg(F.sum(joins.overlap("start_cs", "end_cs", "r_start_cs", "r_end_cs")).alias("cs"))
     return shared.groupBy("session_id", "tr_no").agg(F.max(F.struct("cs", (-F.col("speaker")).alias("n"))).alias("m")).select("session_id", "tr_no", (-F.col("m.n")).alias("speaker"), F.col("m.cs").alias("cs"))
 
@@ -49,8 +49,8 @@ def spelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.lookup(toks, items.withColumn("as", F.upper("word")), "word", "as")
 
 
-def checked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events of a day as words with spans in milliseconds, some of them malformed, and the error of each."""
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events of a day as words with spans in milliseconds, some of them malformed, checked."""
     events = adapters.read(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", "event_type", "value")
     span = F.when(F.col("event_id") % 97 == 0, F.array(F.col("value"))).when(F.col("event_id") % 89 == 0, F.array(F.col("value"), F.col("value") - 1)).otherwise(F.array(F.col("event_id").cast("double"), F.col("event_id") + F.col("value")))
     rows = events.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", span.alias("span")))).alias("e"))
@@ -58,6 +58,11 @@ def checked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("user_id", "day", F.size("words").alias("n"), "error_code")
 
 
+def checked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results and the error of each."""
+    return _results(spark, sf_dir)
+
+
 def plausible_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as segments with words whose probability follows from their length; those that look invented go."""
     toks = adapters.tokens(spark, sf_dir)

@@ -22,6 +22,20 @@ hyps AS MATERIALIZED (
 SRT = "lpad((t // 360000)::VARCHAR, 2, '0') || ':' || lpad(((t // 6000) % 60)::VARCHAR, 2, '0') || ':' || lpad(((t // 100) % 60)::VARCHAR, 2, '0') || ',' || lpad((t % 100 * 10)::VARCHAR, 3, '0')"
 _cue = lambda c, mark: SRT.replace("(t ", f"({c} ").replace("','", f"'{mark}'")
 
+#: The checked results, and the words that hypotheses agree on, revision by revision.
+CHECKED = """WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, CASE WHEN event_id % 97 = 0 THEN [value] WHEN event_id % 89 = 0 THEN [value, value - 1] ELSE [event_id, event_id + value] END AS s FROM events),
+        b AS (SELECT *, lag(s) OVER (PARTITION BY user_id, day ORDER BY event_id) AS p FROM e)
+        SELECT user_id, day, count(*)::INT AS n, CASE WHEN bool_or(len(s) <> 2) THEN 'shape' WHEN bool_or(s[1] < 0) THEN 'negative' WHEN bool_or(s[2] < s[1]) THEN 'inverted'
+            WHEN bool_or(s[1] < p[1] OR s[2] < p[2]) THEN 'order' END AS error_code FROM b GROUP BY user_id, day"""
+AGREED = f"""WITH RECURSIVE {HYPOTHESES},
+        g AS (
+            SELECT session_id, 0::BIGINT AS rev, 0.0::DOUBLE AS last, []::VARCHAR[] AS tail, ws[1:0] AS opened, ws[1:0] AS said FROM hyps WHERE rev = 1
+            UNION ALL SELECT session_id, rev, CASE WHEN n > 0 THEN fresh[n].e ELSE last END, CASE WHEN n > 0 THEN (tail || [x.t FOR x IN fresh[1:n]])[-5:] ELSE tail END, fresh[n + 1 :], fresh[1:n] FROM (
+                SELECT *, coalesce(list_position([i <= len(opened) AND opened[i].t = fresh[i].t FOR i IN range(1, len(fresh) + 1)], FALSE) - 1, len(fresh)) AS n FROM (
+                    SELECT session_id, rev, last, tail, opened, fresh[1 + coalesce([k FOR k IN range(1, 6) IF k <= len(tail) AND k <= len(fresh) AND abs(fresh[1].s - last) < 1
+                        AND tail[-k:] = [x.t FOR x IN fresh[1:k]]][1], 0) :] AS fresh FROM (
+                        SELECT h.session_id, h.rev, g.last, g.tail, g.opened, [x FOR x IN h.ws IF x.s > g.last - 0.1] AS fresh FROM g JOIN hyps h ON h.session_id = g.session_id AND h.rev = g.rev + 1))))"""
+
 ORACLES = {
     "timestamp_accuracy": f"""WITH RECURSIVE {PAIRS},
         m AS (SELECT id, 0 AS k, 0::BIGINT AS seen, NULL::BIGINT AS delta, ref, hyp FROM pairs
@@ -49,10 +63,7 @@ ORACLES = {
                 SELECT *, m > 0 AND (drains OR h >= 2) AS emits FROM (
                     SELECT o.session_id, o.k, o.drains, CASE WHEN o.drains THEN f.held ELSE f.held + o.seconds END AS h, CASE WHEN o.drains THEN f.n ELSE f.n + 1 END AS m FROM f JOIN o ON o.session_id = f.session_id AND o.k = f.k + 1)))
         SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY k)::INT AS out_no, seconds, out_n AS n FROM f WHERE out_n > 0""",
-    "checked_results": """WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, CASE WHEN event_id % 97 = 0 THEN [value] WHEN event_id % 89 = 0 THEN [value, value - 1] ELSE [event_id, event_id + value] END AS s FROM events),
-        b AS (SELECT *, lag(s) OVER (PARTITION BY user_id, day ORDER BY event_id) AS p FROM e)
-        SELECT user_id, day, count(*)::INT AS n, CASE WHEN bool_or(len(s) <> 2) THEN 'shape' WHEN bool_or(s[1] < 0) THEN 'negative' WHEN bool_or(s[2] < s[1]) THEN 'inverted'
-            WHEN bool_or(s[1] < p[1] OR s[2] < p[2]) THEN 'order' END AS error_code FROM b GROUP BY user_id, day""",
+    "checked_results": CHECKED,
     "plausible_segments": rf"""WITH {TOKENS},
         k AS (SELECT *, NOT regexp_matches(trim(text), '^\pP+$') AS said FROM tokens),
         a AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn, said ORDER BY seq) AS nth, end_cs / 100 - start_cs / 100 AS d FROM k),
@@ -73,14 +84,7 @@ ORACLES = {
         SELECT session_id, 'srt' AS form, srt AS content FROM j UNION ALL SELECT session_id, 'vtt', 'WEBVTT' || chr(10) || chr(10) || vtt FROM j UNION ALL SELECT session_id, 'txt', txt FROM j
         UNION ALL SELECT session_id, 'json', format('{{{{"task":"transcribe","language":"unknown","duration":{{}},"text":{{}},"segments":[{{}}],"usage":{{{{"type":"duration","seconds":{{}}}}}}}}}}', to_json(d), to_json(trim(said)), segs, round_even(d, 0)::BIGINT) FROM j
         UNION ALL SELECT session_id, 'diarized_json', format('{{{{"task":"transcribe","duration":{{}},"text":{{}},"segments":[{{}}],"usage":{{{{"type":"duration","seconds":{{}}}}}}}}}}', to_json(d), to_json(trim(names)), spoken, round_even(d, 0)::BIGINT) FROM j""",
-    "agreed_words": f"""WITH RECURSIVE {HYPOTHESES},
-        g AS (
-            SELECT session_id, 0::BIGINT AS rev, 0.0::DOUBLE AS last, []::VARCHAR[] AS tail, ws[1:0] AS opened, ws[1:0] AS said FROM hyps WHERE rev = 1
-            UNION ALL SELECT session_id, rev, CASE WHEN n > 0 THEN fresh[n].e ELSE last END, CASE WHEN n > 0 THEN (tail || [x.t FOR x IN fresh[1:n]])[-5:] ELSE tail END, fresh[n + 1 :], fresh[1:n] FROM (
-                SELECT *, coalesce(list_position([i <= len(opened) AND opened[i].t = fresh[i].t FOR i IN range(1, len(fresh) + 1)], FALSE) - 1, len(fresh)) AS n FROM (
-                    SELECT session_id, rev, last, tail, opened, fresh[1 + coalesce([k FOR k IN range(1, 6) IF k <= len(tail) AND k <= len(fresh) AND abs(fresh[1].s - last) < 1
-                        AND tail[-k:] = [x.t FOR x IN fresh[1:k]]][1], 0) :] AS fresh FROM (
-                        SELECT h.session_id, h.rev, g.last, g.tail, g.opened, [x FOR x IN h.ws IF x.s > g.last - 0.1] AS fresh FROM g JOIN hyps h ON h.session_id = g.session_id AND h.rev = g.rev + 1)))),
+    "agreed_words": AGREED + """,
         u AS (SELECT session_id, rev, unnest(said) AS x, generate_subscripts(said, 1) AS i FROM g)
         SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY rev, i)::INT AS out_no, x.t AS text, x.s AS start_s, x.e AS end_s FROM u""",
     "steady_words": f"""WITH RECURSIVE {HYPOTHESES},

@@ -48,7 +48,7 @@ def translation_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line that owns each translated span."""
     toks = _tokens(spark, sf_dir)
     spoken = kept(_lines_of(toks).where("kind = 'line'").select("session_id", "line_no", "start_cs", "end_cs"))
-    return joins.owner_or_nearest(adapters.translations(toks), spoken, "session_id", "tr_no", "line_no", "start_cs", "end_cs", 1000)
+    return joins.owner_or_nearest(adapters.translations(toks), spoken, "session_id", "tr_no", "line_no", "start_cs", "end_cs", 6000)
 
 
 def translation_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
