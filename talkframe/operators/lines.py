@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions.text import has_mark, only_marks
 from talkframe.operators.joins import best_owner
+from talkframe.operators.scans import Along
 
 SILENCE = -2
 
@@ -21,33 +22,43 @@ def islands(change: Column, order: Window) -> Column:
     return F.sum(F.coalesce(change.cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def speaker_lines(timeline: DataFrame, spans: DataFrame) -> DataFrame:
+def _with_cover(rows: DataFrame, cover: DataFrame, along: Along) -> DataFrame:
+    """Rows with their session's `cover`; in two levels a row for each block meets it first, so no session's rows go to one task."""
+    if not along.block:
+        return rows.join(cover.hint("merge"), "session_id", "left")
+    blocks = rows.groupBy("session_id", "_blk").agg(F.count(F.lit(1)).alias("_n")).join(cover.hint("merge"), "session_id", "left").drop("_n")
+    return rows.join(blocks.hint("merge"), ["session_id", "_blk"])
+
+
+def speaker_lines(timeline: DataFrame, spans: DataFrame, block: int | None = None) -> DataFrame:
     """session_id, line_no, kind (line, silence, buffer), speaker, start_cs, end_cs, text, n_tokens.
 
     From the first token on that starts at or after the end of all spans, text waits in the buffer and silences are withheld. A token of
     marks only, unless it is the first since a silence, joins the line before it. A line ends where the speaker changes or a silence stands.
-    Sessions without spans have speaker -1 throughout.
+    Sessions without spans have speaker -1 throughout. With `block`, sessions are taken in blocks of so many values of seq2.
     """
+    along = Along("seq2", block)
     cover = spans.groupBy("session_id").agg(F.max("end_cs").alias("cover"))
     speech = timeline.where("kind = 'token'").select("session_id", F.col("seq2").alias("seq"), "start_cs", "end_cs")
     owners = best_owner(speech, spans, "session_id", "seq", "span_no", "start_cs", "end_cs", 6000, "speaker").withColumnRenamed("seq", "seq2")
-    rows = timeline.join(owners.hint("merge"), ["session_id", "seq2"], "left").join(cover.hint("merge"), "session_id", "left")
-    # one pass from here on: every window goes over the session
-    by = Window.partitionBy("session_id").orderBy("seq2")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = along.start(timeline.join(owners.hint("merge"), ["session_id", "seq2"], "left"))
+    rows = _with_cover(rows, cover, along)
     silent = F.col("kind") == "silence"
-    rows = rows.withColumn("epoch", F.sum(silent.cast("int")).over(upto))
-    epoch = Window.partitionBy("session_id", "epoch").orderBy("seq2").rowsBetween(Window.unboundedPreceding, 0)
-    nth = F.sum((~silent).cast("int")).over(epoch)
-    rows = rows.withColumn("attached", ~silent & only_marks("text") & (nth > 1))
+    rows = along.lags(rows, kind_before=F.col("kind"))
+    rows = rows.withColumn("attached", ~silent & only_marks("text") & (F.col("kind_before") == "token"))
+    rows = rows.withColumn("attached", F.coalesce("attached", F.lit(False)))
     late = ~silent & (F.col("start_cs") >= F.col("cover")) & ~F.col("attached")
-    rows = rows.withColumn("waits", F.coalesce(F.max(late).over(upto), F.lit(False)))
-    heard = ~silent & ~F.col("waits") & ~F.col("attached")
-    own = F.when(heard, F.coalesce(F.col("owner") + 1, F.lit(1)).cast("int"))
-    rows = rows.withColumn("speaker", F.when(silent, SILENCE).when(F.col("cover").isNull(), -1).otherwise(F.last(own, True).over(epoch)))
-    change = silent | (F.lag("kind").over(by) == "silence") | (F.col("speaker") != F.lag("speaker").over(by))
+    rows = along.maxima(rows, waits=late)
+    rows = rows.withColumn("waits", F.coalesce("waits", F.lit(False)))
+    # a silence forgets who spoke; what waits stands behind all that is shown, so it need not be told apart here
+    own = F.when(silent, SILENCE).when(~F.col("attached"), F.coalesce(F.col("owner") + 1, F.lit(1))).cast("int")
+    rows = along.lasts(rows, heard=own)
+    rows = rows.withColumn("speaker", F.when(silent, SILENCE).when(F.col("cover").isNull(), -1).when(F.col("heard") != SILENCE, F.col("heard")))
+    rows = along.lags(rows, speaker_before=F.col("speaker"))
+    change = silent | (F.col("kind_before") == "silence") | (F.col("speaker") != F.col("speaker_before"))
+    rows = along.sums(rows, line_no=F.coalesce(change.cast("int"), F.lit(1)))
     # what waits comes behind all that is shown, so the numbers of lines do not depend on it
-    rows = rows.withColumn("line_no", F.when(F.col("waits"), 0).otherwise(islands(change, by))).where(~(F.col("waits") & silent))
+    rows = rows.withColumn("line_no", F.when(F.col("waits"), F.lit(0)).otherwise(F.col("line_no"))).where(~(F.col("waits") & silent))
     lines = rows.groupBy("session_id", "line_no").agg(
         F.when(F.max("waits"), "buffer").when(F.min("kind") == "token", "line").otherwise("silence").alias("kind"), F.when(~F.max("waits"), F.min("speaker")).alias("speaker"),
         F.min("start_cs").alias("start_cs"), F.max("end_cs").alias("end_cs"), F.when(F.min("kind") == "token", joined("seq2", "text")).alias("text"), F.count_if(F.col("kind") == "token").alias("n_tokens"),
@@ -55,23 +66,26 @@ def speaker_lines(timeline: DataFrame, spans: DataFrame) -> DataFrame:
     return lines
 
 
-def segments_at_marks(timeline: DataFrame) -> DataFrame:
+def segments_at_marks(timeline: DataFrame, block: int | None = None) -> DataFrame:
     """session_id, seg_no, kind, complete, start_cs, end_cs, text: a segment ends after a token with a mark, a silence stands alone;
     the last segment of a session is complete only if it ends with a mark or is a silence."""
-    by = Window.partitionBy("session_id").orderBy("seq2")
+    along = Along("seq2", block)
     silent = F.col("kind") == "silence"
-    ends = has_mark("text")
-    rows = timeline.withColumn("ends", F.coalesce(ends, F.lit(False)) | silent)
-    rows = rows.withColumn("seg_no", islands(silent | F.lag("ends").over(by), by))
-    segments = rows.groupBy("session_id", "seg_no").agg(F.min("kind").alias("kind"), F.max("ends").alias("complete"), F.min("start_cs").alias("start_cs"), F.max_by("end_cs", "seq2").alias("end_cs"), joined("seq2", "text").alias("text"))
-    following = F.lead("kind").over(Window.partitionBy("session_id").orderBy("seg_no"))
-    return segments.withColumn("complete", F.col("complete") | following.isNotNull())
+    rows = along.start(timeline.withColumn("ends", F.coalesce(has_mark("text"), F.lit(False)) | silent))
+    rows = along.lags(rows, ended=F.col("ends"))
+    rows = along.sums(rows, seg_no=F.coalesce((silent | F.col("ended")).cast("int"), F.lit(1)))
+    rows = along.greatest(rows, last_no=F.col("seg_no"))
+    return rows.groupBy("session_id", "seg_no").agg(
+        F.min("kind").alias("kind"), (F.max("ends") | (F.col("seg_no") < F.max("last_no"))).alias("complete"), F.min("start_cs").alias("start_cs"),
+        F.max_by("end_cs", "seq2").alias("end_cs"), joined("seq2", "text").alias("text"),
+    )
 
 
-def lines_at_pauses(timeline: DataFrame) -> DataFrame:
+def lines_at_pauses(timeline: DataFrame, block: int | None = None) -> DataFrame:
     """One line per run of tokens between silences; neighbouring silences are one."""
-    by = Window.partitionBy("session_id").orderBy("seq2")
-    rows = timeline.withColumn("line_no", islands(F.col("kind") != F.lag("kind").over(by), by))
+    along = Along("seq2", block)
+    rows = along.lags(along.start(timeline), kind_before=F.col("kind"))
+    rows = along.sums(rows, line_no=F.coalesce((F.col("kind") != F.col("kind_before")).cast("int"), F.lit(1)))
     return rows.groupBy("session_id", "line_no").agg(F.min("kind").alias("kind"), F.min("start_cs").alias("start_cs"), F.max_by("end_cs", "seq2").alias("end_cs"), F.when(F.min("kind") == "token", joined("seq2", "text")).alias("text"))
 
 
@@ -82,13 +96,22 @@ def pause_boundary(duration: Column, threshold: float) -> Column:
     return F.coalesce(duration > threshold, F.lit(False)) if threshold > 0 else F.lit(False)
 
 
-def merge_spans(spans: DataFrame, order: str = "span_no") -> DataFrame:
+def merge_spans(spans: DataFrame, order: str = "span_no", block: int | None = None) -> DataFrame:
     """Neighbouring spans of one speaker as one; it takes the first start and the last end."""
-    by = Window.partitionBy("session_id").orderBy(order)
-    runs = spans.withColumn("run_no", islands(F.col("speaker") != F.lag("speaker").over(by), by))
+    along = Along(order, block)
+    runs = along.lags(along.start(spans), speaker_before=F.col("speaker"))
+    runs = along.sums(runs, run_no=F.coalesce((F.col("speaker") != F.col("speaker_before")).cast("int"), F.lit(1)))
     return runs.groupBy("session_id", "run_no").agg(F.min("speaker").alias("speaker"), F.min_by("start_cs", order).alias("start_cs"), F.max_by("end_cs", order).alias("end_cs"), F.count(F.lit(1)).alias("n_spans"))
 
 
+def conversation(words: DataFrame) -> DataFrame:
+    """session_id, turn_no, speaker, text: the words (with speaker, in order of seq) as turns of one speaker each."""
+    along = Along("seq")
+    rows = along.lags(words, speaker_before=F.col("speaker"))
+    rows = along.sums(rows, turn_no=F.coalesce((F.col("speaker") != F.col("speaker_before")).cast("int"), F.lit(1)))
+    return rows.groupBy("session_id", "turn_no").agg(F.min("speaker").alias("speaker"), F.trim(joined("seq", "text")).alias("text"))
+
+
 def concatenate_speakers(spans: DataFrame, label: str = "label", order: str = "span_no") -> DataFrame:
     """Labels become their number plus 1, neighbours of one speaker are merged, after a placeholder (speaker 1, from 0 to 0)."""
     numbered = spans.withColumn("speaker", F.coalesce(F.expr(f"try_cast(regexp_extract({label}, '([0-9]+)', 1) AS INT)"), F.lit(0)) + 1)
@@ -102,11 +125,6 @@ def turned(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("kind") == "line").withColumn("turned", F.col("speaker") != F.lag("speaker").over(by))
 
 
-def speaker_changes(lines: DataFrame) -> DataFrame:
-    """session_id, n_speakers, n_changes, silence aside."""
-    return turned(lines).groupBy("session_id").agg(F.count_distinct("speaker").alias("n_speakers"), F.count_if("turned").alias("n_changes"))
-
-
 def make_monotonic(spans: DataFrame, gap: int = 1, order: str = "span_no") -> DataFrame:
     """Start at least `gap` after the end before, end not before start, without a loop: ends less i * gap rise as a running maximum."""
     by = Window.partitionBy("session_id").orderBy(order)
@@ -141,11 +159,12 @@ def with_silences(tokens: DataFrame, silences: DataFrame) -> DataFrame:
     return words.unionByName(marks).withColumn("at", F.row_number().over(order))
 
 
-def waiting(tokens: DataFrame, cover: DataFrame, order: str = "seq") -> DataFrame:
+def waiting(tokens: DataFrame, cover: DataFrame, order: str = "seq", block: int | None = None) -> DataFrame:
     """Tokens with `waits`: from the first that begins at or after its session's `cover` (session_id, cover) on, they wait in the buffer."""
-    upto = Window.partitionBy("session_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = tokens.join(cover.hint("merge"), "session_id", "left")
-    return rows.withColumn("waits", F.coalesce(F.bool_or(F.col("start_cs") >= F.col("cover")).over(upto), F.lit(False))).drop("cover")
+    along = Along(order, block)
+    rows = _with_cover(along.start(tokens), cover, along)
+    rows = along.end(along.maxima(rows, waits=F.col("start_cs") >= F.col("cover")))
+    return rows.withColumn("waits", F.coalesce("waits", F.lit(False))).drop("cover")
 
 
 def caught_up(tokens: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

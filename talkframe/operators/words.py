@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions.text import has_mark
 from talkframe.operators.lines import islands
+from talkframe.operators.scans import Along
 
 
 def by() -> WindowSpec:
@@ -23,10 +24,12 @@ def after() -> WindowSpec:
     return Window.partitionBy("session_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def context_suffix(words: DataFrame, budget: int = 200) -> DataFrame:
+def context_suffix(words: DataFrame, budget: int = 200, block: int | None = None) -> DataFrame:
     """`words` with `prompt`: the last words until at least `budget` characters (length and one each) are reached; the word that crosses counts."""
-    used = F.coalesce(F.sum(F.length(F.trim("text")) + 1).over(after()), F.lit(0))
-    return words.withColumn("prompt", used < budget)
+    along = Along("seq", block)
+    rows = along.sums(along.start(words), upto=F.length(F.trim("text")) + 1)
+    rows = along.end(along.greatest(rows, whole=F.col("upto")))
+    return rows.withColumn("prompt", F.col("whole") - F.col("upto") < budget).drop("whole", "upto")
 
 
 def penultimate_end(sentences: DataFrame, order: str = "seg_no") -> DataFrame:
@@ -120,15 +123,12 @@ def char_offset_times(words: DataFrame, fragments: DataFrame) -> DataFrame:
     return f.unionByName(w).withColumn("t", F.last("t", True).over(over)).where("_k = 1").drop("_k")
 
 
-def released(timeline: DataFrame) -> DataFrame:
-    """Tokens with `released`: up to the last mark of their stretch between silences, or all where a silence or the end follows."""
-    along = Window.partitionBy("session_id").orderBy("seq2")
-    rows = timeline.withColumn("epoch", F.sum((F.col("kind") == "silence").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("session_id", "epoch")
-    last = F.max(F.when(has_mark("text"), F.col("seq2"))).over(whole)
-    final = F.max("epoch").over(Window.partitionBy("session_id"))
-    rows = rows.withColumn("released", (F.col("epoch") < final) | F.coalesce(F.col("seq2") <= last, F.lit(False)))
-    return rows.where("kind = 'token'").select("session_id", "seq2", "released")
+def released(timeline: DataFrame, block: int | None = None) -> DataFrame:
+    """Tokens with `released`: up to the last mark of their stretch between silences, or all where a silence or the end follows. That is: up to the session's last
+    mark or silence."""
+    along = Along("seq2", block)
+    rows = along.greatest(along.start(timeline), last=F.when((F.col("kind") == "silence") | has_mark("text"), F.col("seq2")))
+    return rows.where("kind = 'token'").select("session_id", "seq2", F.coalesce(F.col("seq2") <= F.col("last"), F.lit(False)).alias("released"))
 
 
 def language_lock(detections: DataFrame, default: str, supported: list[str], least_s: float = 2.0, least_conf: float = 0.5) -> DataFrame:

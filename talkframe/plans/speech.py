@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkframe.functions.times import format_time
-from talkframe.operators import joins, lines
+from talkframe.operators import joins, lines, scans, words
 from talkframe.plans.tables_sql import SPANS, TIMELINE, TOKENS, TRANSLATIONS, TURNS
 from talkframe.sources import adapters
 from talkframe.sources.scratch import kept
@@ -17,8 +17,9 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(adapters.tokens(spark, sf_dir))
 
 
-def _lines_of(toks: DataFrame) -> DataFrame:
-    return lines.speaker_lines(adapters.timeline(toks), kept(adapters.speaker_spans(toks)))
+def _lines_of(toks: DataFrame, block: int | None = None) -> DataFrame:
+    """Lines of a kept table of tokens; sessions too long for one task are taken in blocks."""
+    return lines.speaker_lines(adapters.timeline(toks), kept(adapters.speaker_spans(toks)), block or scans.block_for(toks, "seq"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,33 @@ def speaker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).withColumn("begins", format_time(F.col("start_cs")))
 
 
+def lines_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines, sessions in blocks of 64 tokens."""
+    return _lines_of(_tokens(spark, sf_dir), 128)
+
+
+def segments_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments, sessions in blocks of 50 tokens."""
+    return lines.segments_at_marks(adapters.timeline(_tokens(spark, sf_dir)), 100)
+
+
+def pauses_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each line between pauses how many of its tokens are released, and are in the prompt, all in blocks."""
+    toks = _tokens(spark, sf_dir)
+    timeline = adapters.timeline(toks)
+    found = kept(lines.lines_at_pauses(timeline, 64).where("kind = 'token'").select("session_id", "line_no", "start_cs", "end_cs"))
+    free = words.released(timeline, 64).where("released").select("session_id", (F.col("seq2") / 2).cast("bigint").alias("seq"), F.lit(1).alias("free"))
+    rows = words.context_suffix(toks, 200, 64).select("session_id", "seq", "start_cs", "end_cs", "prompt").join(free.hint("merge"), ["session_id", "seq"], "left")
+    met = joins.contained(rows, found, "seq", "line_no").join(rows.select("session_id", "seq", "prompt", "free").hint("merge"), ["session_id", "seq"])
+    return met.groupBy("session_id", "line_no").agg(F.count(F.lit(1)).alias("n"), F.count("free").alias("n_released"), F.count_if("prompt").alias("n_prompt"))
+
+
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversation as turns of one speaker."""
+    toks = _tokens(spark, sf_dir)
+    return lines.conversation(joins.token_speakers(toks, adapters.speaker_spans(toks)))
+
+
 def speaker_talk_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Talk time of each speaker of a session, with its number of speaker changes."""
     found = lines.turned(_lines(spark, sf_dir))
@@ -104,7 +132,7 @@ def lines_at_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W5, W7, W32."""
+    """W5, W7."""
     return lines.merge_spans(adapters.speaker_spans(adapters.tokens(spark, sf_dir)))
 
 
@@ -129,7 +157,7 @@ def partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n_tokens").alias("n_tokens"), F.count_if(~F.col("whole").eqNullSafe(F.col("parts"))).alias("n_broken"))
 
 
-QUERIES = {f.__name__: f for f in (token_speakers, speaker_lines, speaker_talk_time, translation_owners, translation_contained, tokens_in_ranges, spans_at_points, nearest_turn, words_outside_spans, span_by_end, segments_at_marks, lines_at_pauses, merged_spans, concatenated_speakers, monotonic_spans, partition_check)}
+QUERIES = {f.__name__: f for f in (token_speakers, speaker_lines, lines_in_blocks, segments_in_blocks, pauses_in_blocks, conversation_turns, speaker_talk_time, translation_owners, translation_contained, tokens_in_ranges, spans_at_points, nearest_turn, words_outside_spans, span_by_end, segments_at_marks, lines_at_pauses, merged_spans, concatenated_speakers, monotonic_spans, partition_check)}
 
 SPEAKERS = """
 owners AS (
@@ -217,5 +245,18 @@ ORACLES = {
             SELECT session_id, span_no, i, greatest(1, start_cs) AS s, greatest(start_cs, end_cs, 1) AS e FROM o WHERE i = 1
             UNION ALL SELECT o.session_id, o.span_no, o.i, greatest(f.e + 1, o.start_cs), greatest(f.e + 1, o.start_cs, o.end_cs) FROM f JOIN o ON o.session_id = f.session_id AND o.i = f.i + 1)
         SELECT session_id, span_no, s AS start_cs, e AS end_cs FROM f""",
+    "conversation_turns": f"""{BASE}, {SPEAKERS},
+        n AS (SELECT *, sum(c) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS turn_no FROM (
+            SELECT *, CASE WHEN coalesce(speaker <> lag(speaker) OVER (PARTITION BY session_id ORDER BY seq), TRUE) THEN 1 ELSE 0 END AS c FROM spoken))
+        SELECT session_id, turn_no, min(speaker) AS speaker, trim(string_agg(text, '' ORDER BY seq)) AS text FROM n GROUP BY session_id, turn_no""",
+    "pauses_in_blocks": f"""WITH {TOKENS}, {TIMELINE},
+        n AS (SELECT *, sum(c) OVER (PARTITION BY session_id ORDER BY seq2 ROWS UNBOUNDED PRECEDING)::BIGINT AS line_no, max(seq2) FILTER (kind = 'silence' OR regexp_matches(text, '[.!?]')) OVER (PARTITION BY session_id) AS last,
+                coalesce(sum(length(trim(text)) + 1) OVER (PARTITION BY session_id ORDER BY seq2 DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 200 AS prompt FROM (
+            SELECT *, CASE WHEN coalesce(kind <> lag(kind) OVER (PARTITION BY session_id ORDER BY seq2), TRUE) THEN 1 ELSE 0 END AS c FROM timeline)),
+        l AS (SELECT session_id, line_no, min(start_cs) AS a, max(end_cs) AS b FROM n WHERE kind = 'token' GROUP BY session_id, line_no)
+        SELECT l.session_id, l.line_no, count(*) AS n, count(*) FILTER (n.seq2 <= n.last) AS n_released, count(*) FILTER (n.prompt) AS n_prompt
+        FROM l JOIN n ON n.session_id = l.session_id AND n.kind = 'token' AND n.start_cs >= l.a AND n.end_cs <= l.b GROUP BY l.session_id, l.line_no""",
     "partition_check": f"WITH {TOKENS} SELECT count(DISTINCT session_id) AS n_sessions, count(*) AS n_tokens, 0::BIGINT AS n_broken FROM tokens",
 }
+ORACLES["lines_in_blocks"] = f"{FULL} SELECT * FROM lines"
+ORACLES["segments_in_blocks"] = ORACLES["segments_at_marks"]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where that is unset and Spark runs in one process (tests), a new local one."""
@@ -20,8 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """`df` computed once and checkpointed in the shared folder, where it survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """`df` computed once and written to the shared folder: it survives lost executors, is read by column, and its size is known to the planner."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_kept(spark: SparkSession) -> int:
+    """Deletes all tables that `kept` made, once nothing reads them any more; how many there were."""
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
