@@ -10,6 +10,22 @@ def half_even(x: Column, scale: int = 0) -> Column:
     return F.bround(x, scale)
 
 
+def round_binary(x: Column, n: int) -> Column:
+    """F8: x to n decimals as Python's round gives it: halves are told by the exact binary value (2.675 is below its half), true halves go to the even neighbour.
+
+    The product x * 10 ** n is split into a double and what it lacks, so the comparison with the half is exact.
+    """
+    ten = F.lit(10.0**n)
+    high = lambda v: v * F.lit(134217729.0) - (v * F.lit(134217729.0) - v)  # noqa: E731 (the upper half of a double's bits)
+    p = x * ten
+    xh, th = high(x), high(ten)
+    lacks = ((xh * th - p) + xh * (ten - th) + (x - xh) * th) + (x - xh) * (ten - th)
+    k = F.floor(p).cast("double")
+    over = (p - k - 0.5) + lacks
+    up = F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.abs(k) % 2)
+    return F.when(F.isnan(x) | (F.abs(p) >= F.lit(2.0**51)), x).otherwise((k + up) / ten)
+
+
 def format_time(cs: Column) -> Column:
     """H:MM:SS.cc of whole centiseconds."""
     return F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360000), F.floor(cs / 6000) % 60, F.floor(cs / 100) % 60, cs % 100)
@@ -18,7 +34,7 @@ def format_time(cs: Column) -> Column:
 def parse_time(text: Column) -> Column:
     """seconds of H:MM:SS.cc, M:SS or S; null for anything else."""
     parts = F.transform(F.split(text, ":"), lambda p: p.try_cast("double"))
-    return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60 + p)
+    return F.when(F.size(parts) <= 3, F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60 + p))
 
 
 def stamp(ms: Column, mark: str = ",", hours: bool = True) -> Column:

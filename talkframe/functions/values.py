@@ -27,9 +27,11 @@ def top_key(m: Column) -> Column:
 
 
 def speaker_label(index: Column) -> Column:
-    """A to Z, AA to ZZ of an index from 0."""
-    letter = lambda i: F.char(i + 65)
-    return F.when(index < 26, letter(index)).otherwise(F.concat(letter(F.floor(index / 26) - 1), letter(index % 26)))
+    """A to Z, AA to ZZ, AAA and on of an index from 0: numbers in base 26 without a zero; null below 0."""
+    none = F.struct((index.cast("bigint") + 1).alias("left"), F.lit("").alias("out"))
+    letter = lambda a: F.char(F.lit(65) + (a["left"] - 1) % 26)
+    digit = lambda a, _: F.when(a["left"] > 0, F.struct(F.call_function("div", a["left"] - 1, F.lit(26)).alias("left"), F.concat(letter(a), a["out"]).alias("out"))).otherwise(a)
+    return F.when(index >= 0, F.aggregate(F.sequence(F.lit(1), F.lit(14)), none, digit)["out"])
 
 
 def speaker_index(speaker: Column) -> Column:

@@ -101,6 +101,14 @@ def in_ranges(lines: DataFrame, ranges: DataFrame, start: str = "start_cs", end:
     return overlapping(lines, ranges, "session_id", start, end, width, touching=True)
 
 
+def speakers_in(ranges: DataFrame, lines: DataFrame, no: str, start: str = "start_cs", end: str = "end_cs", width: float = 6000) -> DataFrame:
+    """session_id, `no` and speakers, the sorted set of those above 0 whose lines overlap the range, closed on both sides; empty where there are none."""
+    met = overlapping(ranges.select("session_id", no, start, end), lines.where("speaker > 0").select("session_id", "speaker", start, end), "session_id", start, end, width, touching=True)
+    sets = met.groupBy("session_id", no).agg(F.sort_array(F.collect_set("r_speaker")).alias("speakers"))
+    found = ranges.select("session_id", no).join(sets.hint("merge"), ["session_id", no], "left")
+    return found.withColumn("speakers", F.coalesce("speakers", F.array().cast("array<int>")))
+
+
 def at_points(points: DataFrame, lines: DataFrame, start: str = "start_cs", end: str = "end_cs", width: float = 6000) -> DataFrame:
     """For each point (session_id, t) the first line that contains it, closed on both sides: point columns and line_no (null where none)."""
     spans = points.select("session_id", "t", F.col("t").alias(start), F.col("t").alias(end)).distinct()
@@ -160,6 +168,12 @@ def lookup(df: DataFrame, mapping: DataFrame, on: str, value: str, default: str
     return found.withColumn(on, F.coalesce("_v", F.col(default or on))).drop("_k", "_v")
 
 
+def alias(df: DataFrame, mapping: DataFrame, on: str, value: str) -> DataFrame:
+    """`on` in lower case with - for _, then replaced by its alias if there is one."""
+    plain = F.replace(F.lower(F.trim(on)), F.lit("_"), F.lit("-"))
+    return lookup(df.withColumn(on, plain), mapping, on, value)
+
+
 def compatible(runs: DataFrame, languages: DataFrame) -> DataFrame:
     """Runs whose (backend, language) pair is listed; a backend listed with a null language takes all."""
     ok = (runs["backend"] == languages["backend"]) & (languages["language"].isNull() | (runs["language"] == languages["language"]))

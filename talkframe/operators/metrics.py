@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkframe.functions.times import round_binary
+
 
 def session_calls(calls: DataFrame, duration: str = "dur_us") -> DataFrame:
     """session_id, n_calls, total, mean and the nearest-rank p95: the value at index int(0.95 * n), capped at the last."""
@@ -95,10 +97,19 @@ def wer_rows(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("wer", F.when(F.col("ref_words") == 0, F.col("hyp_words").cast("double")).otherwise(errors / F.col("ref_words")))
 
 
+#: Distinct words of a pair that can be told apart as code points.
+MOST_WORDS = 1_000_000
+
+
 def edit_distances(pairs: DataFrame) -> DataFrame:
-    """Q2: `pairs` with distance, without the words."""
-    rows = wer_rows(pairs)
-    return rows.withColumn("distance", F.col("s") + F.col("i") + F.col("d")).select(*(c for c in pairs.columns if c not in ("ref", "hyp")), "distance")
+    """Q2: `pairs` with distance, without the words, and without Python: a pair's distinct words become code points, and two texts of such are compared by the built-in
+    distance. Null for pairs of more than MOST_WORDS distinct words (wer_rows takes any)."""
+    known = F.array_distinct(F.concat("ref", "hyp"))
+    point = lambda w: F.array_position("_known", w) + 255 + F.when(F.array_position("_known", w) + 255 < 0xD800, 0).otherwise(0x800)  # noqa: E731 (surrogates are no characters)
+    code = lambda c: F.decode(F.unhex(F.array_join(F.transform(c, lambda w: F.lpad(F.hex(point(w)), 8, "0")), "")), "UTF-32")
+    rows = pairs.withColumn("_known", known)
+    distance = F.when(F.size("_known") <= MOST_WORDS, F.levenshtein(code("ref"), code("hyp")))
+    return rows.withColumn("distance", distance).select(*(c for c in pairs.columns if c not in ("ref", "hyp")), "distance")
 
 
 def micro_wer() -> Column:
@@ -114,6 +125,7 @@ def bench_report(runs: DataFrame) -> DataFrame:
         F.round(F.avg("wer"), 6).alias("avg_wer"), F.round(micro_wer(), 6).alias("weighted_wer"),
         F.round(F.avg(ratio(F.col("processing_us"), F.col("audio_us"))), 6).alias("avg_rtf"), F.round(ratio(F.sum("processing_us"), F.sum("audio_us")), 6).alias("overall_rtf"),
         F.round(F.coalesce(F.avg(F.when(F.col("latency_us") > 0, F.col("latency_us") / 1000)), F.lit(0.0)), 6).alias("avg_latency_ms"),
+        F.round(F.coalesce(F.avg(F.when(F.col("p95_us") > 0, F.col("p95_us") / 1000)), F.lit(0.0)), 6).alias("p95_latency_ms"),
         F.count_distinct("language").alias("n_languages"), F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"),
     )
     level = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "language").otherwise("category")
@@ -137,8 +149,8 @@ DECIMALS = {"duration_s": 2, "wer": 4, "processing_time_s": 2, "rtf": 3, "avg_la
 
 
 def rounded(rows: DataFrame, decimals: dict[str, int] = DECIMALS) -> DataFrame:
-    """The fields of a report at their number of decimals, halves to the even neighbour."""
-    return rows.withColumns({c: F.bround(c, n) for c, n in decimals.items() if c in rows.columns})
+    """The fields of a report at their number of decimals, as Python rounds them."""
+    return rows.withColumns({c: round_binary(F.col(c).cast("double"), n) for c, n in decimals.items() if c in rows.columns})
 
 
 def grouped(runs: DataFrame, key: str) -> DataFrame:
@@ -160,10 +172,36 @@ def timing_report(lines: DataFrame) -> DataFrame:
     return out.withColumns({"timing_valid": (F.col("n_negative") == 0) & (F.col("n_inverted") == 0), "monotonic": F.col("n_backwards") == 0})
 
 
+def timing_messages(lines: DataFrame) -> DataFrame:
+    """session_id, message: one row for each timing fault of a line (numbered from 0 in its session): negative or inverted times, a start before the one before."""
+    by = Window.partitionBy("session_id").orderBy("line_no")
+    rows = lines.select("session_id", (F.row_number().over(by) - 1).alias("i"), (F.col("start_cs") / 100).alias("s"), (F.col("end_cs") / 100).alias("e"), (F.lag("start_cs").over(by) / 100).alias("b"))
+    told = lambda when, form, *cols: F.when(when, F.format_string(form, "i", *cols))
+    faults = F.array(
+        told(F.col("s") < 0, "Line %d: negative start %.2fs", "s"), told(F.col("e") < 0, "Line %d: negative end %.2fs", "e"),
+        told(F.col("e") < F.col("s"), "Line %d: end (%.2fs) < start (%.2fs)", "e", "s"), told(F.col("s") < F.col("b"), "Line %d: start (%.2fs) < previous start (%.2fs)", "s", "b"),
+    )
+    return rows.select("session_id", F.explode(F.array_compact(faults)).alias("message"))
+
+
+#: Checks in the order of a report.
+CHECKS = ("no_anomalies", "has_words", "has_lines", "timing_valid", "timing_monotonic", "fast_enough")
+
+
+def health_report(lines: DataFrame, metrics_: DataFrame, most_rtf: float = 2.0) -> DataFrame:
+    """session_id, check_no, name, ok, in long form: no anomaly, words, lines, valid and monotonic times, and a real-time factor below `most_rtf`. Tables: lines (with
+    n_tokens), and session_id, rtf, n_anomalies of each session; a session without lines has none."""
+    timing = timing_report(lines).join(lines.groupBy("session_id").agg(F.sum("n_tokens").alias("n_words")).hint("merge"), "session_id")
+    rows = metrics_.join(timing.hint("merge"), "session_id", "left").fillna(0, ["n_words", "n_lines"])
+    ok = [F.col("n_anomalies") == 0, F.col("n_words") > 0, F.col("n_lines") > 0, F.coalesce("timing_valid", F.lit(True)), F.coalesce("monotonic", F.lit(True)), F.col("rtf") < most_rtf]
+    checks = F.array(*(F.struct(F.lit(k).alias("check_no"), F.lit(name).alias("name"), c.alias("ok")) for k, (name, c) in enumerate(zip(CHECKS, ok, strict=True), 1)))
+    return rows.select("session_id", F.inline(checks))
+
+
 def timestamp_accuracy(pred: DataFrame, ref: DataFrame, ahead: int = 3) -> DataFrame:
     """Id, n_matched, mae, max and median of the start deltas. Words are matched from left to right, each with the first equal
-    one of the next `ahead` reference words. Tables: id, ix, word, start_cs. The match is a fold over one id's words; null where nothing matches."""
-    as_list = lambda df, name: df.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "word", "start_cs"))), lambda x: F.struct(x["word"].alias("w"), x["start_cs"].cast("bigint").alias("t"))).alias(name))
+    one of the next `ahead` reference words, letters and digits alone in lower case. Tables: id, ix, word, start_cs. The match is a fold over one id's words; null where nothing matches."""
+    as_list = lambda df, name: df.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "word", "start_cs"))), lambda x: F.struct(F.regexp_replace(F.lower(x["word"]), r"[^\p{L}\p{N}]+", "").alias("w"), x["start_cs"].cast("bigint").alias("t"))).alias(name))
     both = as_list(pred, "p").join(as_list(ref, "r").hint("merge"), "id", "full_outer")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<bigint>").alias("deltas"))
 

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkframe.functions.text import common_prefix_length
+from talkframe.functions.values import speaker_label
+
+
+def with_speech(segments: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """P5: segments whose no_speech_prob is not above the threshold."""
+    return segments.where(F.col("no_speech_prob") <= threshold)
+
 
 def without_no_speech(segments: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """P5: segments whose no_speech_prob is not above the threshold, as one row per word."""
-    return segments.where(F.col("no_speech_prob") <= threshold).select(*(c for c in segments.columns if c != "words"), F.explode("words").alias("word"))
+    """P5: the same as one row per word."""
+    return with_speech(segments, threshold).select(*(c for c in segments.columns if c != "words"), F.explode("words").alias("word"))
 
 
 def needs_fallback(most_ratio: float = 2.4, least_logprob: float = -1.0, no_speech: float = 0.6) -> Column:
@@ -81,9 +89,27 @@ def long_samples(utterances: DataFrame, target: int, pause: int = 50) -> DataFra
     return kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("duration") + (F.count(F.lit(1)) - 1) * pause).alias("duration"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda t: t["text"]), " ").alias("text"))
 
 
-def distinct_boundaries(rows: DataFrame, t: str, decimals: int = 3) -> DataFrame:
-    """One row per session and rounded time."""
-    return rows.withColumn("_r", F.round(t, decimals)).dropDuplicates(["session_id", "_r"]).drop("_r")
+def session_labels(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """`rows` with `label`: of a positive whole number its own letter (1 is A); of any other name, null included, that of its place among such names of the session by
+    first sight. Names are aggregated first, so the window sees a session's names, not its rows."""
+    number = F.when(F.col(name).rlike("^[0-9]+$"), F.col(name).try_cast("bigint"))
+    rows = rows.withColumn("_no", F.when(number > 0, number))
+    first = rows.where("_no IS NULL").groupBy("session_id", F.col(name).alias("_name")).agg(F.min(order).alias("_at"))
+    first = first.withColumn("_place", F.row_number().over(Window.partitionBy("session_id").orderBy("_at")) - 1).withColumnRenamed("session_id", "_session")
+    same = (F.col("session_id") == F.col("_session")) & F.col(name).eqNullSafe(F.col("_name"))
+    found = rows.join(first.hint("merge"), same, "left")
+    index = F.when(F.col("_no").isNotNull(), F.col("_no") - 1).otherwise(F.col("_place"))
+    return found.withColumn("label", speaker_label(index)).drop("_no", "_session", "_name", "_at", "_place")
+
+
+def bounds(segments: DataFrame) -> DataFrame:
+    """session_id, start_s, end_s: the first word's start and the last word's end over a session's segments (session_id, seq, start_s, end_s, words), else the first segment's start
+    and the last one's end; null without segments."""
+    said = F.when(F.size("words") > 0, F.col("seq"))
+    return segments.groupBy("session_id").agg(
+        F.coalesce(F.min_by(F.get("words", F.lit(0))["start_s"], said), F.min_by("start_s", "seq")).alias("start_s"),
+        F.coalesce(F.max_by(F.try_element_at("words", F.lit(-1))["end_s"], said), F.max_by("end_s", "seq")).alias("end_s"), F.sum(F.greatest(F.size("words"), F.lit(0))).alias("n_words"),
+    )
 
 
 def changed_only(rows: DataFrame, order: str, signature: str) -> DataFrame:
@@ -129,6 +155,30 @@ def within_rate(batches: DataFrame, words_per_s: float = 15, slack: float = 1.5,
     return batches.where(F.col("n_tokens") <= F.greatest(F.lit(least), F.floor(F.col("audio_s") * words_per_s * slack)))
 
 
+#: What a snapshot tells anew each time, whether lines changed or not.
+VOLATILE = ("status", "buffer_transcription", "buffer_diarization", "buffer_translation", "lag_total", "lag_processing", "lag_policy", "lag_diarization", "error")
+
+
+def snapshot_deltas(snapshots: DataFrame, order: str = "rev") -> DataFrame:
+    """X7, S16 for whole tables: snapshots (session_id, rev, lines: array, and any of VOLATILE) as messages: seq, type (snapshot, then diff), n_lines, lines_pruned, new_lines and
+    the volatile fields as they are.
+
+    How many lines went in front is where the first line stood before (all, where it stood nowhere or no line is left); new lines are what follows the common prefix
+    behind these. A window gives the lines before, arrays do the rest.
+    """
+    by = Window.partitionBy("session_id").orderBy(order)
+    rows = snapshots.withColumns({"_b": F.lag("lines").over(by), "seq": F.row_number().over(by)})
+    at = F.array_position("_b", F.get("lines", F.lit(0)))
+    gone = F.when(F.col("_b").isNull(), 0).when((F.size("lines") > 0) & (at > 0), at - 1).otherwise(F.size("_b")).cast("int")
+    rows = rows.withColumn("lines_pruned", gone)
+    left = F.slice("_b", F.col("lines_pruned") + 1, F.greatest(F.size("_b"), F.lit(0)))
+    same = F.when(F.col("_b").isNull(), 0).otherwise(common_prefix_length(left, F.col("lines")))
+    new = F.slice("lines", same + 1, F.size("lines"))
+    volatile = [c for c in VOLATILE if c in snapshots.columns]
+    kind = F.when(F.col("_b").isNull(), "snapshot").otherwise("diff")
+    return rows.select("session_id", order, "seq", kind.alias("type"), "lines_pruned", F.size("lines").alias("n_lines"), new.alias("new_lines"), *volatile)
+
+
 def status_of(n_lines: Column, buffers: Column) -> Column:
     """P19."""
     return F.when((n_lines == 0) & (buffers == ""), "no_audio_detected").otherwise("active_transcription")

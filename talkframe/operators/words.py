@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from talkframe.functions.text import has_mark
 from talkframe.operators.lines import islands
@@ -179,7 +183,7 @@ def drop_hallucinations(segments: DataFrame, threshold: float = 2.0) -> DataFram
 
 
 def words_to_sentences(words: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Words with sent_no: the first sentence (session_id, sent_no, text, in order) whose running length of text reaches the word's, white space aside."""
+    """Words with sent_no: the first sentence (session_id, sent_no, text, in order) whose running length of text reaches the word's, white space aside."""
     size = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
     sent = sentences.select("session_id", "sent_no", F.sum(size("text")).over(Window.partitionBy("session_id").orderBy("sent_no").rowsBetween(Window.unboundedPreceding, 0)).alias("_c"), F.lit(1).alias("_k"), F.lit(None).cast("bigint").alias("seq"))
     w = words.select("session_id", F.lit(None).cast(dict(sentences.dtypes)["sent_no"]).alias("sent_no"), F.sum(size("text")).over(upto()).alias("_c"), F.lit(0).alias("_k"), "seq")
@@ -188,6 +192,22 @@ def words_to_sentences(words: DataFrame, sentences: DataFrame) -> DataFrame:
     return words.join(found.hint("merge"), ["session_id", "seq"])
 
 
+def sentences_of(texts: DataFrame, splitter: Callable[[list[str]], list[list[str]]] | None = None) -> DataFrame:
+    """session_id, sent_no, text of (session_id, text): the text cut into sentences by `splitter`, a user's function from texts to lists of sentences that sees a batch of
+    texts at a time; without one a sentence ends with its marks. Sentences together hold all that is no white space, in order."""
+    if splitter is None:
+        parts = F.regexp_extract_all("text", F.lit(r"[^.!?]*[.!?]+|[^.!?]+$"), F.lit(0))
+    else:
+
+        @F.pandas_udf(ArrayType(StringType()))
+        def cut(texts: pd.Series) -> pd.Series:
+            said = texts.fillna("").tolist()
+            return pd.Series(splitter(said), index=texts.index, dtype=object)
+
+        parts = cut("text")
+    return texts.select("session_id", F.posexplode(parts).alias("sent_no", "text")).withColumn("sent_no", F.col("sent_no") + 1)
+
+
 def translation_utterances(updates: DataFrame) -> DataFrame:
     """Of each utterance what was shown and what holds: session_id, utt_no, n_updates, shown, text, start_cs, end_cs, n_refused.
 

@@ -163,7 +163,7 @@ def caught_up_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last eight pairs of source and translation of a session."""
-    rows = _turns(spark, sf_dir).select("session_id", "turn", F.substring("text", 1, 30).alias("source"), F.concat(F.lit("="), F.substring("text", 4, 30)).alias("translation"))
+    rows = _turns(spark, sf_dir).select("session_id", "turn", F.col("text").alias("source"), F.concat(F.lit("="), F.lower("text")).alias("translation"))
     return ranking.keep_last(rows, ["session_id"], "turn", 8)
 
 
@@ -268,7 +268,7 @@ ORACLES = {
     "shared_prefixes": r"""WITH p AS (SELECT conv_id AS session_id, turn, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM conversations WHERE text IS NOT NULL)
         SELECT session_id, turn, CASE WHEN turn * 3 < len(w) AND w[turn * 3 + 1] <> 'other' THEN turn * 3 ELSE len(w) END::INT AS n FROM p""",
     "speaker_numbers": """WITH n AS (SELECT conv_id AS session_id, turn, greatest(coalesce(TRY_CAST(CASE WHEN turn % 5 = 0 THEN role WHEN turn % 7 <> 0 THEN (turn * 9 - 2)::VARCHAR END AS INT), 1) - 1, 0) AS n FROM conversations)
-        SELECT session_id, turn, n, CASE WHEN n >= 26 THEN chr((n // 26 + 64)::INT) ELSE '' END || chr((n % 26 + 65)::INT) AS label FROM n""",
+        SELECT session_id, turn, n, CASE WHEN n >= 702 THEN chr(((n - 702) // 676 + 65)::INT) ELSE '' END || CASE WHEN n >= 26 THEN chr(((n - 26) // 26 % 26 + 65)::INT) ELSE '' END || chr((n % 26 + 65)::INT) AS label FROM n""",
     "projected_words": r"""WITH p AS (SELECT conv_id AS session_id, turn, trim(text, ' ') AS c FROM conversations WHERE text IS NOT NULL),
         w AS (SELECT *, regexp_extract_all(c, '[\pL\pN]+') AS ws, turn % 11 = 10 AS lacks FROM p),
         g AS (SELECT *, regexp_extract_all(c, '[^\pL\pN]*[\pL\pN]+') AS gs, regexp_extract(c, '[^\pL\pN]*$') AS rest FROM w),
@@ -289,10 +289,10 @@ ORACLES = {
         FROM tokens GROUP BY session_id, turn""",
     "caught_up_tokens": f"""WITH {TOKENS}, c AS (SELECT *, max(end_cs) OVER (PARTITION BY session_id) AS m FROM tokens),
         w AS (SELECT *, bool_or(start_cs >= m // 3) OVER o AS a, bool_or(start_cs >= m * 2 // 3) OVER o AS b FROM c WINDOW o AS (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT session_id, seq FROM w WHERE a AND NOT b""",
-    "history_pairs": f"""WITH {_T} SELECT session_id, turn, text[1:30] AS source, '=' || text[4:33] AS translation FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= 8""",
+    "history_pairs": f"""WITH {_T} SELECT session_id, turn, text AS source, '=' || lower(text) AS translation FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= 8""",
     "tokens_with_silences": f"""WITH {TOKENS}, {TIMELINE} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY start_cs, kind = 'token', end_cs, text) AS at, kind, start_cs, end_cs FROM timeline""",
-    "rounded_runs": f"""WITH RECURSIVE {RUNS} SELECT id, round_even(audio_us / 1e6, 2) AS duration_s, round_even(wer, 4) AS wer, round_even(processing_us / 1e6, 2) AS processing_time_s,
-        round_even(CASE WHEN audio_us > 0 THEN processing_us / audio_us ELSE 0 END, 3) AS rtf, round_even(latency_us / 1000, 1) AS avg_latency_ms FROM runs""",
+    "rounded_runs": f"""WITH RECURSIVE {RUNS} SELECT id, format('{{:.2f}}', audio_us / 1e6)::DOUBLE AS duration_s, format('{{:.4f}}', wer::DOUBLE)::DOUBLE AS wer, format('{{:.2f}}', processing_us / 1e6)::DOUBLE AS processing_time_s,
+        format('{{:.3f}}', CASE WHEN audio_us > 0 THEN processing_us / audio_us ELSE 0::DOUBLE END)::DOUBLE AS rtf, format('{{:.1f}}', latency_us / 1000)::DOUBLE AS avg_latency_ms FROM runs""",
     "ordered_groups": f"WITH RECURSIVE {RUNS} SELECT language, count(*) AS n, round(avg(wer), 6) AS avg_wer, sum(audio_us)::BIGINT AS audio_us, row_number() OVER (ORDER BY language) AS place FROM runs GROUP BY language",
     "joined_samples": f"""WITH {TOKENS}, {TURNS}, u AS (SELECT session_id, b - a AS d, coalesce(sum(b - a) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM turns)
         SELECT 'c' || session_id AS name, (sum(d) + (count(*) - 1) * 50)::BIGINT AS duration, NULL AS lang FROM u WHERE used < 3000 GROUP BY session_id UNION ALL SELECT 'd' || doc_id, NULL, lang FROM documents""",

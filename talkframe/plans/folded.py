@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talkframe.operators.ranking import snapshot_deltas, status_of
 from talkframe.plans.tables_sql import TOKENS, VAD
 from talkframe.sources import adapters
 from talkframe.streaming import folds, windows
@@ -46,27 +47,34 @@ def released_growing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots of a conversation: the lines of its last five turns, one revision per turn."""
+    """Snapshots of a conversation: the lines of its last five turns, one revision per turn. In some revisions an earlier line is another than before. With status, buffers and
+    lags."""
     toks = adapters.tokens(spark, sf_dir)
     line = F.concat_ws(":", "turn", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda t: t["text"]), ""))
     turns = toks.groupBy("session_id", "turn").agg(line.alias("line"))
-    near = Window.partitionBy("session_id").orderBy("turn").rowsBetween(-4, 0)
-    rev = F.row_number().over(Window.partitionBy("session_id").orderBy("turn"))
-    return turns.select("session_id", rev.alias("rev"), F.collect_list("line").over(near).alias("lines"))
+    by = Window.partitionBy("session_id").orderBy("turn")
+    shown = turns.select("session_id", F.row_number().over(by).alias("rev"), F.collect_list(F.struct("turn", "line")).over(by.rowsBetween(-4, 0)).alias("l"))
+    edited = F.transform("l", lambda x: F.when((x["turn"] + F.col("rev")) % 4 == 0, F.concat(x["line"], F.lit("*"))).otherwise(x["line"]))
+    lag = lambda k: (F.col("rev") * k % 10 / 10).cast("double")
+    buffer = lambda k: F.when(F.col("rev") % k == 0, "").otherwise(F.concat(F.lit("b"), F.col("rev").cast("string")))
+    return shown.select(
+        "session_id", "rev", edited.alias("lines"), status_of(F.size("l"), buffer(2)).alias("status"), buffer(2).alias("buffer_transcription"), buffer(3).alias("buffer_diarization"), buffer(5).alias("buffer_translation"),
+        lag(7).alias("lag_total"), lag(3).alias("lag_processing"), lag(1).alias("lag_policy"), lag(9).alias("lag_diarization"), F.when(F.col("rev") % 4 == 0, F.lit("backend gone")).alias("error"),
+    )
 
 
 DELTA = "rev int, seq int, type string, lines_pruned int, n_lines int, new_lines array<string>"
 
 
 def line_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each snapshot as a change to the one before."""
-    found = folds.run_batch(_snapshots(spark, sf_dir), folds.to_delta, DELTA, ["rev"])
-    return found.select("session_id", "rev", "type", "lines_pruned", "n_lines", F.array_join("new_lines", "|").alias("new_lines"))
+    """Each snapshot as a change to the one before, with what it tells anew."""
+    found = snapshot_deltas(_snapshots(spark, sf_dir))
+    return found.withColumn("new_lines", F.array_join("new_lines", "|"))
 
 
 def rebuilt_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshots again, from the changes."""
-    deltas = folds.run_batch(_snapshots(spark, sf_dir), folds.to_delta, DELTA, ["rev"]).drop("out_no")
+    deltas = snapshot_deltas(_snapshots(spark, sf_dir)).select("session_id", "rev", "seq", "type", "lines_pruned", "n_lines", "new_lines")
     return folds.run_batch(deltas, folds.from_delta, "rev int, lines array<string>", ["rev"]).select("session_id", "rev", F.array_join("lines", "|").alias("lines"))
 
 
@@ -112,19 +120,28 @@ def interim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session_id", nth.alias("nth"), "text")
 
 
-def subtitle_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words packed into cues of two lines of 42 characters."""
+def _packed(spark: SparkSession, sf_dir: str, highlight: bool) -> DataFrame:
     toks = adapters.tokens(spark, sf_dir).select("session_id", "seq", "text", (F.col("start_cs") / 100).alias("start_s"), (F.col("end_cs") / 100).alias("end_s"))
 
     def pack(pdf):
         import pandas as pd
 
-        cues = folds.pack_subtitles(pdf.sort_values("seq").to_dict("records"))
+        cues = folds.pack_subtitles(pdf.sort_values("seq").to_dict("records"), highlight=highlight)
         return pd.DataFrame([{"session_id": pdf["session_id"].iloc[0], "cue": i + 1, **c} for i, c in enumerate(cues)], columns=["session_id", "cue", "start_s", "end_s", "text"])
 
     return toks.groupBy("session_id").applyInPandas(pack, "session_id bigint, cue int, start_s double, end_s double, text string")
 
 
+def subtitle_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words packed into cues of two lines of 42 characters."""
+    return _packed(spark, sf_dir, False)
+
+
+def highlighted_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cues word by word, each underlined in its time."""
+    return _packed(spark, sf_dir, True)
+
+
 def retained_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each session's tokens of the last 60 seconds."""
     return windows.retained(adapters.tokens(spark, sf_dir), 6000, "end_cs").select("session_id", "seq")
@@ -150,10 +167,12 @@ def stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.stalls(rows, 0.5).select("session_id", "frame_ix", F.round("idle_s", 3).alias("idle_s"), "stalled")
 
 
-QUERIES = {f.__name__: f for f in (agreed_words, steady_words, coalesced_chunks, released_growing_words, line_deltas, rebuilt_snapshots, final_events, interim_events, subtitle_cues, retained_tokens, pause_sessions, probes, stalls)}
+QUERIES = {f.__name__: f for f in (agreed_words, steady_words, coalesced_chunks, released_growing_words, line_deltas, rebuilt_snapshots, final_events, interim_events, subtitle_cues, highlighted_cues, retained_tokens, pause_sessions, probes, stalls)}
 
 SNAPSHOTS = f"""WITH {TOKENS},
-    lines AS (SELECT session_id, turn, turn || ':' || string_agg(text, '' ORDER BY seq) AS line, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS rev FROM tokens GROUP BY session_id, turn)"""
+    one AS (SELECT session_id, turn, turn || ':' || string_agg(text, '' ORDER BY seq) AS line, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS rev FROM tokens GROUP BY session_id, turn),
+    near AS (SELECT session_id, rev, list({{'turn': turn, 'line': line}}) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS l FROM one),
+    snapshots AS (SELECT session_id, rev, [x.line || CASE WHEN (x.turn + rev) % 4 = 0 THEN '*' ELSE '' END FOR x IN l] AS lines FROM near)"""
 
 SCRIPT = r"""WITH w AS (
         SELECT conv_id || '-' || turn AS session_id, turn % 2 = 1 AS odd, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM conversations WHERE text IS NOT NULL),
@@ -177,8 +196,15 @@ ORACLES = {
     "released_growing_words": r"""WITH w AS (SELECT conv_id || '-' || turn AS session_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM conversations WHERE text IS NOT NULL),
         i AS (SELECT session_id, w, unnest(range(0, len(w) - 1)) AS ix FROM w)
         SELECT session_id, ix, CASE WHEN ix = 0 THEN '' ELSE ' ' END || w[ix + 1] AS text FROM i""",
-    "line_deltas": f"""{SNAPSHOTS} SELECT session_id, rev, CASE WHEN rev = 1 THEN 'snapshot' ELSE 'diff' END AS type, (rev > 5)::INT AS lines_pruned, least(rev, 5) AS n_lines, line AS new_lines FROM lines""",
-    "rebuilt_snapshots": f"""{SNAPSHOTS} SELECT session_id, rev, array_to_string(list(line) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), '|') AS lines FROM lines""",
+    "line_deltas": f"""{SNAPSHOTS},
+        b AS (SELECT *, lag(lines) OVER (PARTITION BY session_id ORDER BY rev) AS b FROM snapshots),
+        g AS (SELECT *, CASE WHEN b IS NULL THEN 0 WHEN list_contains(b, lines[1]) THEN list_position(b, lines[1]) - 1 ELSE len(b) END AS gone FROM b),
+        p AS (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE coalesce([i FOR i IN range(1, least(len(b) - gone, len(lines)) + 1) IF b[gone + i] <> lines[i]][1] - 1, least(len(b) - gone, len(lines))) END AS same FROM g)
+        SELECT session_id, rev, rev AS seq, CASE WHEN b IS NULL THEN 'snapshot' ELSE 'diff' END AS type, gone AS lines_pruned, len(lines) AS n_lines, array_to_string(lines[same + 1 :], '|') AS new_lines,
+            'active_transcription' AS status, CASE WHEN rev % 2 = 0 THEN '' ELSE 'b' || rev END AS buffer_transcription, CASE WHEN rev % 3 = 0 THEN '' ELSE 'b' || rev END AS buffer_diarization,
+            CASE WHEN rev % 5 = 0 THEN '' ELSE 'b' || rev END AS buffer_translation, (rev * 7 % 10) / 10 AS lag_total, (rev * 3 % 10) / 10 AS lag_processing, (rev % 10) / 10 AS lag_policy,
+            (rev * 9 % 10) / 10 AS lag_diarization, CASE WHEN rev % 4 = 0 THEN 'backend gone' END AS error FROM p""",
+    "rebuilt_snapshots": f"""{SNAPSHOTS} SELECT session_id, rev, array_to_string(lines, '|') AS lines FROM snapshots""",
     "retained_tokens": f"""WITH {TOKENS}, c AS (SELECT *, max(end_cs) OVER (PARTITION BY session_id) - 6000 AS c FROM tokens),
         k AS (SELECT *, bool_or(end_cs >= c OR c <= 0) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS k FROM c) SELECT session_id, seq FROM k WHERE k""",
     "pause_sessions": """WITH e AS (SELECT user_id AS session_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS c FROM events),

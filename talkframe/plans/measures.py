@@ -43,7 +43,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "language": pick(("de", "en", "es", "fr"), F.col("session_id")), "category": pick(("clean", "meeting", "noisy"), k),
         "backend": pick(("la", "ss"), F.col("turn")), "model": pick(("base", "small", "turbo"), F.col("session_id")),
         "audio_us": (F.col("ref_words") * 400000).cast("bigint"), "processing_us": (F.col("hyp_words") * (90000 - 30000 * (F.col("turn") % 2)) + k % 7 * 10000).cast("bigint"),
-        "latency_us": (k % 5 * 100000).cast("bigint"),
+        "latency_us": (k % 5 * 100000).cast("bigint"), "p95_us": F.when(k % 4 == 0, 0).otherwise(k % 5 * 150000).cast("bigint"),
     })
 
 
@@ -134,7 +134,7 @@ RUNS = f"""{ERRORS},
     runs AS (
         SELECT *, CASE WHEN n = 0 THEN m ELSE distance / n END AS wer, ['de', 'en', 'es', 'fr'][session_id % 4 + 1] AS language, ['clean', 'meeting', 'noisy'][(session_id + turn) % 3 + 1] AS category,
             ['la', 'ss'][turn % 2 + 1] AS backend, ['base', 'small', 'turbo'][session_id % 3 + 1] AS model,
-            n * 400000 AS audio_us, m * (90000 - 30000 * (turn % 2)) + (session_id + turn) % 7 * 10000 AS processing_us, (session_id + turn) % 5 * 100000 AS latency_us FROM dist),
+            n * 400000 AS audio_us, m * (90000 - 30000 * (turn % 2)) + (session_id + turn) % 7 * 10000 AS processing_us, (session_id + turn) % 5 * 100000 AS latency_us, CASE WHEN (session_id + turn) % 4 = 0 THEN 0 ELSE (session_id + turn) % 5 * 150000 END AS p95_us FROM dist),
     systems AS (
         SELECT backend, model, language, count(*) AS n, round(100 * sum(distance) / greatest(sum(n), 1), 6) AS wer_pct,
             round(CASE WHEN sum(audio_us) > 0 THEN sum(processing_us) / sum(audio_us) ELSE 0 END, 6) AS rtf FROM runs GROUP BY backend, model, language)"""
@@ -155,7 +155,7 @@ ORACLES = {
         SELECT CASE grouping(language, category) WHEN 3 THEN 'all' WHEN 1 THEN 'language' ELSE 'category' END AS level, coalesce(language, category, '') AS value,
             count(*) AS n_samples, sum(audio_us)::BIGINT AS audio_us, sum(processing_us)::BIGINT AS processing_us, round(avg(wer), 6) AS avg_wer, round(sum(distance) / greatest(sum(n), 1), 6) AS weighted_wer,
             round(avg(CASE WHEN audio_us > 0 THEN processing_us / audio_us ELSE 0 END), 6) AS avg_rtf, round(CASE WHEN sum(audio_us) > 0 THEN sum(processing_us) / sum(audio_us) ELSE 0 END, 6) AS overall_rtf,
-            round(coalesce(avg(latency_us / 1000) FILTER (latency_us > 0), 0), 6) AS avg_latency_ms, count(DISTINCT language) AS n_languages, string_agg(DISTINCT category, ',' ORDER BY category) AS categories
+            round(coalesce(avg(latency_us / 1000) FILTER (latency_us > 0), 0), 6) AS avg_latency_ms, round(coalesce(avg(p95_us / 1000) FILTER (p95_us > 0), 0), 6) AS p95_latency_ms, count(DISTINCT language) AS n_languages, string_agg(DISTINCT category, ',' ORDER BY category) AS categories
         FROM runs GROUP BY GROUPING SETS ((), (language), (category))""",
     "compare_systems": f"""WITH RECURSIVE {RUNS} SELECT *, CASE WHEN wer_pct < 15 THEN 'good' WHEN wer_pct < 30 THEN 'fair' ELSE 'poor' END AS accuracy,
         CASE WHEN rtf < 0.5 THEN 'good' WHEN rtf < 1 THEN 'fair' ELSE 'poor' END AS speed FROM systems""",

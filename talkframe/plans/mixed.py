@@ -64,7 +64,7 @@ def checked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plausible_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as segments with words whose probability follows from their length; those that look invented go."""
+    """Turns as segments with words whose probability follows from their length; those that look invented go."""
     toks = adapters.tokens(spark, sf_dir)
     word = F.struct(F.col("text").alias("word"), (F.col("start_cs") / 100).alias("start_s"), (F.col("end_cs") / 100).alias("end_s"), F.when(F.length("text") > 14, 0.1).otherwise(0.8).alias("prob"))
     rows = toks.withColumn("w", word).groupBy("session_id", F.col("turn").alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("o"), "w"))), lambda x: x["w"]).alias("words"))

@@ -36,6 +36,14 @@ AGREED = f"""WITH RECURSIVE {HYPOTHESES},
                         AND tail[-k:] = [x.t FOR x IN fresh[1:k]]][1], 0) :] AS fresh FROM (
                         SELECT h.session_id, h.rev, g.last, g.tail, g.opened, [x FOR x IN h.ws IF x.s > g.last - 0.1] AS fresh FROM g JOIN hyps h ON h.session_id = g.session_id AND h.rev = g.rev + 1))))"""
 
+CUES = f"""WITH RECURSIVE {TOKENS},
+        f AS (
+            SELECT session_id, 0::BIGINT AS seq, 0 AS cue, 0::BIGINT AS used, 1 AS line, NULL::DOUBLE AS last, '' AS piece, NULL::DOUBLE AS s, NULL::DOUBLE AS e FROM (SELECT DISTINCT session_id FROM tokens)
+            UNION ALL SELECT session_id, seq, CASE WHEN fits OR (cue > 0 AND NOT late AND line < 2) THEN cue ELSE cue + 1 END, CASE WHEN fits THEN used + length(text) ELSE length(trim(text)) END,
+                CASE WHEN fits THEN line WHEN cue > 0 AND NOT late AND line < 2 THEN line + 1 ELSE 1 END, s, CASE WHEN fits THEN text WHEN cue > 0 AND NOT late AND line < 2 THEN chr(10) || trim(text) ELSE trim(text) END, s, e FROM (
+                SELECT t.session_id, t.seq, f.cue, f.used, f.line, t.text, t.start_cs / 100 AS s, t.end_cs / 100 AS e, coalesce(t.start_cs / 100 - f.last > 3, FALSE) AS late,
+                    f.cue > 0 AND f.used > 0 AND NOT coalesce(t.start_cs / 100 - f.last > 3, FALSE) AND f.used + length(t.text) <= 42 AS fits FROM f JOIN tokens t ON t.session_id = f.session_id AND t.seq = f.seq + 1))"""
+
 ORACLES = {
     "timestamp_accuracy": f"""WITH RECURSIVE {PAIRS},
         m AS (SELECT id, 0 AS k, 0::BIGINT AS seen, NULL::BIGINT AS delta, ref, hyp FROM pairs
@@ -82,6 +90,7 @@ ORACLES = {
                 string_agg(cue || chr(10) || {_cue("start_cs", ",")} || ' --> ' || {_cue("end_cs", ",")} || chr(10) || trim(text) || chr(10), chr(10) ORDER BY cue) AS srt,
                 string_agg({_cue("start_cs", ".")} || ' --> ' || {_cue("end_cs", ".")} || chr(10) || trim(text) || chr(10), chr(10) ORDER BY cue) AS vtt, string_agg(trim(text), chr(10) ORDER BY cue) AS txt FROM c GROUP BY session_id, d)
         SELECT session_id, 'srt' AS form, srt AS content FROM j UNION ALL SELECT session_id, 'vtt', 'WEBVTT' || chr(10) || chr(10) || vtt FROM j UNION ALL SELECT session_id, 'txt', txt FROM j
+        UNION ALL SELECT session_id, 'text', trim(said) FROM j UNION ALL SELECT session_id, 'short_json', format('{{{{"text":{{}},"usage":{{{{"type":"duration","seconds":{{}}}}}}}}}}', to_json(trim(said)), round_even(d, 0)::BIGINT) FROM j
         UNION ALL SELECT session_id, 'json', format('{{{{"task":"transcribe","language":"unknown","duration":{{}},"text":{{}},"segments":[{{}}],"usage":{{{{"type":"duration","seconds":{{}}}}}}}}}}', to_json(d), to_json(trim(said)), segs, round_even(d, 0)::BIGINT) FROM j
         UNION ALL SELECT session_id, 'diarized_json', format('{{{{"task":"transcribe","duration":{{}},"text":{{}},"segments":[{{}}],"usage":{{{{"type":"duration","seconds":{{}}}}}}}}}}', to_json(d), to_json(trim(names)), spoken, round_even(d, 0)::BIGINT) FROM j""",
     "agreed_words": AGREED + """,
@@ -98,12 +107,13 @@ ORACLES = {
         u AS (SELECT session_id, rev, i, 'word' AS kind, x.t AS text, x.s AS start_s, x.e AS end_s FROM (SELECT session_id, rev, unnest(kept) AS x, generate_subscripts(kept, 1) AS i FROM g WHERE NOT loops)
             UNION ALL SELECT session_id, rev, 0, 'reset', 'repetition', before, before FROM g WHERE loops)
         SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY rev, i)::INT AS out_no, kind, text, start_s, end_s FROM u""",
-    "subtitle_cues": f"""WITH RECURSIVE {TOKENS},
-        f AS (
-            SELECT session_id, 0::BIGINT AS seq, 0 AS cue, 0::BIGINT AS used, 1 AS line, NULL::DOUBLE AS last, '' AS piece, NULL::DOUBLE AS s, NULL::DOUBLE AS e FROM (SELECT DISTINCT session_id FROM tokens)
-            UNION ALL SELECT session_id, seq, CASE WHEN fits OR (cue > 0 AND NOT late AND line < 2) THEN cue ELSE cue + 1 END, CASE WHEN fits THEN used + length(text) ELSE length(trim(text)) END,
-                CASE WHEN fits THEN line WHEN cue > 0 AND NOT late AND line < 2 THEN line + 1 ELSE 1 END, s, CASE WHEN fits THEN text WHEN cue > 0 AND NOT late AND line < 2 THEN chr(10) || trim(text) ELSE trim(text) END, s, e FROM (
-                SELECT t.session_id, t.seq, f.cue, f.used, f.line, t.text, t.start_cs / 100 AS s, t.end_cs / 100 AS e, coalesce(t.start_cs / 100 - f.last > 3, FALSE) AS late,
-                    f.cue > 0 AND f.used > 0 AND NOT coalesce(t.start_cs / 100 - f.last > 3, FALSE) AND f.used + length(t.text) <= 42 AS fits FROM f JOIN tokens t ON t.session_id = f.session_id AND t.seq = f.seq + 1))
+    "subtitle_cues": CUES + """
         SELECT session_id, cue, min(s) AS start_s, arg_max(e, seq) AS end_s, string_agg(piece, '' ORDER BY seq) AS text FROM f WHERE seq > 0 GROUP BY session_id, cue""",
+    "highlighted_cues": CUES + """,
+        w AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY session_id, cue ORDER BY seq), s) AS before FROM f WHERE seq > 0),
+        u AS (SELECT a.session_id, a.cue, a.seq, a.before, a.s, a.e, string_agg(b.piece, '' ORDER BY b.seq) AS whole,
+                string_agg(CASE WHEN a.seq = b.seq THEN regexp_replace(b.piece, '^(\\s*)((?s).*)$', '\\1<u>\\2</u>') ELSE b.piece END, '' ORDER BY b.seq) AS marked
+            FROM w a JOIN w b ON a.session_id = b.session_id AND a.cue = b.cue GROUP BY a.session_id, a.cue, a.seq, a.before, a.s, a.e),
+        v AS (SELECT session_id, seq, 0 AS k, before AS s, s AS e, whole AS text FROM u WHERE round(before * 1000) <> round(s * 1000) UNION ALL SELECT session_id, seq, 1, s, e, marked FROM u)
+        SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq, k) AS INTEGER) AS cue, s AS start_s, e AS end_s, text FROM v""",
 }

@@ -109,7 +109,7 @@ def snapped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens with the number of their sentence, the sentences found by text length alone."""
+    """Tokens with the number of their sentence, the sentences found by text length alone."""
     toks = _tokens(spark, sf_dir)
     by = words.by()
     toks = toks.withColumn("_s", lines.islands(T.has_mark(F.lag("text").over(by)), by))
@@ -134,7 +134,7 @@ def long_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_meeting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each conversation the turns of its first role until they exceed 20 seconds."""
+    """Of each conversation the turns of its first role until they exceed 20 seconds."""
     turns = adapters.turn_bounds(_tokens(spark, sf_dir)).select("session_id", "turn", "role", (F.col("b") - F.col("a")).alias("duration"))
     return ranking.first_group_until(turns, "role", "turn", "duration", 2000)
 
@@ -147,7 +147,7 @@ def last_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's events whose type differs from the one before."""
+    """A user's events whose type differs from the one before."""
     events = adapters.read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", "event_type", F.struct("ts", "event_id").alias("o"))
     return ranking.changed_only(events, "o", "event_type").select("session_id", "event_id", "event_type")
 
@@ -158,11 +158,11 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of every document's text under each normal form, and how well it compresses."""
-    size = lambda c: F.length(c)
+    """Every document's text under each normal form, as SHA-256, and how well it compresses."""
+    seen = lambda c: F.sha2(c.cast("binary"), 256)
     return adapters.read(spark, sf_dir, "documents").select(
-        "doc_id", size(T.normalize_text("text")).alias("f1"), size(T.remove_symbols("text")).alias("f2"), size(T.remove_symbols_and_diacritics("text")).alias("f3"),
-        size(T.basic_normalize("text", True)).alias("f4"), size(T.english_normalize("text")).alias("f5"), F.round(T.compression_ratio("text"), 4).alias("f18"),
+        "doc_id", seen(T.normalize_text("text")).alias("f1"), seen(T.remove_symbols("text")).alias("f2"), seen(T.remove_symbols_and_diacritics("text")).alias("f3"),
+        seen(T.basic_normalize("text", True)).alias("f4"), seen(T.english_normalize("text")).alias("f5"), F.round(T.compression_ratio("text"), 4).alias("f18"),
     )
 
 
@@ -175,7 +175,7 @@ def repetition_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session's exports, one row per form."""
     found = kept(all_lines(spark, sf_dir))
-    forms = [exports.writer(f)(found).select("session_id", F.lit(f).alias("form"), "content") for f in ("srt", "vtt", "txt", "json", "diarized_json")]
+    forms = [exports.writer(f)(found).select("session_id", F.lit(f).alias("form"), "content") for f in ("srt", "vtt", "txt", "json", "diarized_json", "text", "short_json")]
     out = forms[0]
     for f in forms[1:]:
         out = out.unionByName(f)

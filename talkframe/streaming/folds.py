@@ -148,9 +148,9 @@ def from_delta(state: Row, row: Row) -> list[Row]:
     return [{"rev": row["rev"], "lines": state["lines"]}]
 
 
-def pack_subtitles(words: list[Row], width: int = 42, lines: int = 2, most_words: int | None = None, pause_s: float = 3.0) -> list[Row]:
+def pack_subtitles(words: list[Row], width: int = 42, lines: int = 2, most_words: int | None = None, pause_s: float = 3.0, highlight: bool = False) -> list[Row]:
     """Words ({text, start_s, end_s}) packed into cues of at most `lines` lines of `width` characters; a gap of over `pause_s` since the last
-    word's start begins a new cue. Emits start_s, end_s, text."""
+    word's start begins a new cue. Emits start_s, end_s, text; with `highlight` a cue for each word, in which it is underlined, and one for each gap between words."""
     cues: list[list[tuple[str, Row]]] = []
     used, row, last, in_line = 0, 1, None, 0
     for w in words:
@@ -169,9 +169,23 @@ def pack_subtitles(words: list[Row], width: int = 42, lines: int = 2, most_words
                 row += 1
             used, in_line = len(text), 1
         last = w["start_s"]
+    if highlight:
+        return [shown for cue in cues for shown in underlined(cue)]
     return [{"start_s": c[0][1]["start_s"], "end_s": c[-1][1]["end_s"], "text": "".join(t for t, _ in c)} for c in cues]
 
 
+def underlined(cue: list[tuple[str, Row]]) -> Iterator[Row]:
+    """A cue word by word, and as it stands in the gaps between words that last a millisecond or more."""
+    pieces, until = [t for t, _ in cue], cue[0][1]["start_s"]
+    for i, (piece, w) in enumerate(cue):
+        if round(until * 1000) != round(w["start_s"] * 1000):
+            yield {"start_s": until, "end_s": w["start_s"], "text": "".join(pieces)}
+        bare = piece.lstrip()
+        marked = piece[: len(piece) - len(bare)] + f"<u>{bare}</u>"
+        yield {"start_s": w["start_s"], "end_s": w["end_s"], "text": "".join([*pieces[:i], marked, *pieces[i + 1 :]])}
+        until = w["end_s"]
+
+
 def plain(value: Any) -> Any:
     """Rows, arrays and numpy numbers as plain Python data."""
     if hasattr(value, "asDict"):
