@@ -105,8 +105,8 @@ def edit_distances(pairs: DataFrame) -> DataFrame:
     """Q2: `pairs` with distance, without the words, and without Python: a pair's distinct words become code points, and two texts of such are compared by the built-in
     distance. Null for pairs of more than MOST_WORDS distinct words (wer_rows takes any)."""
     known = F.array_distinct(F.concat("ref", "hyp"))
-    point = lambda w: F.array_position("_known", w) + 255 + F.when(F.array_position("_known", w) + 255 < 0xD800, 0).otherwise(0x800)  # noqa: E731 (surrogates are no characters)
-    code = lambda c: F.decode(F.unhex(F.array_join(F.transform(c, lambda w: F.lpad(F.hex(point(w)), 8, "0")), "")), "UTF-32")
+    point = lambda p: F.lpad(F.hex(p + F.when(p < 0xD800 - 255, 255).otherwise(0x800 + 255)), 8, "0")  # noqa: E731 (surrogates are no characters)
+    code = lambda c: F.decode(F.unhex(F.array_join(F.transform(F.transform(c, lambda w: F.array_position("_known", w)), point), "")), "UTF-32")
     rows = pairs.withColumn("_known", known)
     distance = F.when(F.size("_known") <= MOST_WORDS, F.levenshtein(code("ref"), code("hyp")))
     return rows.withColumn("distance", distance).select(*(c for c in pairs.columns if c not in ("ref", "hyp")), "distance")

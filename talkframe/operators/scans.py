@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from talkframe.sources.scratch import kept
+from talkframe.sources.scratch import stored
 
 #: Values of the order column that make up a block of a long session.
 BLOCK = 1 << 18
@@ -39,7 +39,7 @@ class Along:
     def _carried(self, rows: DataFrame, summary: dict[str, Column], over: Callable[[str, WindowSpec], Column], rest: bool = False) -> DataFrame:
         """`rows` with a column for each of `summary`: what the blocks before (with `rest`: all blocks of the session) amount to. Rows are read twice, for the
         summary and for the way back, so they are written first: else each running value would double the work before it."""
-        rows = kept(rows)
+        rows = stored(rows)
         blocks = rows.groupBy(self.key, "_blk").agg(*(c.alias(name) for name, c in summary.items()))
         w = Window.partitionBy(self.key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing if rest else -1)
         blocks = blocks.select(self.key, "_blk", *(over(name, w).alias(name) for name in summary))

@@ -23,15 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """`df` computed once and written to the shared folder: it survives lost executors, is read by column, and its size is known to the planner."""
-    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    """`df` computed once and checkpointed in the shared folder, where it survives lost executors. How its rows are dealt and sorted is known afterwards, so windows over
+    what it was sorted by need no exchange."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder: read by column, with a size that the planner knows; for tables that are dealt anew afterwards. `forget_stored` deletes it."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget_kept(spark: SparkSession) -> int:
-    """Deletes all tables that `kept` made, once nothing reads them any more; how many there were."""
+def forget_stored(spark: SparkSession) -> int:
+    """Deletes all tables that `stored` made, once nothing reads them any more; how many there were."""
     n = len(_made)
     while _made:
         path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())

@@ -50,7 +50,7 @@ def test_a_long_session_uses_all_tasks(spark):
         assert sorted(map(tuple, op(timeline, 999).collect())) == sorted(map(tuple, op(timeline).collect()))
     prompt = lambda block: words.context_suffix(toks, 200, block).where("prompt").count()
     assert prompt(777) == prompt(None) == 100 and lines.merge_spans(spans, block=50).count() == lines.merge_spans(spans).count()
-    assert scratch.forget_kept(spark) > 2 and scratch.forget_kept(spark) == 0
+    assert scratch.forget_stored(spark) > 2 and scratch.forget_stored(spark) == 0
 
 
 def test_labels_of_any_length(spark):
