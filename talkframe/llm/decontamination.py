@@ -33,7 +33,8 @@ def windows(items: DataFrame, size: int = SIZE, id_col: str = "item_id", text_co
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words_of(text_col).alias("w")).where(F.size("w") > 0)
     texts = rows.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("text_no", F.xxhash64("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-    return texts.select("text_no", "items", F.explode(starts).alias("at"), "w").select("text_no", "at", F.slice("w", F.col("at") + 1, size).alias("phrase"), "items")
+    cut = F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice("w", at + 1, size).alias("phrase")))  # a row for a window holds its own words alone
+    return texts.select("text_no", "items", F.inline(cut)).select("text_no", "at", "phrase", "items")
 
 
 def key_of(id_col: str, text_col: str) -> list[Column]:

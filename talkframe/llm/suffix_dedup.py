@@ -275,27 +275,33 @@ def windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
 
 
 def multikey_sorted(data: np.ndarray, where: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of the suffixes that begin at `where`, by their first `length` bytes, in characters of 8 bytes: ranges that are tied so far
-    are partitioned by their next character, all ranges of a depth together. The order, and whether a suffix's longest
-    common prefix with its neighbour before reaches `length`. Ties keep the order of `where`."""
+    """Multikey quicksort of the suffixes that begin at `where`, by their first `length` bytes, in characters of 8 bytes.
+
+    A range of suffixes that agree up to its depth is cut in three around the character of its middle one: less, equal, greater; the equal part goes on with the next
+    character. All open ranges are cut at once. Returns the order, and whether a suffix's longest common prefix with its neighbour before reaches `length`.
+    Ties keep the order of `where`.
+    """
     v = characters(data)
-    order, tied = np.arange(len(where)), np.ones(len(where), bool)
-    tied[:1] = False
-    for depth in range(0, length, 8):
-        member = tied.copy()
-        member[:-1] |= tied[1:]
-        at = np.flatnonzero(member)  # places of ranges that are tied so far
+    order, depth, first = np.arange(len(where)), np.zeros(len(where), np.int64), np.zeros(len(where), bool)
+    first[:1] = True
+    while True:
+        alone = first.copy()
+        alone[:-1] &= first[1:]
+        at = np.flatnonzero(~alone & (depth < length))  # the places of open ranges
         if not len(at):
             break
-        some = order[at]
-        char = v[where[some] + depth]
-        if depth + 8 > length:
-            char = char >> U(8 * (depth + 8 - length))
-        ranges = np.cumsum(~tied[at])
-        some_order = np.lexsort((char, ranges))
-        order[at], char = some[some_order], char[some_order]
-        tied[at[1:]] &= char[1:] == char[:-1]
-    return order, tied
+        some, deep = order[at], depth[at]
+        char = v[where[some] + deep] >> np.maximum(8 * (deep + 8 - length), 0).astype(U)
+        begins = np.flatnonzero(first[at])
+        which = np.cumsum(first[at]) - 1
+        pivot = char[(begins + np.append(begins[1:], len(at))) // 2][which]
+        part = 3 * which + (char >= pivot) + (char > pivot)
+        cut = np.argsort(part, kind="stable")
+        part = part[cut]
+        order[at] = some[cut]
+        first[at[1:]] |= part[1:] != part[:-1]
+        depth[at] += 8 * (part % 3 == 1)
+    return order, ~first
 
 
 def window_codes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
