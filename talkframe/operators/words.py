@@ -192,6 +192,19 @@ def words_to_sentences(words: DataFrame, sentences: DataFrame) -> DataFrame:
     return words.join(found.hint("merge"), ["session_id", "seq"])
 
 
+def held_back(texts: DataFrame) -> DataFrame:
+    """X22 for whole tables: session_id, ix, text of growing texts (session_id, rev, text): a word is final in the first revision in which it is not the last; it is
+    told as that revision has it, behind a space but for the first. What each revision adds follows from a running maximum."""
+    by_rev = Window.partitionBy("session_id").orderBy("rev")
+    said = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    rows = texts.select("session_id", "rev", said.alias("w")).withColumn("_upto", F.greatest(F.size("w") - 1, F.lit(0)))
+    rows = rows.withColumn("_done", F.coalesce(F.max("_upto").over(by_rev.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    new = F.slice("w", F.col("_done") + 1, F.greatest(F.col("_upto") - F.col("_done"), F.lit(0)))
+    told = rows.select("session_id", "_done", F.posexplode(new).alias("i", "word"))
+    ix = (F.col("_done") + F.col("i")).cast("int")
+    return told.select("session_id", ix.alias("ix"), F.when(ix == 0, F.col("word")).otherwise(F.concat(F.lit(" "), F.col("word"))).alias("text"))
+
+
 def sentences_of(texts: DataFrame, splitter: Callable[[list[str]], list[list[str]]] | None = None) -> DataFrame:
     """session_id, sent_no, text of (session_id, text): the text cut into sentences by `splitter`, a user's function from texts to lists of sentences that sees a batch of
     texts at a time; without one a sentence ends with its marks. Sentences together hold all that is no white space, in order."""

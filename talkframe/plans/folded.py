@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talkframe.operators import words
 from talkframe.operators.ranking import snapshot_deltas, status_of
 from talkframe.plans.tables_sql import TOKENS, VAD
 from talkframe.sources import adapters
@@ -43,7 +44,7 @@ def coalesced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def released_growing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a growing text, all but the last."""
     rows = adapters.hypotheses(spark, sf_dir).select("session_id", "rev", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"))
-    return folds.run_batch(rows, folds.hold_back_last, "ix int, text string", ["rev"]).drop("out_no")
+    return words.held_back(rows)
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from talkframe.operators import words
 from talkframe.streaming import folds
 from talkframe.streaming.events import EventStream
 
@@ -79,6 +80,7 @@ def test_batch_equals_stream(spark, tmp_path):
     schema = "session_id string, rev int, text string"
     df = spark.createDataFrame(rows, schema)
     want = sorted(map(tuple, folds.run_batch(df, folds.hold_back_last, "ix int, text string", ["rev"]).collect()))
+    assert sorted((r.session_id, r.ix, r.text) for r in words.held_back(df).collect()) == sorted((s, ix, t) for s, _, ix, t in want)
     for part in range(5):
         spark.createDataFrame(rows[part * 6 : part * 6 + 6], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
