@@ -149,7 +149,7 @@ def translated_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segs.withColumn("seq", F.explode(F.sequence(F.lit(1), F.ceil(F.size("w") / 3).cast("int") + 1)))
     last = F.col("seq") > F.ceil(F.size("w") / 3)
     part = F.array_join(F.slice("w", F.when(F.col("seq") % 7 == 3, 2).otherwise(1), F.col("seq") * 3), " ")
-    text = F.when(~last, part).when(F.col("utt_no") % 5 == 0, "").otherwise(F.upper(F.array_join("w", " ")))
+    text = F.when(~last, part).when(F.col("utt_no") % 5 == 0, "").otherwise(F.concat(F.lit("="), F.array_join("w", " ")))
     return words.translation_utterances(rows.select("session_id", "utt_no", "seq", text.alias("text"), last.alias("is_final"), "start_cs", "end_cs"))
 
 

@@ -1,6 +1,7 @@
 """SQL twins of what goes through rows in order: recursions over a session's rows, and lists."""
 
 from talkframe.plans.speech import FULL
+from talkframe.plans.speech import ORACLES as SPEECH
 from talkframe.plans.tables_sql import CALLS, PAIRS, TOKENS
 
 #: Is the list of words `w`, of `n` words, a loop?
@@ -116,4 +117,12 @@ ORACLES = {
             FROM w a JOIN w b ON a.session_id = b.session_id AND a.cue = b.cue GROUP BY a.session_id, a.cue, a.seq, a.before, a.s, a.e),
         v AS (SELECT session_id, seq, 0 AS k, before AS s, s AS e, whole AS text FROM u WHERE round(before * 1000) <> round(s * 1000) UNION ALL SELECT session_id, seq, 1, s, e, marked FROM u)
         SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq, k) AS INTEGER) AS cue, s AS start_s, e AS end_s, text FROM v""",
+    "translated_utterances": f"""WITH RECURSIVE segs AS ({SPEECH["segments_at_marks"]}),
+        u AS MATERIALIZED (SELECT session_id, seg_no AS utt_no, start_cs, end_cs, w, (len(w) + 2) // 3 AS k FROM (SELECT *, regexp_extract_all(text, {WORDS}) AS w FROM segs WHERE kind = 'token') WHERE len(w) > 0),
+        a AS (
+            SELECT session_id, utt_no, w, k, 0::BIGINT AS i, '' AS shown, 0 AS refused FROM u
+            UNION ALL SELECT session_id, utt_no, w, k, i + 1, CASE WHEN starts_with(t, shown) THEN t ELSE shown END, CASE WHEN starts_with(t, shown) THEN refused ELSE refused + 1 END FROM (
+                SELECT *, array_to_string(CASE WHEN (i + 1) % 7 = 3 THEN w[2 : 3 * (i + 1) + 1] ELSE w[1 : 3 * (i + 1)] END, ' ') AS t FROM a WHERE i < k))
+        SELECT session_id, utt_no, k + 1 AS n_updates, shown, CASE WHEN utt_no % 5 = 0 THEN shown ELSE '=' || array_to_string(a.w, ' ') END AS text,
+            coalesce(lag(end_cs) OVER (PARTITION BY session_id ORDER BY utt_no), start_cs) AS start_cs, end_cs, refused AS n_refused FROM a JOIN u USING (session_id, utt_no, k) WHERE i = k""",
 }

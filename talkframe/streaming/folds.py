@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StringType, StructField, StructType
 
+from talkframe.operators.ranking import VOLATILE
+
 Row = dict[str, Any]
 Step = Callable[[Row, Row], list[Row]]
 
@@ -128,16 +130,16 @@ def hold_back_last(state: Row, row: Row) -> list[Row]:
 
 
 def to_delta(state: Row, row: Row) -> list[Row]:
-    """A snapshot's lines as a change: the first as a whole, then how many to drop in front, the new lines and how many there are."""
+    """X7, S16 for streams: a snapshot's lines as a change: the first as a whole, then how many to drop in front, the new lines and how many there are, with whatever of
+    VOLATILE the snapshot has. The state is the lines shown last."""
     now, before = list(row["lines"]), state.get("lines")
     state["lines"], state["seq"] = now, state.get("seq", 0) + 1
+    message = {"rev": row["rev"], "seq": state["seq"], "type": "snapshot", "lines_pruned": 0, "n_lines": len(now), "new_lines": now, **{c: row[c] for c in VOLATILE if c in row}}
     if before is None:
-        return [{"rev": row["rev"], "seq": state["seq"], "type": "snapshot", "lines_pruned": 0, "n_lines": len(now), "new_lines": now}]
+        return [message]
     gone = (before.index(now[0]) if now[0] in before else len(before)) if now else len(before)
-    left, same = before[gone:], 0
-    while same < min(len(left), len(now)) and left[same] == now[same]:
-        same += 1
-    return [{"rev": row["rev"], "seq": state["seq"], "type": "diff", "lines_pruned": gone, "n_lines": len(now), "new_lines": now[same:]}]
+    unlike = (i for i, (old, new) in enumerate(zip(before[gone:], now, strict=False)) if old != new)
+    return [message | {"type": "diff", "lines_pruned": gone, "new_lines": now[next(unlike, min(len(before) - gone, len(now))) :]}]
 
 
 def from_delta(state: Row, row: Row) -> list[Row]:

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from talkframe.operators import words
+from talkframe.operators.ranking import snapshot_deltas
 from talkframe.streaming import folds
 from talkframe.streaming.events import EventStream
 
@@ -66,6 +67,23 @@ def test_deltas_rebuild_edited_snapshots():
             assert folds.from_delta(back, message)[0]["lines"] == lines
 
 
+def test_deltas_of_a_table_and_of_a_fold(spark):
+    random.seed(3)
+    rows = []
+    for s in range(5):
+        lines = []
+        for rev in range(1, 9):
+            lines = lines[random.randint(0, 2) :] + [random.choice("abc") for _ in range(random.randint(0, 2))]
+            if lines and random.random() < 0.5:
+                lines[random.randrange(len(lines))] = random.choice("abcd")
+            rows.append((f"s{s}", rev, list(lines), "active", f"b{rev}", rev / 10, None if rev % 3 else "gone"))
+    df = spark.createDataFrame(rows, "session_id string, rev int, lines array<string>, status string, buffer_transcription string, lag_total double, error string")
+    out = "rev int, seq int, type string, lines_pruned int, n_lines int, new_lines array<string>, status string, buffer_transcription string, lag_total double, error string"
+    fold = folds.run_batch(df, folds.to_delta, out, ["rev"]).drop("out_no")
+    table = snapshot_deltas(df)
+    assert sorted(map(str, table.select(fold.columns).collect())) == sorted(map(str, fold.collect())) and table.where("type = 'diff' AND error = 'gone'").count() > 5
+
+
 def test_coalescing():
     state, out = {}, []
     for s in (0.4, 0.4, 0.4):
