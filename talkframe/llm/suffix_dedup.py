@@ -281,26 +281,30 @@ def multikey_sorted(data: np.ndarray, where: np.ndarray, length: int) -> tuple[n
     character. All open ranges are cut at once. Returns the order, and whether a suffix's longest common prefix with its neighbour before reaches `length`.
     Ties keep the order of `where`.
     """
-    v = characters(data)
-    order, depth, first = np.arange(len(where)), np.zeros(len(where), np.int64), np.zeros(len(where), bool)
+    v, n = characters(data), len(where)
+    small = np.int32 if n < 1 << 29 else np.int64  # numbers of places and of parts: memory is what bounds a batch
+    order, depth, first = np.arange(n, dtype=small), np.zeros(n, np.int16), np.zeros(n, bool)
     first[:1] = True
     while True:
-        alone = first.copy()
-        alone[:-1] &= first[1:]
-        at = np.flatnonzero(~alone & (depth < length))  # the places of open ranges
+        alone = first & np.append(first[1:], True)
+        at = np.flatnonzero(~alone & (depth < length)).astype(small)  # the places of open ranges
         if not len(at):
             break
-        some, deep = order[at], depth[at]
-        char = v[where[some] + deep] >> np.maximum(8 * (deep + 8 - length), 0).astype(U)
+        char = v[where[order[at]] + depth[at]]
+        beyond = np.flatnonzero(depth[at] > length - 8)
+        char[beyond] >>= (8 * (depth[at[beyond]].astype(np.int64) + 8 - length)).astype(U)
         begins = np.flatnonzero(first[at])
-        which = np.cumsum(first[at]) - 1
-        pivot = char[(begins + np.append(begins[1:], len(at))) // 2][which]
-        part = 3 * which + (char >= pivot) + (char > pivot)
-        cut = np.argsort(part, kind="stable")
+        sizes = np.diff(begins, append=len(at))
+        part = np.repeat(np.arange(0, 3 * len(begins), 3, dtype=small), sizes)
+        pivot = np.repeat(char[begins + sizes // 2], sizes)
+        part += char >= pivot
+        part += char > pivot
+        del char, pivot
+        cut = np.argsort(part, kind="stable").astype(small)
         part = part[cut]
-        order[at] = some[cut]
+        order[at] = order[at[cut]]
         first[at[1:]] |= part[1:] != part[:-1]
-        depth[at] += 8 * (part % 3 == 1)
+        depth[at[part % 3 == 1]] += 8
     return order, ~first
 
 
@@ -363,11 +367,11 @@ def partial_repeats(sorted_rows: DataFrame, length: int) -> DataFrame:
                 batch, before = without_twins(batch, before)
             at = 0
             while at < batch.num_rows:
-                some = batch.slice(at, 10_000)
+                some = batch.slice(at, 5_000)
                 at += some.num_rows
                 waiting.append(some)
                 n += some.num_rows
-                if n < 10_000:
+                if n < 5_000:
                     continue
                 whole = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
                 cut = int(np.flatnonzero(changes(whole, LEADS))[-1])
