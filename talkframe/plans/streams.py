@@ -62,10 +62,14 @@ def quarantined_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def buffer_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the audio buffer of each turn is cut: segments of seven words, buffers of at most 15 seconds."""
-    hyps = adapters.hypotheses(spark, sf_dir)
-    ends = F.filter(F.transform("words", lambda w, i: F.when(((i + 1) % 7 == 0) | (i + 1 == F.size("words")), w["end_s"])), lambda e: e.isNotNull())
-    rows = hyps.select("session_id", "rev", (F.col("rev") * 2.5).cast("double").alias("audio_s"), "words", ends.alias("ends"))
-    found = _folded(rows, watchdogs.TrimmedBuffer(15.0), "kind string, text string, at_s double", ["rev"], FIELDS).where("kind <> 'word'")
+    rows = adapters.hypothesis_changes(spark, sf_dir).select("session_id", "rev", (F.col("rev") * 2.5).cast("double").alias("audio_s"), "kept", "words")
+    trimmed = watchdogs.TrimmedBuffer(15.0)
+
+    def cut(state, row):
+        words = row["words"]
+        return trimmed(state, row | {"ends": [w[2] for w in words[6::7]] + [w[2] for w in words[-1:] if len(words) % 7]})
+
+    found = _folded(rows, cut, "kind string, text string, at_s double", ["rev"], FIELDS).where("kind <> 'word'")
     nth = F.row_number().over(Window.partitionBy("session_id").orderBy("out_no"))
     return found.select("session_id", nth.alias("nth"), "kind", "at_s")
 

@@ -78,12 +78,12 @@ class EventStream:
     # what rows tell
 
     def on_snapshot(self, f: Row, row: Row) -> list[Row]:
-        words, n = [list(w) for w in row["words"]], f["finals"]
+        words, n = row["words"], f["finals"]
         again = words[n - len(f["tail"]) : n]
-        marks = self.added_marks(f["tail"], again)
+        marks = [] if [w[0] for w in again] == f["tail"] else self.added_marks(f["tail"], again)
         if marks:
             f["tail"] = [w[0] for w in again]
-        now = words[n:]
+        now = [list(w) for w in words[n:]]
         if [w[0] for w in again] != f["tail"] or marks:
             f["agreed"] = 0
         elif [w[0] for w in now] != [w[0] for w in f["pending"]]:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StructField, StructType
 
 from talkframe.operators.joins import in_ranges
-from talkframe.streaming.folds import Row, local_agreement
+from talkframe.streaming.folds import Row, leading, local_agreement
 
 ALARM = "kind string, at_us bigint"
 
@@ -244,7 +244,10 @@ class TrimmedBuffer:
             if kind == "change_speaker" or kind == "silence" and (row.get("duration_s") or 0.0) >= 5:
                 state.update(begin=row["offset_s"] + (row.get("duration_s") or 0.0), committed=[])
             return out
-        heard = [w for w in row["words"] if w[1] >= state["begin"] - 1e-9]
+        words = row["words"]
+        if "same" in row:
+            words = words[leading(state, row, [state["begin"]], lambda w: not w[1] >= state["begin"] - 1e-9) :]
+        heard = [w for w in words if w[1] >= state["begin"] - 1e-9]
         words = self.agree(state["agreement"], {"kind": "hypothesis", "words": heard})
         out = [{"kind": "word", "text": w["text"], "at_s": w["end_s"]} for w in words]
         closed = set(row.get("sentence_ends") or [])
