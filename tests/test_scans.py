@@ -108,3 +108,30 @@ def test_writers_by_name(spark):
     assert '"words":[{"word":"Hi","start":0.0,"end":0.5},{"word":"there","start":0.5,"end":1.0}' in found["words_json"]
     with pytest.raises(ValueError):
         exports.writer("docx")
+
+
+def test_lines_in_blocks_write_rows_thrice(spark, sf, monkeypatch):
+    """Each step along blocks writes the rows, so there are few of them."""
+    from talkframe.operators import scans
+    from talkframe.plans import speech
+
+    written = []
+    dealt = scans.dealt
+    monkeypatch.setattr(scans, "dealt", lambda df: written.append(dealt(df)) or written[-1])
+    toks = speech._tokens(spark, sf)
+    got = speech._lines_of(toks, 128)
+    assert len(written) == 3
+    assert sorted(map(str, got.collect())) == sorted(map(str, speech._lines_of(toks).collect()))
+
+
+def test_heard_is_maxima_and_lasts(spark):
+    from pyspark.sql import functions as F
+
+    from talkframe.operators.scans import Along
+
+    rows = spark.createDataFrame([("a", i, (i * 7) % 5 if i % 3 else None, i % 4 == 2 or None) for i in range(40)] + [("b", 3, None, None)], "session_id string, seq int, v int, late boolean")
+    told = lambda block: sorted(map(str, (along := Along("seq", block)).end(along.heard(along.start(rows), {"m": F.col("late")}, {"h": F.col("v")})).collect()))
+    assert told(None) == told(4) == told(1)
+    along = Along("seq")
+    want = along.lags(along.lasts(along.maxima(rows, m=F.col("late")), h=F.col("v")), h_before=F.col("h"))
+    assert sorted(map(str, want.collect())) == told(None)
