@@ -110,9 +110,8 @@ def snapped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens with the number of their sentence, the sentences found by text length alone."""
-    toks = _tokens(spark, sf_dir)
     by = words.by()
-    toks = toks.withColumn("_s", lines.islands(T.has_mark(F.lag("text").over(by)), by))
+    toks = kept(_tokens(spark, sf_dir).select("session_id", "seq", "text").withColumn("_s", lines.islands(T.has_mark(F.lag("text").over(by)), by)))
     sentences = toks.groupBy("session_id", F.col("_s").alias("sent_no")).agg(lines.joined("seq", "text").alias("text"))
     return words.words_to_sentences(toks.select("session_id", "seq", "text"), sentences).select("session_id", "seq", "sent_no")
 
