@@ -55,11 +55,10 @@ def merged_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subwords_to_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words from their pieces of at most three characters."""
-    cut = F.regexp_extract_all("text", F.lit(r"(?s).{1,3}"), F.lit(0))
-    rows = _tokens(spark, sf_dir).select("session_id", "seq", F.posexplode(cut).alias("i", "text"))
-    rows = rows.select("session_id", (F.col("seq") * 10000 + F.col("i")).alias("seq"), "text", F.lit(False).alias("special"))
-    return words.subwords_to_words(rows)
+    """Words from their pieces of at most three characters, a list for each turn."""
+    cut = F.flatten(F.transform("tokens", lambda t: F.regexp_extract_all(t, F.lit(r"(?s).{1,3}"), F.lit(0))))
+    rows = adapters.turn_tokens(spark, sf_dir).select("session_id", "turn", F.transform(cut, lambda p: F.struct(p.alias("text"), F.lit(False).alias("special"))).alias("pieces"))
+    return words.subwords_to_words(rows, "turn")
 
 
 def word_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
